@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import byte_bpe, packing, quality_rules, simhash_dedup, token_count
+from loomstead.llm import byte_bpe, packing, quality_rules, simhash_dedup, token_count, url_filter, warc
+from loomstead.llm.common import new_path
 
 #: A query: from a session and the folder of the tables to a result.
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = new_path(spark, "archives")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), archives)
+    return warc.read_archives(spark, archives)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -39,7 +50,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op5_byte_bpe, op7_simhash_dedup, op8_packing, op9_token_count)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_quality_rules, op4_warc, op5_byte_bpe, op7_simhash_dedup, op8_packing, op9_token_count)}
 
 #: DuckDB SQL for the queries that it can express.
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc.ORACLE}
