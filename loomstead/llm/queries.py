@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import byte_bpe, embedding_dedup, line_dedup, packing, quality_rules, simhash_dedup, token_count, url_filter, warc
+from loomstead.llm import byte_bpe, embedding_dedup, line_dedup, packing, quality_rules, simhash_dedup, token_count, toxicity, url_filter, warc
 from loomstead.llm.common import new_path
 
 #: A query: from a session and the folder of the tables to a result.
@@ -58,7 +58,11 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality_rules, op4_warc, op5_byte_bpe, op6_embedding_dedup, op7_simhash_dedup, op8_packing, op9_token_count)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality_rules, op4_warc, op5_byte_bpe, op6_embedding_dedup, op7_simhash_dedup, op8_packing, op9_token_count, op10_toxicity)}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE}
