@@ -25,6 +25,9 @@ LONG_LINE = 50
 #: Words that a chunk needs to be removed: below it are headers, licenses and other short blocks that documents rightly share.
 LEAST_WORDS = 20
 
+#: Chunks of a few dozen bytes that are broadcast at most; beyond it, texts are shuffled to meet theirs.
+BROADCAST_SPANS = 1_000_000
+
 #: Salts of the rolling hash where it looks back and where it looks ahead.
 BACK, AHEAD = 17, 19
 
@@ -76,31 +79,72 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _exploded(docs: DataFrame, key: str, text: str, body: bool) -> DataFrame:
-    """A row (_key, _text_hash, at, n, hash) for each chunk, with its body if asked for."""
-    own = F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text_hash")
-    rows = docs.select(F.col(key).alias("_key"), own, _lines(F.col(text)).alias("lines"))
-    rows = rows.select("_key", "_text_hash", *(["lines"] if body else []), F.explode(chunks(F.col("lines"))).alias("c"))
-    return rows.select("_key", "_text_hash", "c.at", "c.n", "c.hash", *(["lines"] if body else []))
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, _text_hash, removed): for each text that loses some, the numbers of the lines in chunks that occur before, by key and place.
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, _text_hash, spans): for each text with chunks whose hash occurs more than once, structs (at, n, hash, first_key, first_hash, first_at).
 
-    Hashes are counted with partial aggregates. Only chunks whose hash repeats are read with their bodies, and each is compared with the first
-    of its hash; that join shuffles by hash, and AQE splits a chunk that many texts share.
+    The first of a hash is the first by key, text hash and place. Rows are narrow here: hashes are counted with partial aggregates, and the join back
+    to the chunks shuffles by hash, where AQE splits a chunk that many texts share.
     """
+    rows = docs.select(F.col(key).alias("_key"), _text_hash(text).alias("_text_hash"), F.explode(chunks(_lines(F.col(text)))).alias("c"))
+    narrow = materialise(rows.select("_key", "_text_hash", "c.at", "c.n", "c.hash"))
     place = F.struct("_key", "_text_hash", "at")
-    counted = _exploded(docs, key, text, False).groupBy("hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
+    counted = narrow.groupBy("hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
     repeated = materialise(counted.where("copies > 1").select("hash", "first"))
-    met = _exploded(docs, key, text, True).join(broadcast_if_small(repeated), "hash")
-    body = F.array_join(F.slice("lines", F.col("at") + 1, F.col("n")), "\n").alias("body")
-    again = materialise(met.select("hash", "_key", "_text_hash", "at", "n", body, place.eqNullSafe(F.col("first")).alias("is_first")))
-    first = again.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body"))  # rows that are copies give it more than once
-    same = again.where(~F.col("is_first")).join(first, "hash").where(F.col("body") == F.col("first_body"))
-    spans = same.groupBy("_key", "_text_hash").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    numbers = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    return spans.select("_key", "_text_hash", numbers.alias("removed"))
+    met = narrow.join(broadcast_if_small(repeated), "hash")
+    span = F.struct("at", "n", "hash", F.col("first._key").alias("first_key"), F.col("first._text_hash").alias("first_hash"), F.col("first.at").alias("first_at"))
+    return materialise(met.groupBy("_key", "_text_hash").agg(F.collect_set(span).alias("spans")))
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with the spans of each row, null for none. spans is broadcast while it is counted to be small; else both sides shuffle by text."""
+    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    side = F.broadcast(spans) if total <= BROADCAST_SPANS else spans
+    side = side.withColumnsRenamed({"_key": "_span_key", "_text_hash": "_span_hash", "spans": "_spans"})
+    return docs.join(side, docs[key].eqNullSafe(F.col("_span_key")) & (_text_hash(text) == F.col("_span_hash")), "left").drop("_span_key", "_span_hash")
+
+
+def unequal_chunks(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame | None:
+    """(_key, _text_hash, at, n) of the chunks that are not, byte for byte, the first of their hash; None if there are none.
+
+    Bytes are compared once for each distinct content: every hash of a line, and of a chunk as the row of its lines' hashes, must stand for one content
+    only. Where one stands for several, the chunks that hold it are compared with their firsts one by one.
+    """
+    own = _with_spans(docs.select(key, text), spans, key, text).where(F.col("_spans").isNotNull())
+    own = own.select(F.col(key).alias("_key"), _text_hash(text).alias("_text_hash"), _lines(F.col(text)).alias("lines"), "_spans")
+    held = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    of_lines = F.transform(held, lambda i: F.struct(F.xxhash64(F.get("lines", i)).alias("hash"), F.get("lines", i).alias("content")))
+    hashes = F.transform("lines", lambda line: F.xxhash64(line))
+    of_chunks = _let(
+        hashes, lambda h: F.transform("_spans", lambda s: F.struct(s["hash"].alias("hash"), F.array_join(F.transform(F.slice(h, s["at"] + 1, s["n"]), lambda x: x.cast("string")), " ").alias("content")))
+    )
+    contents = own.select(F.explode(F.concat(of_lines, of_chunks)).alias("c")).select("c.hash", "c.content").distinct()
+    shared = materialise(contents.groupBy("hash").count().where("count > 1").select("hash"))
+    if shared.isEmpty():
+        return None
+    each = own.select("_key", "_text_hash", "lines", F.explode("_spans").alias("s"))
+    bodies = each.select("_key", "_text_hash", "s.*", F.slice("lines", F.col("s.at") + 1, F.col("s.n")).alias("body"))
+    touched = bodies.withColumn("h", F.explode(F.array_append(F.transform("body", lambda line: F.xxhash64(line)), F.col("hash")))).join(shared.select(F.col("hash").alias("h")), "h", "left_semi")
+    touched = materialise(touched.drop("h").distinct())
+    first = touched.where((F.col("at") == F.col("first_at")) & (F.col("_text_hash") == F.col("first_hash")) & F.col("_key").eqNullSafe(F.col("first_key")))
+    first = first.groupBy("hash").agg(F.min("body").alias("first_body"))
+    return materialise(touched.join(first, "hash", "left").where(~F.col("body").eqNullSafe(F.col("first_body"))).select("_key", "_text_hash", "at", "n").distinct())
+
+
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, _text_hash, spans): for each text that loses some, its chunks (at, n) that occur before, by key, text hash and place."""
+    spans = repeated_chunks(docs, key, text)
+    unequal = unequal_chunks(docs, spans, key, text)
+    same = lambda s: (s["first_at"] == s["at"]) & (s["first_hash"] == F.col("_text_hash")) & s["first_key"].eqNullSafe(F.col("_key"))
+    later = spans.withColumn("spans", F.transform(F.filter("spans", lambda s: ~same(s)), lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))))
+    if unequal is not None:
+        kept = unequal.groupBy("_key", "_text_hash").agg(F.collect_set(F.struct("at", "n")).alias("_kept")).withColumnsRenamed({"_key": "_k", "_text_hash": "_h"})
+        later = later.join(kept, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left")
+        later = later.withColumn("spans", F.array_except("spans", F.coalesce("_kept", F.array().cast("array<struct<at:int,n:int>>"))))
+    return materialise(later.where(F.size("spans") > 0).select("_key", "_text_hash", "spans"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,16 +154,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if docs has that column. Rows with equal key and text are one document and treated alike. Null keys come first; a null text stays null. Other
     columns are kept; one named n_removed_lines is replaced.
     """
-    gone = materialise(removals(docs, key, text)).withColumnsRenamed({"_key": "_gone_key", "_text_hash": "_gone_hash", "removed": "_removed"})
-    own = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    joined = docs.join(broadcast_if_small(gone, 20_000), docs[key].eqNullSafe(gone["_gone_key"]) & (own == gone["_gone_hash"]), "left")
+    joined = _with_spans(docs, removals(docs, key, text), key, text)
+    lost = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    joined = joined.withColumn("n_removed_lines", F.coalesce(F.size(lost), F.lit(0)))
 
     def left(line: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col("_removed"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), lost)
         return F.array_join(F.transform(kept, lambda k: F.get(line, k)), "\n")
 
-    freed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(_let(_lines(F.col(text)), left))
-    out = joined.withColumn(text, freed).withColumn("n_removed_lines", F.coalesce(F.size("_removed"), F.lit(0)))
+    whole = F.col("_spans").isNull()
+    out = joined.withColumn(text, F.when(whole, F.col(text)).otherwise(_let(_lines(F.col(text)), left)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out.drop("_removed", "_gone_key", "_gone_hash")
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.drop("_spans")
