@@ -1,6 +1,6 @@
 """The queries over the driver's tables, each with the SQL that it is held against."""
 
-from loomstead.plans import people, reports, search
+from loomstead.plans import cleaning, people, reports, search
 from loomstead.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "people", "reports", "search"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "people", "reports", "search"]

@@ -50,10 +50,10 @@ def names_under_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{R.WITH}, uses AS (SELECT descriptor_id, count(*) AS u FROM conditions GROUP BY 1),
   worded AS (SELECT *, string_split_regex(lower(name), '[^a-z0-9]+') AS w FROM descriptors)
-  SELECT descriptor_id, name, coalesce(u, 0) AS n FROM worded LEFT JOIN uses USING (descriptor_id) WHERE contains(lower(name), 're sm')
-    OR (len(list_filter(w, lambda x: starts_with(x, 're'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'sm'))) > 0) ORDER BY n DESC, name, descriptor_id LIMIT 20""")
+  SELECT descriptor_id, name, coalesce(u, 0) AS n FROM worded LEFT JOIN uses USING (descriptor_id) WHERE contains(lower(name), 'sm wids')
+    OR (len(list_filter(w, lambda x: starts_with(x, 'sm'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wid'))) > 0) ORDER BY n DESC, name, descriptor_id LIMIT 20""")
 def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.search(R.descriptors(spark, sf_dir), R.conditions(spark, sf_dir), "re sm")
+    return H.search(R.descriptors(spark, sf_dir), R.conditions(spark, sf_dir), "sm wids")
 
 
 ENDED_SQL = """ended AS (SELECT l_orderkey AS study_id, CAST(max(l_shipdate) AS DATE) AS end_date FROM lineitem GROUP BY 1),
