@@ -134,7 +134,7 @@ def parsed_name(raw: Column) -> Column:
     ended = F.transform(F.slice(rest, F.size(rest) - degrees + 1, degrees), lambda w: F.regexp_replace(w, r",+$", ""))
     # else a list after the last comma
     whole = F.array_join(rest, " ")
-    listed = F.filter(F.transform(F.split(F.regexp_extract(whole, r"^.+, (.*)$", 1), ","), F.trim), lambda w: w != "")
+    listed = F.filter(F.transform(F.split(F.regexp_extract(whole, r"^.+, (.*)$", 1), ","), lambda w: F.trim(w)), lambda w: w != "")
     all_degrees = whole.rlike(r"^.+, ") & F.forall(listed, lambda w: one_of(bare(w), V.DEGREES))
     named = F.when(degrees > 0, body).when(all_degrees, F.trim(F.regexp_extract(whole, r"^(.+), ", 1))).otherwise(whole)
     suffixes = F.when(degrees > 0, ended).when(all_degrees, F.reverse(F.transform(listed, lambda w: F.regexp_replace(w, r"[,.]+$", ""))))
