@@ -117,8 +117,8 @@ def thresholds(signalled: DataFrame, lang: str = "lang", source: str = "source")
     names = [f"{side}_{s}" for s, (_, under) in SIGNALS.items() for side in (["high"] if under is None else ["high", "low"])]
     by_lang = fine.groupBy(F.col(lang).alias("_lang")).agg(F.sum("n").alias("_n"), *merged)
     by_lang = by_lang.where(F.col("_n") >= LEAST_TEXTS).select("_lang", *bounds(by_lang, "_"))
-    all_ = fine.agg(*merged)
-    all_ = all_.select(*bounds(all_, "__"))  # one row
+    all_ = fine.agg(F.count("*").alias("_groups"), *merged).where("_groups > 0")
+    all_ = all_.select(*bounds(all_, "__"))  # one row at most
     own = fine.select(lang, source, "n", *bounds(fine, ""))
     joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")), "left").join(F.broadcast(all_), F.lit(True), "left")
     return joined.select(lang, source, *(F.when(F.col("n") >= LEAST_TEXTS, F.col(c)).otherwise(F.coalesce(f"_{c}", f"__{c}")).alias(c) for c in names))
