@@ -162,3 +162,21 @@ def test_queue_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table("states").collect()} == {(1, "pending", 1), (2, "completed", 0), (3, "pending", 0)}
     assert streams.step("processing", 3, "failed") == ("dead-letter", 4)
+
+
+def test_stream_states_equal_one_by_one(spark):
+    from loomstead.plans import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    names = {"click": "claimed", "purchase": "done", "error": "failed", "view": "retried"}
+    state = {}
+    for r in spark.read.parquet(f"{data}/events.parquet").orderBy("event_id").collect():
+        state[r.user_id] = streams.step(*state.get(r.user_id, ("pending", 0)), names.get(r.event_type, "released"))
+    assert {r.id: (r.status, r.retry_count) for r in QUERIES["stream_state"](spark, data).collect()} == state
+
+
+def test_model_learns(spark):
+    from loomstead.plans import QUERIES
+
+    row = QUERIES["npi_model"](spark, "/root/testdata/sf0.01").first()
+    assert row.n_rows > 1000 and row.auc > 0.8 and row.precision > 0.8

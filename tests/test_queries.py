@@ -28,11 +28,11 @@ def duck():
     return connection
 
 
-def test_each_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+def test_each_query_has_sql_or_its_own_test():
+    assert set(QUERIES) - set(ORACLES) == {"stream_state", "npi_model"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, DATA)
     expected = duck.sql(ORACLES[name])
