@@ -6,8 +6,13 @@ its best over the parts of the vocabulary.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +86,41 @@ def match_terms(terms: DataFrame, names: DataFrame, vectors: DataFrame, vocabula
     similarity = F.when(F.col("exact_id").isNotNull(), F.lit(1.0)).otherwise(F.col("similarity"))
     ok, reason = accepted(similarity, threshold)
     return found.select("term", F.coalesce("exact_id", "near_id").alias("match_id"), similarity.alias("similarity"), F.coalesce(ok, F.lit(False)).alias("accepted"), reason.alias("reason"))
+
+
+def wordpiece(text: Column, vocabulary: dict[str, int], length: int = 20, unknown: str = "[UNK]", first: str = "[CLS]", last: str = "[SEP]", pad: str = "[PAD]") -> Column:
+    """Ids (array<int>) of a text column, always length of them: diacritics off, lower case, words and single signs, each cut greedily into its
+    longest parts, parts after the first marked by ##. What is too long is cut before the last mark; null gives marks and padding only.
+    """
+
+    @F.arrow_udf("array<int>")
+    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def of_word(word: str) -> list[int]:
+            found, start = [], 0
+            while start < len(word):
+                marked = "##" if start else ""
+                end = next((e for e in range(len(word), start, -1) if marked + word[start:e] in vocabulary), None)
+                if end is None:
+                    return [vocabulary[unknown]]
+                found.append(vocabulary[marked + word[start:end]])
+                start = end
+            return found
+
+        def of_text(value: str | None) -> list[int]:
+            plain = "".join(c for c in unicodedata.normalize("NFD", (value or "").lower()) if unicodedata.category(c) != "Mn")
+            found = [i for word in re.findall(r"\w+|[^\w\s]", plain) for i in of_word(word)][: length - 2]
+            return [vocabulary[first], *found, vocabulary[last], *[vocabulary[pad]] * (length - 2 - len(found))]
+
+        for part in parts:
+            yield pa.array([of_text(t) for t in part.to_pylist()], pa.list_(pa.int32()))
+
+    return ids(text)
+
+
+def mean_pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of the token vectors that a mask of 0 and 1 keeps, at length one; null where it keeps none or their mean is zero."""
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda t: t["m"] == 1)
+    start = F.transform(F.get(F.transform(kept, lambda t: t["v"]), F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, start, lambda a, t: F.zip_with(a, t["v"], lambda x, y: x + y.cast("double")))
+    size = F.sqrt(dot(total, total))
+    return F.when(size > 0, F.transform(total, lambda x: x / size))

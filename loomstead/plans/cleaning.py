@@ -275,3 +275,40 @@ def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.match_terms(named.select("term"), names, named.select("term", "vector"), known)
     return found.select("term", "match_id", F.round("similarity", 6).alias("similarity"), "accepted")
 
+
+
+# --- small lookups
+
+
+@query("SELECT DISTINCT p_name AS name FROM part WHERE p_name ILIKE '%il%' OR p_name ILIKE '%ro%' ORDER BY name LIMIT 20")
+def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty names that hold what was typed, in any case."""
+    names = R.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).where(F.ilike("name", F.lit("%il%")) | F.ilike("name", F.lit("%ro%")))
+    return names.distinct().orderBy("name").limit(20)
+
+
+@query(f"""WITH {QUEUE_SQL} SELECT count(*) FILTER (status = 'dead-letter') AS dead, round((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(created_at) FILTER (status = 'completed'))) / 3600000000.0, 6) AS hours,
+  true AS alert FROM q""")
+def queue_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters and hours since the last completed event, and whether either is too much."""
+    queue = work_queue(spark, sf_dir).withColumn("completed_at", F.col("created_at"))
+    return Q.alerts(queue, F.lit(NOW).cast("timestamp_ntz"), 10, 24).withColumn("hours", F.round("hours", 6))
+
+
+@query(f"SELECT user_id AS source, least(max(ts) + INTERVAL '24 hours', TIMESTAMP '{NOW}') AS window_end FROM events GROUP BY 1")
+def next_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the next incremental window of each source ends."""
+    last = R.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("last"))
+    return last.select("source", Q.next_window_end(F.col("last"), F.lit(NOW).cast("timestamp_ntz")).alias("window_end"))
+
+
+#: A vocabulary of parts for names of goods.
+PARTS = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "small", "red", "blue", "hot", "wid", "##get", "gear", "bolt", "ring", "gi", "##z", "##mo"])}
+
+
+@query("""SELECT p_partkey AS id, '2,' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'small' THEN '4' WHEN 'red' THEN '5' WHEN 'blue' THEN '6' WHEN 'hot' THEN '7' WHEN 'widget' THEN '8,9'
+  WHEN 'gear' THEN '10' WHEN 'bolt' THEN '11' WHEN 'ring' THEN '12' WHEN 'gizmo' THEN '13,14,15' ELSE '1' END), ',') || ',3' AS ids FROM part""")
+def wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = M.wordpiece(F.col("p_name"), PARTS, 12)
+    found = R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ids.alias("ids"))
+    return found.select("id", F.array_join(F.filter("ids", lambda i: i != 0).cast("array<string>"), ",").alias("ids"))

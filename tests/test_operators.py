@@ -100,6 +100,16 @@ def test_nearest_over_parts_equals_brute_force(spark):
         assert got == {(i, k + 1): int(np.argsort(-near[i], kind="stable")[k]) for i in range(7) for k in range(2)}
 
 
+def test_wordpieces_and_pooling(spark):
+    vocabulary = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "heart", "##s", ",", "e"])}
+    df = spark.createDataFrame([("Hearts, é xyz",), (None,), ("heart " * 9,)], "t string")
+    got = [r.i for r in df.select(matching.wordpiece(F.col("t"), vocabulary, 8).alias("i")).collect()]
+    assert got == [[2, 4, 5, 6, 7, 1, 3, 0], [2, 3, 0, 0, 0, 0, 0, 0], [2, 4, 4, 4, 4, 4, 4, 3]]
+    pool = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "v array<array<double>>, m array<int>")
+    first, none = [r.p for r in pool.select(matching.mean_pooled(F.col("v"), F.col("m")).alias("p")).collect()]
+    assert first == pytest.approx([0.6, 0.8]) and none is None
+
+
 STUDY = {
     "identificationModule": {"nctId": "N1", "briefTitle": "T"}, "statusModule": {"overallStatus": "COMPLETED", "startDateStruct": {"date": "2020-05"}, "lastUpdatePostDateStruct": {"date": "2024-01-02"}},
     "sponsorCollaboratorsModule": {"leadSponsor": {"name": "A"}, "collaborators": [{"name": "B"}, {"name": "C"}]}, "conditionsModule": {"conditions": ["x"], "keywords": ["k1", "k2"]},
