@@ -39,16 +39,16 @@ class BoundedCache(dict):
     When it is full, its entries become the old generation, from which those still in use come back; so frequent strings stay.
     """
 
-    def __init__(self, function):
+    def __init__(self, function, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.function, self.old = function, {}
+        self.function, self.entries, self.old = function, entries, {}
 
     def __missing__(self, text: str):
         value = self.old.get(text)
         if value is None:
             value = self.function(text)
         if len(text) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[text] = value

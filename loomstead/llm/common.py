@@ -24,14 +24,11 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        folder = tempfile.mkdtemp(prefix="loomstead-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """The folder that all executors share, spark.checkpoint.dir; a temporary one only where the session names none."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="loomstead-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
