@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import materialise
 from loomstead.llm.components import connected_components
-from loomstead.llm.groups import UnionFind, split_hot, whole_groups
+from loomstead.llm.groups import UnionFind, bundles, large_groups, small_pairs, split_hot
 
 #: Tables, projections in each, and the width of a quantised step for vectors of length one. A pair at cosine 0.93 lies 0.37 apart and agrees on a
 #: projection with probability 0.85, so it meets in one table or more with 99.5 %; at 0.97, with over 99.999 %.
@@ -25,6 +25,9 @@ TABLES, PROJECTIONS, WIDTH = 24, 10, 2.0
 #: Vectors of a bucket that one task compares, and rows of a block of cosines.
 BUCKET, BLOCK = 2048, 512
 
+#: Members of a bucket up to which its pairs are compared together with those of other buckets.
+SMALL = 32
+
 SEED = 6
 
 
@@ -45,14 +48,11 @@ def bucket_codes(unit: np.ndarray, tables: int = TABLES, projections: int = PROJ
     return codes.view(np.int64)
 
 
-def units(column: pa.Array) -> list[np.ndarray]:
-    """Vectors of length one, in double precision."""
-    out = []
-    for v in column.to_pylist():
-        x = np.array(v, np.float64)
-        x /= np.abs(x).max()  # lengths of huge and tiny vectors stay finite
-        out.append(x / np.linalg.norm(x))
-    return out
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; lengths of huge and tiny rows stay finite."""
+    rows = vectors.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def usable(vector: Column) -> Column:
@@ -67,49 +67,67 @@ def link(classes: DataFrame, threshold: float, tables: int = TABLES) -> DataFram
     classes: node long, label, vector array, copies long; vectors of a label differ.
     """
 
+    kind = np.float32 if classes.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
+
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = units(batch.column(2))
+            vectors = [np.array(v, kind) for v in batch.column(2).to_pylist()]
             codes = np.empty((len(vectors), tables), np.int64)
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                codes[rows] = bucket_codes(np.stack([vectors[i] for i in rows]), tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["node", "label", "copies", "unit", "codes"])
+                codes[rows] = bucket_codes(units(np.stack([vectors[i] for i in rows])), tables)
+            binary = lambda arrays: pa.array([a.tobytes() for a in arrays], pa.binary())
+            columns = [batch.column(0), batch.column(1), batch.column(3), binary(vectors), binary(codes), pa.array(list(codes), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "label", "copies", "vector", "all_codes", "codes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["bucket", "lo", "hi"]):
-            yield from _compare(group, threshold, tables)
+        for table, starts in bundles(batches, ["bucket", "lo", "hi"]):
+            yield from _compare(table, starts, threshold, kind)
 
     label_type = classes.schema["label"].dataType.simpleString()
-    hashed = classes.select("node", "label", "vector", "copies").mapInArrow(hash_, f"node long, label {label_type}, copies long, unit binary, codes array<long>")
-    placed = hashed.select("node", "copies", "unit", "label", F.posexplode("codes").alias("table", "code"))
-    bucket = F.xxhash64("label", "table", F.octet_length("unit"), "code").alias("bucket")
-    dealt = split_hot(placed.select("node", "copies", "unit", "table", bucket), "bucket", "node", BUCKET)
-    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "part", "table", "node", "copies", "unit")
+    hashed = classes.select("node", "label", "vector", "copies").mapInArrow(hash_, f"node long, label {label_type}, copies long, vector binary, all_codes binary, codes array<long>")
+    placed = hashed.select("node", "copies", "vector", "all_codes", "label", F.posexplode("codes").alias("table", "code"))
+    bucket = F.xxhash64("label", "table", F.octet_length("vector"), "code").alias("bucket")
+    dealt = split_hot(placed.select("node", "copies", "vector", "all_codes", "table", bucket), "bucket", "node", BUCKET)
+    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "part", "table", "node", "copies", "vector", "all_codes")
     return met.mapInArrow(compare, "node long, add long, root long")
 
 
-def _compare(group: pa.Table, threshold: float, tables: int) -> Iterator[pa.RecordBatch]:
-    node, copies, part = (group[c].to_numpy() for c in ("node", "copies", "part"))
-    table, lo, hi = (group[c][0].as_py() for c in ("table", "lo", "hi"))
-    unit = np.stack([np.frombuffer(u, np.float64) for u in group["unit"].to_pylist()])
-    codes = bucket_codes(unit, tables)[:, :table]
-    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-    added, classes = np.zeros(len(node), np.int64), UnionFind(len(node))
-    for a in range(0, len(left), BLOCK):
-        rows = left[a : a + BLOCK]
-        i, j = np.nonzero(unit[rows] @ unit[right].T >= threshold)
-        i, j = rows[i], right[j]
-        fresh = i < j if lo == hi else i != j
-        i, j = i[fresh], j[fresh]
-        for t in range(table):  # pairs that met in an earlier table are counted there
-            apart = codes[i, t] != codes[j, t]
-            i, j = i[apart], j[apart]
-        added += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
+def _compare(bundle: pa.Table, starts: np.ndarray, threshold: float, kind: type) -> Iterator[pa.RecordBatch]:
+    """Counts and links of the buckets of a bundle; vectors in it may differ in length, those of a bucket do not."""
+    n = bundle.num_rows
+    node, copies, part, table, lo, hi = (bundle[c].to_numpy() for c in ("node", "copies", "part", "table", "lo", "hi"))
+    vectors, size = bundle["vector"].to_pylist(), np.dtype(kind).itemsize
+    codes = np.frombuffer(b"".join(bundle["all_codes"].to_pylist()), np.int64).reshape(n, -1)
+    lengths = np.array([len(v) // size for v in vectors])
+    unit = np.zeros((n, lengths.max()))  # shorter ones are filled with zeros, which changes no product within a bucket
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        unit[rows, :length] = units(np.frombuffer(b"".join(vectors[i] for i in rows), kind).reshape(len(rows), -1))
+    added, classes = np.zeros(n, np.int64), UnionFind(n)
+
+    def count(i: np.ndarray, j: np.ndarray) -> None:
+        for t in range(int(table[i].max()) if len(i) else 0):  # pairs that met in an earlier table are counted there
+            here = (table[i] <= t) | (codes[i, t] != codes[j, t])
+            i, j = i[here], j[here]
+        np.add.at(added, i, copies[j])
+        np.add.at(added, j, copies[i])
         classes.join(i, j)
+
+    for i, j in small_pairs(starts, n, SMALL):
+        near = (np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+        count(i[near], j[near])
+    for a, b in large_groups(starts, n, SMALL):
+        left, right = a + np.flatnonzero(part[a:b] == lo[a]), a + np.flatnonzero(part[a:b] == hi[a])
+        for k in range(0, len(left), BLOCK):
+            rows = left[k : k + BLOCK]
+            i, j = np.nonzero(unit[rows] @ unit[right].T >= threshold)
+            i, j = rows[i], right[j]
+            fresh = i < j if lo[a] == hi[a] else i != j
+            count(i[fresh], j[fresh])
     rows = np.flatnonzero(added)
     if len(rows):
         yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(added[rows]), pa.array(node[classes.roots()[rows]])], ["node", "add", "root"])

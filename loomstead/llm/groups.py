@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import broadcast_if_small, materialise
 
+#: Rows of sorted groups that a task looks at together.
+BUNDLE = 20_000
+
 
 def split_hot(members: DataFrame, key: str, item: str, limit: int) -> DataFrame:
     """Adds columns lo, hi and part to members, so that the rows of one (key, lo, hi) can meet in one task.
@@ -27,6 +30,51 @@ def split_hot(members: DataFrame, key: str, item: str, limit: int) -> DataFrame:
     return dealt.withColumn("other", others).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other", "parts")
 
 
+def bundles(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = BUNDLE) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the row at which each begins, of batches sorted by keys; a table has about so many rows, or one larger group."""
+    held: list[pa.RecordBatch] = []
+
+    def gathered() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            c = table[k].to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return table, np.flatnonzero(new)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table, starts = gathered()
+            last = int(starts[-1])
+            if last:
+                yield table.slice(0, last), starts[:-1]
+                held = table.slice(last).to_batches()
+    if held:
+        yield gathered()
+
+
+def small_pairs(starts: np.ndarray, rows: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups of limit rows at most, as arrays (i, j) with i < j, for all such groups at once."""
+    sizes = np.diff(np.append(starts, rows))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    small = sizes[group] <= limit
+    for d in range(1, limit):
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        if not len(i):
+            return
+        yield i, i + d
+
+
+def large_groups(starts: np.ndarray, rows: int, limit: int) -> Iterator[tuple[int, int]]:
+    """The first row and the one after the last of each group of more than limit rows."""
+    ends = np.append(starts[1:], rows)
+    for k in np.flatnonzero(ends - starts > limit):
+        yield int(starts[k]), int(ends[k])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of two rows or more, each as one table, of batches sorted by keys; a group goes on from batch to batch."""
     waiting: list[pa.RecordBatch] = []
