@@ -75,34 +75,6 @@ def large_groups(starts: np.ndarray, rows: int, limit: int) -> Iterator[tuple[in
         yield int(starts[k]), int(ends[k])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of two rows or more, each as one table, of batches sorted by keys; a group goes on from batch to batch."""
-    waiting: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        if waiting and first != last:
-            if sum(b.num_rows for b in waiting) > 1:
-                yield pa.Table.from_batches(waiting)
-            waiting = []
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if k:
-                if sum(w.num_rows for w in waiting) > 1:
-                    yield pa.Table.from_batches(waiting)
-                waiting = []
-            waiting.append(batch.slice(a, b - a))
-        last = tuple(c[-1] for c in columns)
-    if sum(w.num_rows for w in waiting) > 1:
-        yield pa.Table.from_batches(waiting)
-
-
 class UnionFind:
     """Classes of numbered items; the smallest number stands for a class."""
 

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import materialise, small_batches
 from loomstead.llm.components import connected_components
-from loomstead.llm.groups import UnionFind, split_hot, whole_groups
+from loomstead.llm.groups import UnionFind, bundles, large_groups, small_pairs, split_hot
 
 #: Fingerprints in a tree.
 TREE_SIZE = 4096
 
+#: Members of a shard up to which all of its pairs are compared at once; beyond, a tree is searched.
+NO_TREE = 16
+
 #: Shingles whose bits are counted at once, so that a very long text takes bounded memory.
 COUNTED = 100_000
 
@@ -92,10 +95,6 @@ class BkTree:
 def shard_links(prints: np.ndarray, part: np.ndarray, lo: int, hi: int, radius: int) -> np.ndarray:
     """For each fingerprint of a shard, the number of the first of its class under the links between parts lo and hi."""
     classes = UnionFind(len(prints))
-    if len(prints) <= 16:  # a tree is not worth it
-        far = np.bitwise_count(prints[:, None] ^ prints[None, :])
-        classes.join(*np.nonzero(np.triu(far <= radius, 1)))
-        return classes.roots()
     owners = np.flatnonzero(part == lo)
     asking = np.flatnonzero(part == hi)
     if len(owners) and len(asking):
@@ -115,12 +114,19 @@ def similar_classes(prints: DataFrame, radius: int = 3, blocks: int = 6) -> Data
     shards = split_hot(prints.select("node", "print", keys.alias("shard")), "shard", "node", TREE_SIZE)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["shard", "lo", "hi"]):
-            column = {c: group[c].to_numpy() for c in ("node", "print", "part")}
-            roots = shard_links(column["print"].view(np.uint64), column["part"], group["lo"][0].as_py(), group["hi"][0].as_py(), radius)
-            linked = np.flatnonzero(roots != np.arange(len(roots)))
+        for table, starts in bundles(batches, ["shard", "lo", "hi"]):
+            node, prints, part, lo, hi = (table[c].to_numpy() for c in ("node", "print", "part", "lo", "hi"))
+            prints, n = prints.view(np.uint64), len(node)
+            classes = UnionFind(n)
+            for i, j in small_pairs(starts, n, NO_TREE):
+                met = (np.bitwise_count(prints[i] ^ prints[j]) <= radius) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+                classes.join(i[met], j[met])
+            for a, b in large_groups(starts, n, NO_TREE):
+                classes.join(np.arange(a, b), a + shard_links(prints[a:b], part[a:b], lo[a], hi[a], radius))
+            roots = classes.roots()
+            linked = np.flatnonzero(roots != np.arange(n))
             if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(column["node"][linked]), pa.array(column["node"][roots[linked]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[roots[linked]])], ["a", "b"])
 
     met = shards.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi").select("shard", "lo", "hi", "part", "node", "print")
     return connected_components(met.mapInArrow(link, "a long, b long"))

@@ -137,8 +137,16 @@ def test_groups_go_on_over_batches():
     import pyarrow as pa
 
     batch = lambda keys: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(len(keys)))], ["k", "v"])
-    found = [g["k"].to_pylist() for g in groups.whole_groups(iter([batch([1, 1, 2]), batch([]), batch([2, 2]), batch([3]), batch([4, 4])]), ["k"])]
-    assert found == [[1, 1], [2, 2, 2], [4, 4]]
+    rows = [[1, 1, 2], [], [2, 2], [3], [4, 4], [4, 5]]
+    for size in (1, 3, 100):
+        found = []
+        for table, starts in groups.bundles(iter(map(batch, rows)), ["k"], size):
+            keys, ends = table["k"].to_pylist(), [*starts[1:].tolist(), table.num_rows]
+            found += [keys[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
+        assert found == [[1, 1], [2, 2, 2], [3], [4, 4, 4], [5]]
+    starts = np.array([0, 2, 5, 6])
+    pairs = {(i, j) for a, b in groups.small_pairs(starts, 11, 3) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert pairs == {(0, 1), (2, 3), (3, 4), (2, 4)} and list(groups.large_groups(starts, 11, 3)) == [(6, 11)]
 
 
 # --- lines
