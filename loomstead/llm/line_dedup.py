@@ -147,16 +147,17 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return materialise(later.where(F.size("spans") > 0).select("_key", "_text_hash", "spans"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text freed of the lines in chunks that occur before, in the order of keys and places, and n_removed_lines (int), their number.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = "n_removed_lines") -> DataFrame:
+    """docs with text freed of the lines in chunks that occur before, in the order of keys and places, and their number (int) in a column count.
 
     The first occurrence of a line in that order always stays. Each row stays, with an empty text if all of it occurs before; n_chars follows the text
     if docs has that column. Rows with equal key and text are one document and treated alike. Null keys come first; a null text stays null. Other
-    columns are kept; one named n_removed_lines is replaced.
+    columns are kept; one named as count is replaced, and with None none is added.
     """
     joined = _with_spans(docs, removals(docs, key, text), key, text)
     lost = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    joined = joined.withColumn("n_removed_lines", F.coalesce(F.size(lost), F.lit(0)))
+    if count:
+        joined = joined.withColumn(count, F.coalesce(F.size(lost), F.lit(0)))
 
     def left(line: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), lost)

@@ -233,3 +233,19 @@ def test_pipeline_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, MIDDLE)
     key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(whole) == key(last) and {r[0] for r in key(whole)} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["score", "predicted", "n_removed_lines", "n_words", "kept", "node", "print", "component_id", "fingerprint", "hash", "group", "label", "removed", "mark"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.limit(60).collect()
+    odd = [(None, "a b c", None, None, None), (10**9, None, "en", None, 0), (10**9 + 1, "", None, "s", None)]
+    schema = docs.schema
+    wide = spark.createDataFrame([tuple(r) for r in rows] + odd, schema).select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SMALL)
+        assert out.columns == wide.columns
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+        assert stage(spark, wide.limit(0), SMALL).count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, wide, SMALL).collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in rows} | {None, 10**9, 10**9 + 1}
