@@ -3,8 +3,9 @@
 A rolling hash over the hashes of two neighbouring lines chooses boundaries, so they follow the content and not its place. Where the hash looks back,
 it ends chunks, and where it looks ahead, it begins them; a chunk is the lines from any line to the next end, or from the last beginning to any line.
 So a passage that is moved to another text gives the same chunks there up to its very edges. Chunks of several lines that occur earlier anywhere, byte
-for byte, are removed. A line long enough to be a passage by itself is a chunk too. All of it is built-in expressions; bodies of chunks
-meet only where a hash repeats.
+for byte, are removed. A line long enough to be a passage by itself is a chunk too. Where the hash falls is chance, so each line also begins and ends
+the shortest run of lines that holds a passage's words: whatever surrounds a passage, these runs cover all of its lines. All of it is built-in
+expressions; bodies of chunks meet only where a hash repeats.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import SPACES, broadcast_if_small, materialise
 
-#: One boundary in so many lines, and the most lines of a chunk; a longer passage is several chunks that overlap.
+#: One boundary in so many lines, and the most lines of a chunk that a boundary cuts; a longer passage is several chunks that overlap.
 SPACING, MOST_LINES = 2, 8
 
-#: A line of this many words is a chunk by itself.
+#: A line of this many words is a chunk by itself, and so is the shortest run of lines with so many from each line on and up to each line.
 LONG_LINE = 50
 
+#: Lines with words in which a run is looked for at first; LONG_LINE of them always hold enough.
+NEAR = 8
+
 #: Words that a chunk needs to be removed: below it are headers, licenses and other short blocks that documents rightly share.
 LEAST_WORDS = 20
 
@@ -37,8 +41,47 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def runs(c: Column) -> Column:
+    """Structs (at, n): the shortest runs of LONG_LINE words from each line with words on, and up to each; c has a struct with the words w of each line.
+
+    Every line of a passage of so many words lies in a run within the passage, which other texts around it leave as it is. Lines without words inside
+    a passage go with the run that follows them.
+    """
+
+    def of_filled(f: Column) -> Column:
+        def reach(found: Column) -> Column:
+            start = F.struct(F.lit(0).alias("w"), F.lit(-1).alias("at"))
+            return F.aggregate(found, start, lambda a, x: F.when(a["w"] >= LONG_LINE, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), x["at"].alias("at"))))
+
+        def far(part: Callable[[int], Column]) -> Column:
+            enough = lambda r: F.when(r["w"] >= LONG_LINE, r["at"])
+            return F.coalesce(_let(reach(part(NEAR)), enough), _let(reach(part(LONG_LINE)), enough))
+
+        span = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("at"), (b - a + 1).alias("n")))
+
+        def of_line(x: Column, p: Column) -> Column:
+            after = far(lambda n: F.slice(f, p + 1, n))
+            before = far(lambda n: F.reverse(F.slice(f, F.greatest(p - n + 1, F.lit(0)) + 1, F.least(p + 1, F.lit(n)))))
+            gap = F.get(f, p - 1)["at"] + 1
+            ahead = _let(after, lambda end: F.array(span(x["at"], end), F.when(gap < x["at"], span(gap, end))))
+            return F.array_compact(F.array_append(ahead, span(before, x["at"])))
+
+        return F.flatten(F.transform(f, of_line))
+
+    return _let(F.filter(F.transform(c, lambda x, i: F.struct(i.alias("at"), x["w"].alias("w"))), lambda x: x["w"] > 0), of_filled)
+
+
 def chunks(lines: Column) -> Column:
-    """Structs (at, n, hash) of an array of lines: the chunks of n lines from line at on that have enough words."""
+    """Structs (at, n, hash) of an array of lines: the chunks of n lines from line at on, as boundaries cut them, that have enough words."""
+    return _chunks(lines, False)
+
+
+def passages(lines: Column) -> Column:
+    """The chunks of an array of lines, and its runs."""
+    return _chunks(lines, True)
+
+
+def _chunks(lines: Column, with_runs: bool) -> Column:
 
     def of_lines(line: Column) -> Column:
         counted = F.transform(line, lambda s: F.struct(F.xxhash64(s).alias("h"), F.size(F.filter(F.split(s, SPACES), lambda w: w != "")).alias("w")))
@@ -63,7 +106,7 @@ def chunks(lines: Column) -> Column:
             m, lambda x, i: _let(F.coalesce(*(F.when(F.get(m, i - k)["begins"], F.lit(k)) for k in range(1, MOST_LINES))), lambda k: F.struct((i - k).alias("at"), (k + 1).alias("n")))
         )
         alone = F.transform(m, lambda x, i: F.struct(i.alias("at"), F.when(x["w"] >= LONG_LINE, F.lit(1)).alias("n")))
-        found = F.array_distinct(F.filter(F.concat(to_end, from_begin, alone), lambda s: s["n"].isNotNull()))
+        found = F.array_distinct(F.filter(F.concat(to_end, from_begin, alone, *([runs(m)] if with_runs else [])), lambda s: s["n"].isNotNull()))
 
         def weigh(s: Column) -> Column:
             part = F.slice(m, s["at"] + 1, s["n"])
@@ -89,7 +132,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     The first of a hash is the first by key, text hash and place. Rows are narrow here: hashes are counted with partial aggregates, and the join back
     to the chunks shuffles by hash, where AQE splits a chunk that many texts share.
     """
-    rows = docs.select(F.col(key).alias("_key"), _text_hash(text).alias("_text_hash"), F.explode(chunks(_lines(F.col(text)))).alias("c"))
+    rows = docs.select(F.col(key).alias("_key"), _text_hash(text).alias("_text_hash"), F.explode(passages(_lines(F.col(text)))).alias("c"))
     narrow = materialise(rows.select("_key", "_text_hash", "c.at", "c.n", "c.hash"))
     place = F.struct("_key", "_text_hash", "at")
     counted = narrow.groupBy("hash").agg(F.count("*").alias("copies"), F.min(place).alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -233,3 +234,24 @@ def test_repeated_rows_and_null_keys(spark):
     df = spark.createDataFrame([(7, t), (7, t), (None, t), (8, t)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()), key=str)
     assert got == sorted([(7, ""), (7, ""), (None, t), (8, "")], key=str)
+
+
+@pytest.mark.parametrize(("lines", "length"), [(2, 26), (2, 40), (3, 18), (9, 6), (14, 4), (50, 1)])
+def test_each_passage_goes_whole(spark, lines, length):
+    # 40 passages of over 50 words (one of just 50), each between other lines in two documents
+    docs = []
+    for k in range(40):
+        passage = [line(f"{k}p{i}", length) for i in range(lines)]
+        around = [[line(f"{k}{side}{d}", 7) for d in range(2)] for side in "ab"]
+        docs += [(d, "\n".join([around[0][d % 2], *passage, around[1][d % 2]]), around) for d in (2 * k, 2 * k + 1)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {d: text if d % 2 == 0 else f"{around[0][1]}\n{around[1][1]}" for d, text, around in docs}
+
+
+def test_passages_with_empty_lines(spark):
+    passage = [line("a", 60), "", "", line("b", 60), " ", line("c", 5)]
+    docs = {1: [*passage, "", line("x")], 2: [line("y"), *passage, line("z")]}
+    df = spark.createDataFrame([(d, "\n".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: "\n".join(docs[1]), 2: f"{line('y')}\n{line('z')}"}
