@@ -50,8 +50,11 @@ SET_APART = re.compile(r"[^\W_](?:[ .*_\-][^\W_])+")
 WORD = re.compile(r"[^\W\d_]+")
 
 #: What a token holds that may be in disguise, and single letters with spaces between them.
-HINT = re.compile(rf"[{SIGNS}._\-][^\W_]|([^\W\d_])\1\1")
+HINT = re.compile(rf"[{SIGNS}][^\W\d_]|[^\W\d_][{SIGNS}]|[^\W_][.*_\-][^\W_]|([^\W\d_])\1\1")
 MARKS = ".,;:!?\"'()"
+
+#: Signs before a word that may be marks as well as letters; it's read with and without them.
+OPENING = "(*&|+"
 SPACED = re.compile(r" [^\W_](?: [^\W_]){2,}(?![^\W_])")
 
 #: Tokens that a generation of a worker's caches holds; what they say is worked out fast.
@@ -177,9 +180,12 @@ class Scorer:
         """The words of a token without white space, as they stand and as restored, in lower case."""
         low = token.strip(MARKS).lower()
         found = [low] if low.isalpha() else WORD.findall(low)
-        if HINT.search(low):
+        if HINT.search(token):
             for m in DISGUISED.finditer(token):
                 found += WORD.findall(self.decoded[m[0]].lower())
+                bare = m[0].lstrip(OPENING)
+                if bare != m[0] and HINT.search(bare):
+                    found += WORD.findall(self.decoded[bare].lower())
         return found
 
     def spaced_words(self, text: str) -> list[str]:

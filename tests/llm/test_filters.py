@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+import random
 import struct
 import zlib
 
@@ -186,6 +187,18 @@ def test_disguises(learned):
     assert scorer.score("A" * 100_000) < 0.5 and scorer.decode("a1" * 50) == "a1" * 50
 
 
+def test_disguises_at_either_end(learned):
+    scorer = learned[2]
+    for token, restored in (("a$$", "ass"), ("merd3", "merde"), ("put0", "puto"), ("idio7", "idiot"), ("pendej0.", "pendejo"), ("!diot", "idiot")):
+        assert restored in scorer.words(token), token
+    for token in ("idio7", "l0ser$", "!diot", "(!diot)", "$cum", "tra$h."):
+        assert scorer.score(f"Of the {token} and.") >= 0.5, token
+    pick = random.Random(4)
+    for _ in range(20_000):
+        token = "".join(pick.choices("abcABé01$!(@*._-,\"", k=pick.randint(1, 6)))
+        assert not toxicity.DISGUISED.search(token) or toxicity.HINT.search(token), token
+
+
 def test_held_out_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.h for r in df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
