@@ -49,13 +49,14 @@ APART = re.compile(r"[ .*_\-]")
 SET_APART = re.compile(r"[^\W_](?:[ .*_\-][^\W_])+")
 WORD = re.compile(r"[^\W\d_]+")
 
-#: What a token holds that may be in disguise, and single letters with spaces between them.
+#: What each token holds in which DISGUISED finds something; single letters with spaces between them, and what each text with such letters holds.
 HINT = re.compile(rf"[{SIGNS}][^\W\d_]|[^\W\d_][{SIGNS}]|[^\W_][.*_\-][^\W_]|([^\W\d_])\1\1")
 MARKS = ".,;:!?\"'()"
 
 #: Signs before a word that may be marks as well as letters; it's read with and without them.
 OPENING = "(*&|+"
-SPACED = re.compile(r" [^\W_](?: [^\W_]){2,}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?: [^\W_]){2,}(?![^\W_])")
+SPACED_HINT = re.compile(r" [^\W_] [^\W_](?![^\W_])")
 
 #: Tokens that a generation of a worker's caches holds; what they say is worked out fast.
 CACHED = 100_000
@@ -130,6 +131,11 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
+def signs_of(span: str) -> str:
+    """The signs of a disguised span in lower case, without what sets them apart."""
+    return APART.sub("", span.lower()) if SET_APART.fullmatch(span) else span.lower()
+
+
 class Scorer:
     """Restores and scores texts; shared by broadcast, so that a worker keeps its caches."""
 
@@ -138,7 +144,8 @@ class Scorer:
         self._start()
 
     def _start(self) -> None:
-        self.decoded, self.strong = BoundedCache(self.decode, CACHED), BoundedCache(self.strong_words, CACHED)
+        self.decoded, self.told = BoundedCache(self.decode, CACHED), BoundedCache(self.span_words, CACHED)
+        self.strong = BoundedCache(self.strong_words, CACHED)
         self.heads = {f.rstrip("~")[: min(STEMS)] for f in self.lexicon}  # a word with another beginning says nothing
 
     def __getstate__(self):
@@ -149,19 +156,46 @@ class Scorer:
         self._start()
 
     def decode(self, span: str) -> str:
-        """The likeliest reading of a disguised word."""
-        signs = APART.sub("", span.lower()) if SET_APART.fullmatch(span) else span.lower()
+        """The likeliest reading of a disguised word; a span that is too long for one word stays as it is."""
+        signs = signs_of(span)
+        return span if len(signs) > LONGEST else self.read(signs)
+
+    def span_words(self, span: str) -> list[str]:
+        """The words that a disguised span may stand for, in lower case: as one word, and where its letters stand apart, as several."""
+        signs = signs_of(span)
         if len(signs) > LONGEST:
-            return span
-        # states are the last two characters; each keeps its best cost and reading
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+            return WORD.findall(span.lower())
+        found = WORD.findall(self.read(signs))
+        if SET_APART.fullmatch(span):
+            found += WORD.findall(self.read(signs, True))
+            found += {part for word in found for part in self.known_parts(word)}
+        return found
+
+    def known_parts(self, word: str) -> Iterator[str]:
+        """What begins within words that may have run together and speaks for a toxic text: a whole word of the lexicon, else the rest for its stem."""
+        for i in range(len(word)):
+            if word[i : i + min(STEMS)] in self.heads:
+                rest = word[i : i + LONGEST]
+                whole = [rest[:j] for j in range(1, len(rest) + 1) if rest[:j] in self.lexicon]
+                if whole or self.share(rest):
+                    yield max(whole, key=lambda w: (self.lexicon[w], len(w))) if whole else rest
+
+    def read(self, signs: str, several: bool = False) -> str:
+        """The likeliest reading of signs, as one word or with spaces between several."""
+        # states are the last two characters; each keeps its best cost and its letters, the last one first
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, sign in enumerate(signs):
             options = [(letter, AS_LETTER) for letter in LEET.get(sign, "")] + [("", DROP_SIGN)] if sign in LEET else [(sign, 0.0)]
             if sign not in LEET and signs[i - 1 : i] == sign:
                 run = signs[max(0, i - 2) : i + 2].count(sign) > 2  # it stands three times or more
                 options = [(sign, KEEP_REPEAT if run else KEEP_DOUBLE), ("", DROP_REPEAT if run else DROP_DOUBLE)]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, reading) in states.items():
+            if several:
+                for (a, b), (cost, letters) in list(states.items()):
+                    bound, now = (b, 0), cost - float(self.model[a, b, 0])
+                    if b and (bound not in states or now < states[bound][0]):
+                        states[bound] = (now, (" ", letters))
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (cost, letters) in states.items():
                 for letter, extra in options:
                     if letter:
                         c = LETTERS.find(letter) + 1 or (OTHER if letter.isalpha() else 0)
@@ -169,9 +203,14 @@ class Scorer:
                     else:
                         state, now = (a, b), cost + extra
                     if state not in after or now < after[state][0]:
-                        after[state] = (now, reading + letter)
+                        after[state] = (now, (letter, letters))
             states = after
-        return min((cost - float(self.model[a, b, 0]), reading) for (a, b), (cost, reading) in states.items())[1]
+        best = min(((cost - float(self.model[a, b, 0]), letters) for (a, b), (cost, letters) in states.items()), key=lambda r: r[0])[1]
+        reading = []
+        while best:
+            letter, best = best
+            reading.append(letter)
+        return "".join(reversed(reading))
 
     def restore(self, text: str) -> str:
         return DISGUISED.sub(lambda m: self.decoded[m[0]], text)
@@ -182,15 +221,15 @@ class Scorer:
         found = [low] if low.isalpha() else WORD.findall(low)
         if HINT.search(token):
             for m in DISGUISED.finditer(token):
-                found += WORD.findall(self.decoded[m[0]].lower())
+                found += self.told[m[0]]
                 bare = m[0].lstrip(OPENING)
                 if bare != m[0] and HINT.search(bare):
-                    found += WORD.findall(self.decoded[bare].lower())
+                    found += self.told[bare]
         return found
 
     def spaced_words(self, text: str) -> list[str]:
         """The words whose letters stand apart in a text."""
-        return [w for m in SPACED.finditer(f" {text}") for w in WORD.findall(self.decoded[m[0][1:]].lower())]
+        return [w for m in SPACED.finditer(text) for w in self.told[m[0]]] if SPACED_HINT.search(text) else []
 
     def words(self, text: str | None) -> set[str]:
         """The words of a text as they stand and as restored, in lower case."""

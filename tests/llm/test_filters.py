@@ -199,6 +199,13 @@ def test_disguises_at_either_end(learned):
         assert not toxicity.DISGUISED.search(token) or toxicity.HINT.search(token), token
 
 
+def test_letters_set_apart(learned):
+    scorer = learned[2]
+    for text in ("foo\ni d i o t bar", '"i d i o t"', "(i d i o t)", "i d i o t", "a s t u p i d", "you a r e a s t u p i d now", "i d i o t a s", "y o u s c u m b u t"):
+        assert scorer.score(text) >= 0.5, text
+    assert scorer.score("c l a s s of 1 2 3 4 5 and a b c d e") < 0.5
+
+
 def test_held_out_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.h for r in df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
