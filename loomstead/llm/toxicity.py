@@ -35,7 +35,7 @@ LEET = {
 #: it; keeping and dropping the second of a double letter.
 AS_LETTER, DROP_SIGN, KEEP_REPEAT, DROP_REPEAT, KEEP_DOUBLE, DROP_DOUBLE = 0.5, 12.0, 2.5, 0.1, 0.0, 6.0
 
-#: Longer words than this many signs are no words in disguise (they are digests, keys and addresses).
+#: Signs up to which a span is read as one word; a longer one may hold several, and is read with bounds of words between its signs.
 LONGEST = 24
 
 #: Words with signs inside, letters set apart by single signs, and words with a letter three times in a row.
@@ -48,6 +48,7 @@ DISGUISED = re.compile(
 APART = re.compile(r"[ .*_\-]")
 SET_APART = re.compile(r"[^\W_](?:[ .*_\-][^\W_])+")
 WORD = re.compile(r"[^\W\d_]+")
+STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 
 #: What each token holds in which DISGUISED finds something; single letters with spaces between them, and what each text with such letters holds.
 HINT = re.compile(rf"[{SIGNS}][^\W\d_]|[^\W\d_][{SIGNS}]|[^\W_][.*_\-][^\W_]|([^\W\d_])\1\1")
@@ -132,8 +133,8 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def signs_of(span: str) -> str:
-    """The signs of a disguised span in lower case, without what sets them apart."""
-    return APART.sub("", span.lower()) if SET_APART.fullmatch(span) else span.lower()
+    """The signs of a disguised span in lower case, without what sets them apart; a letter stands three times in a row at most."""
+    return STRETCHED.sub(r"\1\1\1", APART.sub("", span.lower()) if SET_APART.fullmatch(span) else span.lower())
 
 
 class Scorer:
@@ -161,19 +162,17 @@ class Scorer:
         return span if len(signs) > LONGEST else self.read(signs)
 
     def span_words(self, span: str) -> list[str]:
-        """The words that a disguised span may stand for, in lower case: as one word, and where its letters stand apart, as several."""
+        """The words that a disguised span may stand for, in lower case: as one word, and where it is long or its letters stand apart, as several."""
         signs = signs_of(span)
-        if len(signs) > LONGEST:
-            return WORD.findall(span.lower())
-        found = WORD.findall(self.read(signs))
-        if SET_APART.fullmatch(span):
+        found = WORD.findall(self.read(signs)) if len(signs) <= LONGEST else []
+        if len(signs) > LONGEST or SET_APART.fullmatch(span):
             found += WORD.findall(self.read(signs, True))
             found += {part for word in found for part in self.known_parts(word)}
         return found
 
     def known_parts(self, word: str) -> Iterator[str]:
         """What begins within words that may have run together and speaks for a toxic text: a whole word of the lexicon, else the rest for its stem."""
-        for i in range(len(word)):
+        for i in range(len(word) - min(STEMS) + 1):
             if word[i : i + min(STEMS)] in self.heads:
                 rest = word[i : i + LONGEST]
                 whole = [rest[:j] for j in range(1, len(rest) + 1) if rest[:j] in self.lexicon]

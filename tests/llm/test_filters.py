@@ -206,6 +206,13 @@ def test_letters_set_apart(learned):
     assert scorer.score("c l a s s of 1 2 3 4 5 and a b c d e") < 0.5
 
 
+def test_long_spans(learned):
+    scorer = learned[2]
+    for text in (f"st{'u' * 40}pid", "y o u a r e a s t u p i d i d i o t l o s e r", "w h a t e v e r y o u s a y i t i s t r a s h", "you_know-youareallaverystup1dcrowd"):
+        assert scorer.score(text) >= 0.5, text
+    assert scorer.score("3f2a9c" * 8) < 0.5 and scorer.score("ab1" * 10_000) < 0.5
+
+
 def test_held_out_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.h for r in df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
