@@ -130,7 +130,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     kept is false for texts that fail the base rules, and for those with a signal outside the thresholds of their language and source. A text whose
     group has none that pass is only held to the base rules. Null languages and sources are groups; copies are judged alike and all stay.
     """
-    columns = [F.col(c) for c in dict.fromkeys((key, lang, source, text))]
+    joined = _judged(docs, key, text, lang, source)
+    return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, key: str, text: str, lang: str, source: str, *more: Column) -> DataFrame:
+    """What judge() returns for each row, with lang, source and more columns of docs."""
+    columns = [*(F.col(c) for c in dict.fromkeys((key, lang, source, text))), *more]
     measured = materialise(signals(measure(docs.select(*columns), text)).drop(text))
     limits = broadcast_if_small(materialise(thresholds(measured, lang, source).withColumnsRenamed({lang: "_lang", source: "_source"})))
     within = F.lit(True)
@@ -139,13 +145,16 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         if under is not None:
             within &= F.coalesce(F.col(s) >= F.col(f"low_{s}"), F.lit(True))
     joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"))
+    return joined.withColumn("kept", ~F.col("base_failed") & within)
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs without the documents that judge() rejects; a key of which one row is rejected goes, and rows without a key stay."""
-    rejected = materialise(judge(docs, key, text, lang, source).where(~F.col("kept")).select(F.col(key).alias("_rejected")).distinct())
-    return docs.join(broadcast_if_small(rejected), docs[key] == rejected["_rejected"], "left_anti")
+    """docs without the rows that judge() rejects, each by its own verdict, whether it has a key or not; rows of one key may differ."""
+    text_hash = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    rejected = _judged(docs, key, text, lang, source, text_hash.alias("_hash")).where(~F.col("kept"))
+    rejected = materialise(rejected.select(F.col(key).alias("_rejected"), F.col(lang).alias("_of_lang"), F.col(source).alias("_of_source"), "_hash").distinct())
+    same = (text_hash == F.col("_hash")) & docs[key].eqNullSafe(F.col("_rejected")) & docs[lang].eqNullSafe(F.col("_of_lang")) & docs[source].eqNullSafe(F.col("_of_source"))
+    return docs.join(broadcast_if_small(rejected), same, "left_anti")
 
 
 #: What judge() returns, as DuckDB SQL.

@@ -156,7 +156,21 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
 
 
 def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates, that with the smallest key; rows of that key all stay."""
-    found = near_duplicates(docs, radius, shingle, seed, key, text)
-    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(first, docs[key].cast("long") == first["_kept"], "left_semi")
+    """docs with one document of each group of near-duplicates, that with the smallest key; rows of that key all stay.
+
+    Rows without a key link as any others and come after all keys: a group of only such rows keeps one of them.
+    """
+    number = docs[key].cast("long")
+    asked, bare = docs.where(number.isNotNull()).select(number.alias("_id"), docs[text].alias("_text")), docs.where(number.isNull())
+    one = None
+    if not bare.isEmpty():
+        top = asked.agg(F.coalesce(F.max("_id"), F.lit(-1))).first()[0]
+        whole = bare.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        whole = whole.withColumn("_print", fingerprint(F.col("_text"), shingle, seed))
+        one = whole.groupBy("_print").agg(F.min_by("_row", "_text").alias("_row"), F.min("_text").alias("_text"))
+        one = materialise(one.withColumn("_id", F.monotonically_increasing_id() + F.lit(top).cast("long") + 1))
+        asked = asked.union(one.select("_id", "_text"))
+    found = near_duplicates(asked, radius, shingle, seed, "_id", "_text")
+    first = found.where(F.col("_id") == F.col("component_id")).select(F.col("_id").alias("_kept")).distinct()
+    kept = docs.join(first, number == first["_kept"], "left_semi")
+    return kept if one is None else kept.union(one.join(first, one["_id"] == first["_kept"], "left_semi").select("_row.*"))

@@ -262,6 +262,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert key(whole) == key(last) and {r[0] for r in key(whole)} == {r.doc_id for r in docs.collect()}
 
 
+def test_rows_without_a_key_are_judged(spark):
+    good, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "term", "name"))
+    docs = [(1, good, "en", "s"), (None, good, "en", "s"), (None, other, "en", "s"), (None, other, "en", "s"), (None, third, "en", "s"), (None, "", "en", "s"), (2, None, "en", "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    texts = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert texts(simhash_dedup.keep_first(df)) == sorted([(1, good), (None, other), (None, third), (2, None)], key=str)
+    assert texts(simhash_dedup.keep_first(df.where("doc_id IS NULL"))) == sorted([(None, t) for t in (good, other, third, "")], key=str)
+    poor = df.union(spark.createDataFrame([(1, "too short", "en", "s")], df.schema))
+    assert texts(quality_rules.keep_good(poor)) == sorted([(1, good), (None, good), (None, other), (None, other), (None, third)], key=str)
+
+
 def test_stages_keep_clashing_columns(spark):
     names = ["score", "predicted", "n_removed_lines", "n_words", "kept", "node", "print", "component_id", "fingerprint", "hash", "group", "label", "removed", "mark"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
