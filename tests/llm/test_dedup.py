@@ -153,22 +153,37 @@ def test_groups_go_on_over_batches():
 # --- lines
 
 
-def chunks_by_brute_force(lines, h):
-    n = [len(line.replace("\t", " ").split()) for line in lines]
-    last = len(lines) - 1
-    ends = [i == last or h(line_dedup.BACK, lines, i, i - 1) for i in range(len(lines))]
-    begins = [i == 0 or h(line_dedup.AHEAD, lines, i, i + 1) for i in range(len(lines))]
-    found = {(i, 1) for i in range(len(lines)) if n[i] >= line_dedup.LONG_LINE}
-    for i in range(len(lines)):
-        found.add((i, next((k + 1 for k in range(1, 8) if i + k <= last and ends[i + k]), 0)))
-    out = set()
-    for i, k in found:
-        if k and sum(n[i : i + k]) >= line_dedup.LEAST_WORDS:
-            out.add((i, k))
-    for j in range(len(lines)):
-        k = next((k for k in range(1, 8) if j - k >= 0 and begins[j - k]), None)
-        if k and sum(n[j - k : j + 1]) >= line_dedup.LEAST_WORDS:
-            out.add((j - k, k + 1))
+def lines_by_brute_force(docs):
+    """{key: text} of the texts (with unique keys) without the chunks that occur before, from the rules in words."""
+    seen, spans, filled = {}, {}, {}
+    for k in sorted(docs):
+        lines = (docs[k] or "").split("\n")
+        filled[k] = [i for i, x in enumerate(lines) if x.split()]
+        words = [len(lines[i].split()) for i in filled[k]]
+        found = {(i, i) for i, w in enumerate(words) if w >= 50}
+        for i in range(len(words)):
+            ahead = [j for j in range(i + 1, len(words)) if sum(words[i : j + 1]) >= 20][:1]
+            back = [j for j in range(i - 1, -1, -1) if sum(words[j : i + 1]) >= 20][:1]
+            found |= {(i, j) for j in ahead if min(words[i], words[i + 1]) < 50} | {(j, i) for j in back if min(words[i], words[i - 1]) < 50}
+        spans[k] = {(a, b): tuple(lines[filled[k][x]] for x in range(a, b + 1)) for a, b in found}
+        for (a, _), body in sorted(spans[k].items()):
+            seen.setdefault(body, (k, a))
+    out = {}
+    for k, text in docs.items():
+        lost = set()
+        for (a, b), body in spans[k].items():
+            first = seen[body]
+            if first != (k, a):
+                lost |= set(range(max(a, first[1] + len(body)) if first[0] == k else a, b + 1))
+        if not lost:
+            out[k] = text
+            continue
+        lines, f = text.split("\n"), filled[k]
+        keep = {f[j] for j in range(len(f)) if j not in lost}
+        for j in range(-1, len(f)):
+            if (0 <= j and j not in lost) or (j + 1 < len(f) and j + 1 not in lost):
+                keep |= set(range(f[j] + 1 if j >= 0 else 0, f[j + 1] if j + 1 < len(f) else len(lines)))
+        out[k] = "\n".join(lines[i] for i in sorted(keep))
     return out
 
 
@@ -180,42 +195,73 @@ def test_lines_against_brute_force(spark):
     pick = random.Random(9)
     passage = [line(900 + i) for i in range(6)]
     docs = {}
-    for d in range(40):
-        body = [line(d * 100 + i, pick.choice([3, 12, 60])) for i in range(pick.randint(1, 9))]
-        if d % 3 == 0:
-            at = pick.randint(0, len(body))
-            body[at:at] = passage
+    for d in range(60):
+        body = [line(d * 100 + i, pick.choice([0, 3, 12, 60])) for i in range(pick.randint(1, 9))]
+        for _ in range(d % 3):
+            at, a = pick.randint(0, len(body)), pick.randint(0, 3)
+            body[at:at] = passage[a : a + pick.randint(1, 6)] * pick.choice([1, 1, 2])
         docs[d] = "\n".join(body)
-    docs[40], docs[41], docs[42], docs[43] = docs[3], None, "", line(5000, 60)
-    docs[44] = docs[43] + "\n" + line(1, 4)
+    docs[60], docs[61], docs[62], docs[63] = docs[5], None, "", line(5000, 60)
+    docs[64] = docs[63] + "\n" + line(1, 4)
     df = spark.createDataFrame([(k, t, len(t or ""), "x") for k, t in docs.items()], "doc_id long, text string, n_chars long, lines string")
-    probe = df.where("text IS NOT NULL").select("doc_id", F.transform(line_dedup.chunks(F.split("text", "\n", -1)), lambda c: F.struct(c["at"], c["n"])).alias("c")).collect()
-    # boundaries come from Spark's hash, which the brute force asks Spark for
-    pairs = sorted({(s, a, b) for t in docs.values() if t is not None for ls in [t.split("\n")] for i in range(len(ls)) for s, a, b in ((line_dedup.BACK, ls[i], ls[i - 1] if i else None), (line_dedup.AHEAD, ls[i], ls[i + 1] if i + 1 < len(ls) else None))}, key=str)
-    hashed = spark.createDataFrame(pairs, "s int, a string, b string").select("s", "a", "b", (F.pmod(F.xxhash64("s", F.xxhash64("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b"))), F.lit(line_dedup.SPACING)) == 0).alias("cut"))
-    cuts = {(r.s, r.a, r.b): r.cut for r in hashed.collect()}
-    h = lambda s, ls, i, j: cuts[s, ls[i], ls[j] if 0 <= j < len(ls) else None]
-    spans = {k: chunks_by_brute_force(t.split("\n"), h) for k, t in docs.items() if t is not None}
-    assert {r.doc_id: {(c["at"], c["n"]) for c in r.c} for r in probe} == spans
-    first, expected = {}, {}
-    for k in sorted(spans):
-        for a, n in sorted(spans[k]):
-            first.setdefault("\n".join(docs[k].split("\n")[a : a + n]), (k, a))
-    for k, t in docs.items():
-        if t is None:
-            expected[k] = None
-            continue
-        ls = t.split("\n")
-        lost = {i for a, n in spans[k] if first["\n".join(ls[a : a + n])] != (k, a) for i in range(a, a + n)}
-        expected[k] = "\n".join(x for i, x in enumerate(ls) if i not in lost)
-    out = line_dedup.dedup_lines(df)
-    got = {r.doc_id: r for r in out.collect()}
-    assert {k: r.text for k, r in got.items()} == expected
-    assert got[40].text == "" and got[40].n_chars == 0 and got[40].lines == "x" and got[44].text == line(1, 4)
-    assert all(passage[0] not in (r.text or "") for k, r in got.items() if k > 0)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert {k: r.text for k, r in got.items()} == lines_by_brute_force(docs)
+    assert got[60].text == "" and got[60].n_chars == 0 and got[60].lines == "x" and got[64].text == line(1, 4) and got[63].n_removed_lines == 0
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in queries.op1_line_dedup(spark, SMALL).collect()}
+    expected = lines_by_brute_force(docs)
+    assert {k: t for k, (t, _) in got.items()} == expected and any(n for _, n in got.values())
+
+
+@pytest.mark.parametrize(("lines", "length"), [(2, 10), (6, 5), (20, 1), (2, 26), (3, 18), (9, 6), (50, 1)])
+def test_each_passage_goes_whole(spark, lines, length):
+    # 100 passages of 20 words and more, each between other lines in two documents
+    docs = []
+    for k in range(100):
+        passage = [line(f"{k}p{i}", length) for i in range(lines)]
+        around = [[line(f"{k}{side}{d}", 7) for d in range(2)] for side in "ab"]
+        docs += [(d, "\n".join([around[0][d % 2], *passage, around[1][d % 2]]), around) for d in (2 * k, 2 * k + 1)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {d: text if d % 2 == 0 else f"{around[0][1]}\n{around[1][1]}" for d, text, around in docs}
+
+
+def test_wider_spacing_keeps_first_copies_and_finds_long_passages(spark):
+    passage = [line(f"p{i}", 9) for i in range(60)]
+    docs = [(d, "\n".join([line(f"{d}a", 7), *passage, line(f"{d}b", 7)])) for d in range(3)]
+    got = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), spacing=4).orderBy("doc_id").collect()]
+    assert got[0] == docs[0][1]
+    for d in (1, 2):
+        assert line(f"{d}a", 7) in got[d] and line(f"{d}b", 7) in got[d] and sum(x in got[d].split("\n") for x in passage) < 20
+
+
+def test_runs_of_equal_lines(spark):
+    same = "\n".join(["the same line here"] * 30)
+    df = spark.createDataFrame([(1, f"x y\n{same}\nq"), (2, f"z z\n{same}\nr s")], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: ["x y", *["the same line here"] * 5, "q"], 2: ["z z", "r s"]}
+
+
+def test_very_long_text_and_its_copy(spark):
+    long = "\n".join(line(i, 5) for i in range(30_000))
+    df = spark.createDataFrame([(1, long), (2, "first\n" + long), (3, "word " * 200_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (long, 0), 2: ("first", 30_000), 3: ("word " * 200_000, 0)}
+
+
+def test_names_of_its_own_and_of_any_kind(spark):
+    t = "\n".join(line(i) for i in range(5))
+    names = ["_spans", "_span_key", "_span_hash", "_key", "_text_hash", "spans", "hash", "at", "_kept", "_unequal", "copies", "first", "c"]
+    df = spark.createDataFrame([(k, t, *range(len(names))) for k in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_removed_lines"]
+    assert sorted((r.doc_id, r.text, *r[2:]) for r in out.collect()) == [(1, t, *range(len(names)), 0), (2, "", *range(len(names)), 5)]
+
+
 def test_equal_hashes_of_different_bytes(spark):
     rows = [(1, "\n".join(line(i) for i in range(4))), (2, "\n".join([*(line(i) for i in range(4)), line(77, 3)])), (3, "\n".join(line(50 + i) for i in range(4)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -224,9 +270,9 @@ def test_equal_hashes_of_different_bytes(spark):
     forged = spans.union(spans.where("_key = 2").select(F.lit(3).cast("long").alias("_key"), F.lit(0).cast("long").alias("_text_hash"), "spans"))
     true_hash = df.where("doc_id = 3").select(line_dedup._text_hash("text")).first()[0]
     forged = forged.withColumn("_text_hash", F.when(F.col("_key") == 3, F.lit(true_hash)).otherwise(F.col("_text_hash")))
-    bad = line_dedup.unequal_chunks(df, forged, "doc_id", "text")
-    assert {r._key for r in bad.collect()} == {3}
-    assert line_dedup.unequal_chunks(df, spans, "doc_id", "text") is None
+    unequal = lambda s: line_dedup.unequal_chunks(line_dedup._with_spans(df, s, "doc_id", "text", "_s"), "doc_id", "text", "_s")
+    assert {r._key for r in unequal(forged).collect()} == {3}
+    assert unequal(spans) is None
 
 
 def test_repeated_rows_and_null_keys(spark):
@@ -236,19 +282,6 @@ def test_repeated_rows_and_null_keys(spark):
     assert got == sorted([(7, ""), (7, ""), (None, t), (8, "")], key=str)
 
 
-@pytest.mark.parametrize(("lines", "length"), [(2, 26), (2, 40), (3, 18), (9, 6), (14, 4), (50, 1)])
-def test_each_passage_goes_whole(spark, lines, length):
-    # 40 passages of over 50 words (one of just 50), each between other lines in two documents
-    docs = []
-    for k in range(40):
-        passage = [line(f"{k}p{i}", length) for i in range(lines)]
-        around = [[line(f"{k}{side}{d}", 7) for d in range(2)] for side in "ab"]
-        docs += [(d, "\n".join([around[0][d % 2], *passage, around[1][d % 2]]), around) for d in (2 * k, 2 * k + 1)]
-    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
-    assert got == {d: text if d % 2 == 0 else f"{around[0][1]}\n{around[1][1]}" for d, text, around in docs}
-
-
 def test_passages_with_empty_lines(spark):
     passage = [line("a", 60), "", "", line("b", 60), " ", line("c", 5)]
     docs = {1: [*passage, "", line("x")], 2: [line("y"), *passage, line("z")]}
