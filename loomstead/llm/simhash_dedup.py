@@ -1,13 +1,15 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by BK-trees over shards.
 
-Two fingerprints that differ in at most r bits agree in all but r of a number of blocks of their bits; so shards are keyed by the contents of
-every choice of blocks that many, and no link is lost. A shard that is large is split into parts, trees are built over the parts, and a search
-follows only edges whose distance lies within the radius of its own distance to the parent. A shard gives a spanning forest of its links, never
-all pairs, and the classes of all shards are joined as connected components.
+Two fingerprints that differ in at most r bits agree in all but r of a number of blocks of their bits; so shards are keyed by bits of every choice of
+blocks that many, and no link is lost. The number of fingerprints sets how many bits, so that shards hold some hundreds at any size. Each shard's
+fingerprints make BK-trees, in which a search follows only edges whose distance lies within the radius of its own distance to the parent. A shard gives
+a spanning forest of its links, never all pairs, and the classes of all shards are joined as connected components. The trees are built where their
+shard is: together they hold all fingerprints, which may not pass through the driver as a broadcast would have them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,15 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import materialise, small_batches
+from loomstead.llm.common import broadcast_if_small, materialise, small_batches
 from loomstead.llm.components import connected_components
-from loomstead.llm.groups import UnionFind, bundles, large_groups, small_pairs, split_hot
+from loomstead.llm.groups import UnionFind, bundles, large_groups, split_hot
 
-#: Fingerprints in a tree.
-TREE_SIZE = 4096
-
-#: Members of a shard up to which all of its pairs are compared at once; beyond, a tree is searched.
-NO_TREE = 16
+#: Fingerprints that shards hold on average, about, and those in a tree at most; a larger shard is searched as several trees.
+SHARD_SIZE, TREE_SIZE = 512, 4096
 
 #: Shingles whose bits are counted at once, so that a very long text takes bounded memory.
 COUNTED = 100_000
@@ -105,72 +104,87 @@ def shard_links(prints: np.ndarray, part: np.ndarray, lo: int, hi: int, radius:
     return classes.roots()
 
 
-def similar_classes(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(node, component) for the fingerprints that link with another: prints has a row (node long, print long) for each distinct fingerprint."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("print").bitwiseAND(F.lit(m))) for i, m in enumerate(signed))))
-    shards = split_hot(prints.select("node", "print", keys.alias("shard")), "shard", "node", TREE_SIZE)
+def shard_masks(count: int, radius: int, size: int | None = None) -> list[int]:
+    """Masks of bits, such that fingerprints within radius agree under one of them at least, and so many share each value as a shard should hold.
+
+    One block more than the radius allows for must agree at first, under as few masks as can be; where its bits don't tell enough apart, two or three.
+    """
+    bits = max(0, math.ceil(math.log2(max(count, 1) / (size or SHARD_SIZE))))
+    for agree in (1, 2, 3):
+        blocks = agree + radius
+        width = 64 // blocks
+        if bits <= agree * width:
+            break
+    each = [min(width, (bits + agree - 1 - i) // agree) for i in range(agree)]
+    return [sum(((1 << n) - 1) << (block * width) for block, n in zip(chosen, each, strict=True)) for chosen in combinations(range(blocks), agree)]
+
+
+def similar_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(node, component) for the fingerprints that link with another, named by the smallest of their class: prints has distinct longs in a column print."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in shard_masks(prints.count(), radius)]
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("print").bitwiseAND(F.lit(m))) for i, m in enumerate(masks))))
+    shards = split_hot(prints.select("print", keys.alias("shard")), "shard", "print", TREE_SIZE)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in bundles(batches, ["shard", "lo", "hi"]):
-            node, prints, part, lo, hi = (table[c].to_numpy() for c in ("node", "print", "part", "lo", "hi"))
-            prints, n = prints.view(np.uint64), len(node)
-            classes = UnionFind(n)
-            for i, j in small_pairs(starts, n, NO_TREE):
-                met = (np.bitwise_count(prints[i] ^ prints[j]) <= radius) & ((lo[i] == hi[i]) | (part[i] != part[j]))
-                classes.join(i[met], j[met])
-            for a, b in large_groups(starts, n, NO_TREE):
-                classes.join(np.arange(a, b), a + shard_links(prints[a:b], part[a:b], lo[a], hi[a], radius))
-            roots = classes.roots()
-            linked = np.flatnonzero(roots != np.arange(n))
+            node, part, lo, hi = (table[c].to_numpy() for c in ("print", "part", "lo", "hi"))
+            prints, roots = node.view(np.uint64), np.arange(len(node))
+            for a, b in large_groups(starts, len(node), 1):
+                roots[a:b] = a + shard_links(prints[a:b], part[a:b], lo[a], hi[a], radius)
+            linked = np.flatnonzero(roots != np.arange(len(node)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[roots[linked]])], ["a", "b"])
 
-    met = shards.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi").select("shard", "lo", "hi", "part", "node", "print")
+    met = shards.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi").select("shard", "lo", "hi", "part", "print")
     return connected_components(met.mapInArrow(link, "a long, b long"))
 
 
+def _printed(docs: DataFrame, shingle: int, seed: int, key: str, text: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return materialise(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle, seed).alias("print")))
+
+
+def _components(printed: DataFrame, radius: int) -> DataFrame:
+    """(print, class, component_id): for each fingerprint, that which names its class, and the smallest key of the class, null if none has a key."""
+    prints = materialise(printed.groupBy("print").agg(F.min("key").alias("least")))
+    classes = similar_classes(prints.select("print"), radius)
+    # a key with several fingerprints links them
+    several = materialise(printed.where("key is not null").groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high"))
+    if not several.isEmpty():
+        more = printed.join(several, "key").select(F.col("print").alias("a"), F.col("low").alias("b"))
+        classes = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    named = prints.join(classes, prints["print"] == classes["node"], "left").select("print", "least", F.coalesce("component", "print").alias("class"))
+    return named.join(named.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("print", "class", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint as 16 hex digits, component_id) for each row of docs.
 
-    component_id is the smallest key reachable by links of fingerprints at radius or fewer bits, itself included. Null and empty texts have
-    fingerprint zero and link as any other. Rows with equal keys are one document: a link of one is a link of all. A row without a key never gives
-    a component its id. Copies share a fingerprint and are compared once.
+    component_id is the smallest key reachable by links of fingerprints at radius or fewer bits, itself included; keys are of any type with an order.
+    Null and empty texts have fingerprint zero and link as any other; very long ones are hashed in full, in parts. Rows with equal keys are one document:
+    a link of one is a link of all. A row without a key never gives a component its id; it's null where no row has a key. Copies share a fingerprint and
+    are compared once. Other columns are not looked at, and an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
-    printed = materialise(docs.select(F.col(key).cast("long").alias("node"), fingerprint(F.col(text), shingle, seed).alias("print")))
-    distinct = printed.groupBy("print").agg(F.min("node").alias("node"))
-    # a key with several fingerprints links them
-    classes = similar_classes(distinct.where("node is not null"), radius)
-    own = printed.groupBy("node").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("node")
-    least = distinct.withColumnRenamed("node", "least")
-    shared = printed.join(own, "node", "left_semi").join(least, "print").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    merged = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(shared))
-    named = least.join(merged, least["least"] == merged["node"], "left").select("print", F.coalesce("component", "least").alias("component_id"))
-    return (
-        printed.join(named, "print", "left")
-        .select(F.col("node").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    printed = _printed(docs, shingle, seed, key, text)
+    joined = printed.join(_components(printed, radius), "print", "left")
+    return joined.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the smallest key; rows of that key all stay.
 
-    Rows without a key link as any others and come after all keys: a group of only such rows keeps one of them.
+    Rows without a key link as any others and come after all keys: a group of only such rows keeps one of them, that of the smallest fingerprint and
+    text. All columns stay, whatever their names.
     """
-    number = docs[key].cast("long")
-    asked, bare = docs.where(number.isNotNull()).select(number.alias("_id"), docs[text].alias("_text")), docs.where(number.isNull())
-    one = None
-    if not bare.isEmpty():
-        top = asked.agg(F.coalesce(F.max("_id"), F.lit(-1))).first()[0]
-        whole = bare.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        whole = whole.withColumn("_print", fingerprint(F.col("_text"), shingle, seed))
-        one = whole.groupBy("_print").agg(F.min_by("_row", "_text").alias("_row"), F.min("_text").alias("_text"))
-        one = materialise(one.withColumn("_id", F.monotonically_increasing_id() + F.lit(top).cast("long") + 1))
-        asked = asked.union(one.select("_id", "_text"))
-    found = near_duplicates(asked, radius, shingle, seed, "_id", "_text")
-    first = found.where(F.col("_id") == F.col("component_id")).select(F.col("_id").alias("_kept")).distinct()
-    kept = docs.join(first, number == first["_kept"], "left_semi")
-    return kept if one is None else kept.union(one.join(first, one["_id"] == first["_kept"], "left_semi").select("_row.*"))
+    printed = _printed(docs, shingle, seed, key, text)
+    named = materialise(_components(printed, radius))
+    first = printed.join(named, "print").where(F.col("key") == F.col("component_id")).select(F.col("key").alias(key)).distinct()
+    first = materialise(first)
+    kept = docs.join(broadcast_if_small(first), key, "left_semi").select(docs.columns)
+    bare = named.where("component_id is null").select("print", "class")
+    if printed.where("key is null").isEmpty():
+        return kept
+    rows = docs.where(docs[key].isNull()).select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = rows.withColumn("print", fingerprint(F.col("text"), shingle, seed)).join(bare, "print")
+    one = rows.groupBy("class").agg(F.min_by("row", F.struct("print", "text")).alias("row"))
+    return kept.union(one.select("row.*"))

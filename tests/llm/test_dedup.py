@@ -87,14 +87,26 @@ def test_large_shards_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "TREE_SIZE", 8)
     rng = np.random.default_rng(6)
     base = int(rng.integers(0, 1 << 62))
-    prints = {i: base ^ sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for i in range(120)} | {1000 + i: int(x) for i, x in enumerate(rng.integers(0, 1 << 62, 50))}
-    distinct = {p: min(k for k in prints if prints[k] == p) for p in prints.values()}
-    rows = [(k, p - (1 << 64) if p >> 63 else p) for p, k in distinct.items()]
-    got = {r.node: r.component for r in simhash_dedup.similar_classes(spark.createDataFrame(rows, "node long, print long")).collect()}
-    expected = by_brute_force({k: p for p, k in distinct.items()})
+    prints = {base ^ sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(120)} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    got = {r.node: r.component for r in simhash_dedup.similar_classes(spark.createDataFrame([(p,) for p in signed.values()], "print long")).collect()}
+    expected = by_brute_force({s: p for p, s in signed.items()})
     assert {k: got.get(k, k) for k in expected} == expected
 
 
+def test_masks_lose_no_link_and_shards_stay_small():
+    rng = np.random.default_rng(7)
+    for radius in (0, 1, 3, 5):
+        for count in (0, 1, 10_000, 10**7, 10**9, 10**13):
+            masks = simhash_dedup.shard_masks(count, radius)
+            assert all(0 <= m < 1 << 64 for m in masks) and len(masks) <= 56
+            for _ in range(200):
+                flip = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+                assert any(flip & m == 0 for m in masks)
+    bits = [max(m.bit_count() for m in simhash_dedup.shard_masks(n, 3)) for n in (512, 512 * 2**9, 512 * 2**16, 512 * 2**20)]
+    assert bits == [0, 9, 16, 20] and [len(simhash_dedup.shard_masks(n, 3)) for n in (1000, 10**8, 10**11)] == [4, 10, 20]
+
+
 def test_simhash_odd_rows(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "a b c d", 1), (3, "a b c d", 1), (4, "A B C D", 1), (None, "a b c d", 1), (5, "q r s t u v", 1), (5, "", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
@@ -102,7 +114,18 @@ def test_simhash_odd_rows(spark):
     assert got == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (4, 3), (None, 3), (5, 1), (5, 1)], key=str)
     kept = simhash_dedup.keep_first(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 3]
-    assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
+    assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0 and simhash_dedup.keep_first(df.limit(0)).count() == 0
+
+
+def test_simhash_rows_without_keys_and_keys_of_any_type(spark):
+    rows = [("a", "x y z w", 1), (None, "x y z w", 2), (None, "p q r s", 3), (None, "p q r s", 4), (None, "k l m n", 5), ("b", "g h i j", 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, print int").withColumns({"key": F.lit(1), "class": F.lit(2), "_kept": F.lit(3), "row": F.lit(4)})
+    kept = simhash_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([("a", "x y z w"), ("b", "g h i j"), (None, "p q r s"), (None, "k l m n")], key=str)
+    named = sorted(((r.doc_id, r.component_id) for r in simhash_dedup.near_duplicates(df).collect()), key=str)
+    assert named == sorted([("a", "a"), (None, "a"), (None, None), (None, None), (None, None), ("b", "b")], key=str)
 
 
 def links_by_brute_force(rows, threshold=0.93):
