@@ -1,11 +1,14 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing: quantised random projections bucket normalised vectors in several tables.
 
-Equal vectors of a label are one class and are hashed once. A bucket is compared by exact cosines in blocks, and a pair counts only in the first table
-in which it meets, so that no pair is emitted to be counted again elsewhere; buckets give counts and a spanning forest of their links.
+The projections in a table follow the number of vectors of a label, so that a bucket holds some dozens of strangers at any size, and the number of tables
+follows from the recall that is asked for. Rows of buckets are narrow: a vector goes as a sketch of the signs of its projections, and only sketches that
+differ in few enough bits are candidates. A bucket gives a spanning forest of its candidates; classes of candidates then get their vectors, once each,
+and exact cosines decide and count the links within them. Equal vectors of a label are one class and are hashed once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,38 +17,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import materialise
+from loomstead.llm.common import broadcast_if_small, materialise, small_batches, written
 from loomstead.llm.components import connected_components
 from loomstead.llm.groups import UnionFind, bundles, large_groups, small_pairs, split_hot
 
-#: Tables, projections in each, and the width of a quantised step for vectors of length one. A pair at cosine 0.93 lies 0.37 apart and agrees on a
-#: projection with probability 0.85, so it meets in one table or more with 99.5 %; at 0.97, with over 99.999 %.
-TABLES, PROJECTIONS, WIDTH = 24, 10, 2.0
+#: The width of a quantised step, in distances of two vectors at the threshold; strangers at a right angle that may share a bucket on average; and the
+#: share of pairs at the threshold that may meet in no table.
+WIDTH, STRANGERS, MISSED = 5.35, 32, 0.004
 
-#: Vectors of a bucket that one task compares, and rows of a block of cosines.
+#: Bits of a sketch, and the standard deviations beyond those expected at the threshold by which a candidate's may differ.
+SKETCH, SLACK = 128, 4.5
+
+#: Members of a bucket or class in one task, about, and rows of a block of cosines.
 BUCKET, BLOCK = 2048, 512
 
+#: One in so many vectors, picked by hash, tells which buckets are hot and are split.
+HOT_SAMPLE = 16
+
 #: Members of a bucket up to which its pairs are compared together with those of other buckets.
-SMALL = 32
+SMALL = 64
+
+#: Vectors whose rows are made at once.
+HASHED = 1000
 
 SEED = 6
 
 
-@lru_cache(maxsize=8)
-def _projections(size: int, tables: int, projections: int, width: float) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([SEED, size])
-    return rng.standard_normal((size, tables * projections)), rng.uniform(0, width, tables * projections)
+def meets(distance: float, width: float) -> float:
+    """The chance that two vectors at a distance fall into the same step of a projection."""
+    if distance == 0:
+        return 1.0
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def plan(count: int, threshold: float) -> tuple[int, int, float]:
+    """Projections in a table, tables and the width of a step for a label of so many vectors."""
+    apart = math.sqrt(2 - 2 * min(threshold, 1.0))
+    width = WIDTH * max(apart, 1e-3)
+    projections = max(1, math.ceil(math.log(max(count, 1) / STRANGERS) / -math.log(meets(math.sqrt(2), width))))
+    both = meets(apart, width) ** projections
+    return projections, 1 if both == 1 else math.ceil(math.log(MISSED) / math.log(1 - both)), width
+
 
+def sketch_radius(threshold: float) -> int:
+    """The bits in which the sketches of two vectors at the threshold may differ."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(SKETCH * p + SLACK * math.sqrt(SKETCH * p * (1 - p)))
 
-def bucket_codes(unit: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
+
+@lru_cache(maxsize=2048)
+def _projections(size: int, table: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([SEED, size, table, projections])
+    return rng.standard_normal((size, projections)), rng.uniform(0, 1, projections)
+
+
+def bucket_codes(unit: np.ndarray, projections: int, tables: int, width: float) -> np.ndarray:
     """For each vector of length one, the hash of its quantised projections in each table."""
-    lines, shifts = _projections(unit.shape[1], tables, projections, width)
-    steps = np.floor((unit @ lines + shifts) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, projections)
-    codes = np.arange(tables, dtype=np.uint64)[None, :].repeat(len(unit), 0)
-    for k in range(projections):  # a multiplicative hash of the steps, wrapping at 64 bits
-        codes = (codes ^ steps[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-        codes ^= codes >> np.uint64(29)
-    return codes.view(np.int64)
+    codes = np.empty((len(unit), tables), np.uint64)
+    for t in range(tables):
+        lines, shifts = _projections(unit.shape[1], t, projections)
+        steps = np.floor(unit @ lines / width + shifts).astype(np.int64).astype(np.uint64)
+        code = np.full(len(unit), t, np.uint64)
+        for k in range(projections):  # a multiplicative hash of the steps, wrapping at 64 bits
+            code = (code ^ steps[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        codes[:, t] = code
+    return codes
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """The signs of SKETCH projections, as rows of 64-bit words."""
+    lines, _ = _projections(unit.shape[1], -1 % (1 << 32), SKETCH)
+    return np.packbits(unit @ lines > 0, axis=1).view(np.uint64)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -55,82 +99,122 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a list column by length: their rows, and themselves at length one."""
+    ends = np.asarray(column.offsets)
+    sizes, values = np.diff(ends), column.flatten().to_numpy(zero_copy_only=False)
+    starts = ends[:-1] - ends[0]
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        yield rows, units(values[starts[rows][:, None] + np.arange(size)])
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is there, has a component other than zero, and none that is null or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def link(classes: DataFrame, threshold: float, tables: int = TABLES) -> DataFrame:
-    """(node, add, root) in parts: how many vectors a class links with in a bucket, and another class that it is linked to.
-
-    classes: node long, label, vector array, copies long; vectors of a label differ.
-    """
-
-    kind = np.float32 if classes.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
+def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of the candidates in each bucket; classes: node long, label, vector array, with vectors of a label that differ."""
+    counts = materialise(classes.groupBy("label").agg(F.count("*").alias("of_label")))
+    sized = classes.join(broadcast_if_small(counts), "label").select("node", F.xxhash64("label").alias("label"), "of_label", "vector")
+    radius = sketch_radius(threshold)
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = [np.array(v, kind) for v in batch.column(2).to_pylist()]
-            codes = np.empty((len(vectors), tables), np.int64)
-            sizes = np.array([len(v) for v in vectors])
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                codes[rows] = bucket_codes(units(np.stack([vectors[i] for i in rows])), tables)
-            binary = lambda arrays: pa.array([a.tobytes() for a in arrays], pa.binary())
-            columns = [batch.column(0), batch.column(1), batch.column(3), binary(vectors), binary(codes), pa.array(list(codes), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "label", "copies", "vector", "all_codes", "codes"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, HASHED):
+                batch = whole.slice(a, HASHED)
+                node, label, of_label = (batch.column(i).to_numpy() for i in range(3))
+                for rows, unit in matrices(batch.column(3)):
+                    signs = sketches(unit)
+                    for count in np.unique(of_label[rows]):
+                        at = np.flatnonzero(of_label[rows] == count)
+                        projections, tables, width = plan(int(count), threshold)
+                        codes = bucket_codes(unit[at], projections, tables, width) ^ label[rows[at]].view(np.uint64)[:, None] ^ np.uint64(unit.shape[1])
+                        repeat = lambda x: pa.array(np.repeat(x, tables))
+                        words = [repeat(np.ascontiguousarray(signs[at, w]).view(np.int64)) for w in range(signs.shape[1])]
+                        yield pa.RecordBatch.from_arrays([repeat(node[rows[at]]), pa.array(codes.ravel().view(np.int64)), *words], ["node", "bucket", "low", "high"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in bundles(batches, ["bucket", "lo", "hi"]):
-            yield from _compare(table, starts, threshold, kind)
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    hashed = classes.select("node", "label", "vector", "copies").mapInArrow(hash_, f"node long, label {label_type}, copies long, vector binary, all_codes binary, codes array<long>")
-    placed = hashed.select("node", "copies", "vector", "all_codes", "label", F.posexplode("codes").alias("table", "code"))
-    bucket = F.xxhash64("label", "table", F.octet_length("vector"), "code").alias("bucket")
-    dealt = split_hot(placed.select("node", "copies", "vector", "all_codes", "table", bucket), "bucket", "node", BUCKET)
-    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "part", "table", "node", "copies", "vector", "all_codes")
-    return met.mapInArrow(compare, "node long, add long, root long")
-
+        for bundle, starts in bundles(batches, ["bucket", "lo", "hi"]):
+            node, low, high = bundle["node"].to_numpy(), *(bundle[c].to_numpy().view(np.uint64) for c in ("low", "high"))
+            n, classes = len(node), UnionFind(len(node))
+            apart = lambda i, j: np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j])
+            for i, j in small_pairs(starts, n, SMALL):
+                near = apart(i, j) <= radius
+                classes.join(i[near], j[near])
+            roots = classes.roots().copy()
+            for a, b in large_groups(starts, n, SMALL):
+                roots[a:b] = a + _reached(np.stack([low[a:b], high[a:b]]), radius)
+            linked = np.flatnonzero(roots != np.arange(n))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[roots[linked]])], ["a", "b"])
+
+    hashed = sized.mapInArrow(hash_, "node long, bucket long, low long, high long")
+    dealt = split_hot(hashed, "bucket", "node", BUCKET, HOT_SAMPLE)
+    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", "low", "high")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _reached(words: np.ndarray, radius: int) -> np.ndarray:
+    """For each sketch (a column of words), the first of those that it reaches in steps of radius bits at most.
+
+    Each sketch is compared only with those not reached yet, so a group of near copies takes a few rounds and not all of its pairs.
+    """
+    n = words.shape[1]
+    roots, left = np.arange(n), np.arange(n)
+    while len(left):
+        first, left = left[0], left[1:]
+        ahead = [first]
+        while ahead and len(left):
+            x = ahead.pop()
+            near = np.bitwise_count(words[:, left] ^ words[:, x, None]).sum(axis=0) <= radius
+            found, left = left[near], left[~near]
+            roots[found] = first
+            ahead += found.tolist()
+    return roots
+
+
+def exact_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, add, root) in parts: how many vectors one links with in its class, and another one that it is linked to.
+
+    members: node long, component long, copies long, vector array; all vectors of a component have one length.
+    """
 
-def _compare(bundle: pa.Table, starts: np.ndarray, threshold: float, kind: type) -> Iterator[pa.RecordBatch]:
-    """Counts and links of the buckets of a bundle; vectors in it may differ in length, those of a bucket do not."""
-    n = bundle.num_rows
-    node, copies, part, table, lo, hi = (bundle[c].to_numpy() for c in ("node", "copies", "part", "table", "lo", "hi"))
-    vectors, size = bundle["vector"].to_pylist(), np.dtype(kind).itemsize
-    codes = np.frombuffer(b"".join(bundle["all_codes"].to_pylist()), np.int64).reshape(n, -1)
-    lengths = np.array([len(v) // size for v in vectors])
-    unit = np.zeros((n, lengths.max()))  # shorter ones are filled with zeros, which changes no product within a bucket
-    for length in np.unique(lengths):
-        rows = np.flatnonzero(lengths == length)
-        unit[rows, :length] = units(np.frombuffer(b"".join(vectors[i] for i in rows), kind).reshape(len(rows), -1))
-    added, classes = np.zeros(n, np.int64), UnionFind(n)
-
-    def count(i: np.ndarray, j: np.ndarray) -> None:
-        for t in range(int(table[i].max()) if len(i) else 0):  # pairs that met in an earlier table are counted there
-            here = (table[i] <= t) | (codes[i, t] != codes[j, t])
-            i, j = i[here], j[here]
-        np.add.at(added, i, copies[j])
-        np.add.at(added, j, copies[i])
-        classes.join(i, j)
-
-    for i, j in small_pairs(starts, n, SMALL):
-        near = (np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold) & ((lo[i] == hi[i]) | (part[i] != part[j]))
-        count(i[near], j[near])
-    for a, b in large_groups(starts, n, SMALL):
-        left, right = a + np.flatnonzero(part[a:b] == lo[a]), a + np.flatnonzero(part[a:b] == hi[a])
-        for k in range(0, len(left), BLOCK):
-            rows = left[k : k + BLOCK]
-            i, j = np.nonzero(unit[rows] @ unit[right].T >= threshold)
-            i, j = rows[i], right[j]
-            fresh = i < j if lo[a] == hi[a] else i != j
-            count(i[fresh], j[fresh])
-    rows = np.flatnonzero(added)
-    if len(rows):
-        yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(added[rows]), pa.array(node[classes.roots()[rows]])], ["node", "add", "root"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bundle, starts in bundles(batches, ["component", "lo", "hi"]):
+            n = bundle.num_rows
+            node, copies, part, lo, hi = (bundle[c].to_numpy() for c in ("node", "copies", "part", "lo", "hi"))
+            found = list(matrices(bundle["vector"].combine_chunks() if isinstance(bundle["vector"], pa.ChunkedArray) else bundle["vector"]))
+            unit = np.zeros((n, max(u.shape[1] for _, u in found)))  # shorter ones are filled with zeros, which changes no product within a class
+            for rows, u in found:
+                unit[rows, : u.shape[1]] = u
+            added, classes = np.zeros(n, np.int64), UnionFind(n)
+
+            def count(i: np.ndarray, j: np.ndarray) -> None:
+                np.add.at(added, i, copies[j])
+                np.add.at(added, j, copies[i])
+                classes.join(i, j)
+
+            for i, j in small_pairs(starts, n, SMALL):
+                near = (np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+                count(i[near], j[near])
+            for a, b in large_groups(starts, n, SMALL):
+                left, right = a + np.flatnonzero(part[a:b] == lo[a]), a + np.flatnonzero(part[a:b] == hi[a])
+                for k in range(0, len(left), BLOCK):
+                    rows = left[k : k + BLOCK]
+                    i, j = np.nonzero(unit[rows] @ unit[right].T >= threshold)
+                    i, j = rows[i], right[j]
+                    fresh = i < j if lo[a] == hi[a] else i != j
+                    count(i[fresh], j[fresh])
+            rows = np.flatnonzero(added)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(added[rows]), pa.array(node[classes.roots()[rows]])], ["node", "add", "root"])
+
+    dealt = split_hot(members, "component", "node", BUCKET)
+    met = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").select("component", "lo", "hi", "part", "node", "copies", "vector")
+    return met.mapInArrow(compare, "node long, add long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -138,20 +222,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
 
     component_id is the smallest key reachable by links, itself included, and kept says whether it is the row's own. Rows without a label, and vectors
     that are null, empty, zero or hold a null or a component that is not finite, link with nothing; nor do vectors of different length. Copies link with
-    each other. Keys are taken to be unique and not null; rows that repeat a key are copies of one another's key, and link if their vectors do.
+    each other, and rows that repeat a key are rows of their own. A row without a key never gives a component its id, which is null, and its row kept,
+    only where no row reached has a key. Keys are of any type with an order; very long vectors are rows as others are; other columns are not looked at.
+    An empty table gives an empty one.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("node"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    small_batches(vectors.sparkSession, 5000)
     whole = usable(F.col("vector")) & F.col("label").isNotNull()
-    same = rows.where(whole).groupBy("label", "vector").agg(F.min("node").alias("least"), F.count("*").alias("copies"))
-    classes = materialise(same.select(F.col("least").alias("node"), "label", "vector", "copies"))
-    linked = materialise(link(classes, threshold))
+    rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    # 128 bits of hash stand for a vector in all that follows
+    rows = rows.withColumns({"d1": F.when(whole, F.xxhash64("label", "vector")), "d2": F.when(whole, F.xxhash64(F.lit("d2"), "vector", "label"))})
+    same = rows.where(F.col("d1").isNotNull()).groupBy("label", "d1", "d2").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = written(same.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    candidates = connected_components(candidate_links(classes.select("node", "label", "vector"), threshold))
+    heads = candidates.select("component").distinct()  # the node that names a component has no row of its own
+    candidates = candidates.union(heads.select(F.col("component").alias("node"), "component"))
+    members = classes.join(candidates, "node").select("node", "component", "copies", "vector")
+    linked = materialise(exact_links(members, threshold))
     sums = linked.groupBy("node").agg(F.sum("add").alias("others"))
     named = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = classes.join(sums, "node", "left").join(named, "node", "left")
-    told = known.select("label", "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component"))
-    joined = rows.withColumn("vector", F.when(whole, F.col("vector"))).join(told, ["label", "vector"], "left")
-    component = F.coalesce("component", "node")
-    return joined.select(F.col("node").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("node") == component).alias("kept"))
+    known = classes.select("node", "d1", "d2", "least", "copies").join(sums, "node", "left").join(named, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    least = known.groupBy("class").agg(F.min("least").alias("first"))
+    told = known.join(least, "class").select("d1", "d2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), "first", F.lit(True).alias("known"))
+    joined = rows.drop("label", "vector").join(told, ["d1", "d2"], "left")
+    component = F.when(F.col("known"), F.col("first")).otherwise(F.col("key"))
+    return joined.select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
 #: What near_duplicates() returns, as DuckDB SQL that compares all pairs of a label.

@@ -155,6 +155,37 @@ def test_embedding_odd_rows_and_split_buckets(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == {k: (sum(k in pair for pair in links), label[k]) for k in label}
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    bare = df.select(F.when(F.col("vec_id") > 0, F.col("vec_id").cast("string")).alias("vec_id"), "label", "embedding")
+    one = {(r.vec_id, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(bare).collect()}
+    assert (None, "1", False) in one and ("1", "1", True) in one and ("202", "202", True) in one
+    alone = spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (5, [2.0, -1.0], 1), (5, [-1.0, 0.1], 1)], "vec_id int, embedding array<float>, label int")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(alone).collect())
+    assert got == [("5", 0, 5, True), ("5", 0, 5, True), ("None", 1, None, True), ("None", 1, None, True)]
+
+
+@pytest.mark.parametrize("size", [32, 64, 384])
+def test_recall_of_pairs_at_the_threshold(spark, size):
+    # 1,500 pairs just at the threshold, and as many vectors again that link with nothing
+    rng = np.random.default_rng(size)
+    a = rng.standard_normal((1500, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((1500, size))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = 0.9301
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * b, rng.standard_normal((3000, size))]))]
+    got = {r.vec_id: (r.component_id, r.n_links) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[1500 + i] == (i, 1) for i in range(1500)) >= 0.99 * 1500
+    if size > 32:
+        assert all(got[i] == (i, 0) for i in range(3000, 6000))
+
+
+def test_plan_of_tables_grows_below_the_square():
+    for count in (1, 100, 10**4, 10**6, 10**9):
+        projections, tables, width = embedding_dedup.plan(count, 0.93)
+        assert count * embedding_dedup.meets(2**0.5, width) ** projections <= embedding_dedup.STRANGERS
+        assert (1 - embedding_dedup.meets((2 - 1.86) ** 0.5, width) ** projections) ** tables <= embedding_dedup.MISSED
+        assert tables <= 10 * count**0.25 + 10
 
 
 def test_groups_go_on_over_batches():
