@@ -1,9 +1,10 @@
 """URL filter: listed rules first, then a tree of path templates for each host, rejected by their smoothed purity under the rules.
 
-URLs that a rule decides are the labels. Paths are cut into segments; digits become wildcards at once, and rare segments under a node with many
-become one. Then, from the top down, branches whose labelled share of blocked URLs does not differ from that of all their siblings merge into one
-wildcard. A template is rejected when its share of blocked labels, smoothed by the share over all labels, is high enough. The tree is grown over the
-distinct shapes of paths, whose number does not follow that of the URLs; all of it is built-in expressions.
+URLs that a rule decides are the labels. Paths are cut into segments, and digits become a wildcard at once. Then, from the top down, the branches below a
+node are pooled by what mostly lies below them, and those that don't differ from their pool, neither in what lies below them by a chi-square test nor in
+their share of blocked labels, merge into one wildcard; branches without labels merge as others do, so the labels of their kind speak for them. A template
+is rejected when its share of blocked labels, smoothed by the share over all labels, is high enough. The tree is grown over the distinct shapes of
+paths, level by level until no two shapes share a node any more, however deep; all of it is built-in expressions.
 """
 
 from __future__ import annotations
@@ -22,14 +23,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: Segments of a path that the tree tells apart; what is deeper counts with its third segment.
-DEPTH = 3
-
-#: A node with more children than this gathers those below this share of its URLs.
-MANY_CHILDREN, RARE_SHARE = 20, 0.05
-
-#: The square of the standard score up to which a branch counts as similar to its siblings (1.96 * 1.96).
-SIMILAR = 3.8416
+#: The standard score up to which a branch counts as similar to its pool in what lies below, and the square of that for its labels (1.96 * 1.96).
+LIKE, SIMILAR = 3.0, 3.8416
 
 #: Labels that the smoothing is worth, and the smoothed share of blocked labels at which a template is rejected.
 SMOOTHING, REJECT_AT = 5.0, 0.8
@@ -56,89 +51,115 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def _grow(shapes: DataFrame, level: int) -> DataFrame:
-    """Replaces the segment of one level by the branch that it belongs to, for each shape."""
-    node, segment = ["host", *(f"s{i}" for i in range(1, level))], f"s{level}"
-    blocked, allowed, total = (F.sum(c).alias(c) for c in ("blocked", "allowed", "urls"))
-    children = shapes.groupBy(*node, segment).agg(blocked, allowed, total)
-    sums = children.groupBy(*node).agg(F.count("*").alias("n_children"), *(F.sum(c).alias(f"all_{c}") for c in ("blocked", "allowed", "urls")))
+    """Adds the branch of one level (from 0) to the template of each shape; each has a segment there."""
+    node, below = ["host", "template"], F.get("segments", F.lit(level + 1))
+    kind = F.when(below.isNull(), "end").when(below == "{n}", "number").when(F.contains(below, F.lit(".")), "file").otherwise("word")
+    shapes = shapes.withColumn("child", F.get("segments", F.lit(level))).withColumn("kind", F.concat(kind, F.lit(","), F.size("segments") - level - 1))
+    sums = [F.sum(c).alias(c) for c in ("blocked", "allowed", "urls")]
+    kinds = shapes.groupBy(*node, "child", "kind").agg(*sums)
+    children = kinds.groupBy(*node, "child").agg(*sums, F.max_by("kind", F.struct("urls", "kind")).alias("pool"))
+    pools = children.groupBy(*node, "pool").agg(F.count("*").alias("members"), *(F.sum(c).alias(f"all_{c}") for c in ("blocked", "allowed", "urls")))
+    pooled = kinds.join(children.select(*node, "child", "pool"), [*node, "child"])
+    shares = pooled.groupBy(*node, "pool", "kind").agg(F.sum("urls").alias("of_kind"))
+    degrees = shares.groupBy(*node, "pool").agg((F.count("*") - 1).alias("degrees"))
+    # the sum of (seen - expected) ** 2 / expected is that of seen ** 2 / expected, less all that is seen
+    squares = pooled.join(shares, [*node, "pool", "kind"]).groupBy(*node, "child").agg(F.sum(F.col("urls").cast("double") * F.col("urls") / F.col("of_kind")).alias("squares"))
+    known = children.join(pools, [*node, "pool"]).join(degrees, [*node, "pool"]).join(squares, [*node, "child"])
+    df = F.greatest("degrees", F.lit(1)).cast("double")
+    critical = F.when(F.col("degrees") == 0, 0.0).otherwise(df * F.pow(1 - 2 / (9 * df) + LIKE * F.sqrt(2 / (9 * df)), F.lit(3.0)))
+    alike = F.col("squares") * F.col("all_urls") / F.col("urls") - F.col("urls") <= critical + 1e-9
     labels, all_labels = F.col("blocked") + F.col("allowed"), F.col("all_blocked") + F.col("all_allowed")
     share = F.col("blocked").cast("double") / F.greatest(labels, F.lit(1))
     whole = F.col("all_blocked").cast("double") / F.greatest(all_labels, F.lit(1))
-    rare = (F.col("n_children") > MANY_CHILDREN) & (F.col("urls") < RARE_SHARE * F.col("all_urls"))
-    similar = (labels > 0) & ((share - whole) * (share - whole) * labels <= SIMILAR * whole * (1 - whole))
-    branch = F.when((F.col(segment) != "") & (rare | similar), F.lit("*")).otherwise(F.col(segment)).alias("branch")
-    mapped = children.join(sums, node).select(*node, segment, branch)
-    return shapes.join(mapped, [*node, segment]).withColumn(segment, F.col("branch")).drop("branch")
+    similar = (labels == 0) | ((share - whole) * (share - whole) * labels <= SIMILAR * whole * (1 - whole) + 1e-9)
+    branch = F.when((F.col("members") > 1) & alike & similar, F.concat(F.lit("*:"), F.col("pool"))).otherwise(F.col("child")).alias("branch")
+    grown = shapes.join(known.select(*node, "child", branch), [*node, "child"])
+    return grown.withColumn("template", F.concat("template", F.lit("/"), F.col("branch"))).drop("child", "kind", "branch")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """From shapes (host, f1.., blocked, allowed, urls): each shape's template (s1..) with its purity and verdict."""
-    for i in range(1, DEPTH + 1):
-        shapes = shapes.withColumn(f"s{i}", F.col(f"f{i}"))
-    for level in range(1, DEPTH + 1):
-        shapes = materialise(_grow(shapes, level))
-    key = ["host", *(f"s{i}" for i in range(1, DEPTH + 1))]
-    counted = shapes.groupBy(*key).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    prior = shapes.agg(F.sum("blocked").alias("_b"), F.sum("allowed").alias("_a")).select((F.col("_b").cast("double") / F.greatest("_b", F.col("_b") + F.col("_a"), F.lit(1))).alias("prior"))
+    """From shapes (host, segments, blocked, allowed, urls): each shape's template with its purity and verdict."""
+    columns, grown, level = ["host", "segments", "blocked", "allowed", "urls", "template"], [], 0
+    left = shapes.withColumn("template", F.lit("")).select(columns)
+    while True:
+        # a shape that is alone below its node, or ends there, branches no more
+        shared = left.where(F.size("segments") > level).groupBy("host", "template").count().where("count > 1").select("host", "template", F.lit(True).alias("shared"))
+        told = materialise(left.join(shared, ["host", "template"], "left").withColumn("open", F.col("shared").isNotNull() & (F.size("segments") > level)).drop("shared"))
+        rest = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), "/")
+        grown.append(told.where("not open").withColumn("template", F.concat("template", F.when(F.size("segments") > level, F.concat(F.lit("/"), rest)).otherwise(""))).select(columns))
+        left = told.where("open").select(columns)
+        if left.isEmpty():
+            break
+        left = _grow(left, level).select(columns)
+        level += 1
+    whole = grown[0]
+    for part in grown[1:]:
+        whole = whole.union(part)
+    whole = materialise(whole.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template"))))
+    counted = whole.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+    prior = whole.agg(F.sum("blocked").alias("_b"), F.sum("allowed").alias("_a")).select((F.col("_b").cast("double") / F.greatest("_b", F.col("_b") + F.col("_a"), F.lit(1))).alias("prior"))
     purity = (F.col("b") + SMOOTHING * F.col("prior")) / (F.col("b") + F.col("a") + SMOOTHING)
     scored = counted.join(F.broadcast(prior), F.lit(True), "left").withColumn("purity", purity)  # prior is one row
-    template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*key[1:]), lambda s: s != ""), "/")).alias("template")
     verdict = F.when((F.col("b") > 0) & (F.col("purity") >= REJECT_AT), "block").otherwise("allow").alias("template_verdict")
-    return shapes.join(scored, key).select("host", *(f"f{i}" for i in range(1, DEPTH + 1)), template, "purity", verdict)
+    return whole.join(scored, ["host", "template"]).select("host", "segments", "template", "purity", verdict)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) for each row of pages.
 
-    verdict is the rule's, else that of the URL's template; a template without labels has the purity of all labels
-    together and is allowed. Null URLs and those
-    without "://" have an empty host and path, a template of their own, and no rule. Repeated rows are judged alike.
+    verdict is the rule's, else that of the URL's template; a template without labels has the purity of all labels together and is allowed, as is any
+    where no rule gives a label. Of rules that fit, the longest decides. Of kinds that lie below a branch equally often, the last by name pools it. Null
+    URLs and those without "://" have an empty host and path, a template of their own, and no rule. Repeated rows are judged alike, very long URLs in
+    full; other columns are not looked at. An empty table gives an empty one.
     """
     host, path = host_and_path(F.col(url))
-    judged = pages.select(key, host.alias("host"), path.alias("path"))
+    judged = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
     judged = judged.withColumns({"rule": rule, "rule_verdict": verdict, "segments": segments})
-    for i in range(1, DEPTH + 1):
-        judged = judged.withColumn(f"f{i}", F.regexp_replace(F.coalesce(F.get("segments", F.lit(i - 1)), F.lit("")), "[0-9]+", "{n}"))
-    judged = judged.drop("segments")
-    shape = ["host", *(f"f{i}" for i in range(1, DEPTH + 1))]
-    shapes = judged.groupBy(*shape).agg(
-        F.count_if(F.col("rule_verdict") == "block").alias("blocked"), F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count("*").alias("urls")
-    )
-    known = broadcast_if_small(materialise(templates(materialise(shapes))))
-    return judged.join(known, shape, "left").select(key, "host", "path", "rule", F.coalesce("rule_verdict", "template_verdict").alias("verdict"), "template", "purity")
-
-
-def _oracle() -> str:
+    blocked, allowed = (F.count_if(F.col("rule_verdict") == v).alias(c) for v, c in (("block", "blocked"), ("allow", "allowed")))
+    shapes = materialise(judged.groupBy("host", "segments").agg(blocked, allowed, F.count("*").alias("urls")))
+    known = broadcast_if_small(materialise(templates(shapes)))
+    return judged.join(known, ["host", "segments"], "left").select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("rule_verdict", "template_verdict").alias("verdict"), "template", "purity")
+
+
+def _oracle(levels: int) -> str:
+    """The same as DuckDB SQL, for paths whose branches lie within so many levels; SQL has no loop that groups."""
     fits = [(h, p, v) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{what(h, p, v)}'" for h, p, v in fits) + " END"
-    steps, last = [], "s0"
-    for level in range(1, DEPTH + 1):
-        node = ", ".join(["host", *(f"s{i}" for i in range(1, level))])
-        rest = ", ".join(f"s{i}" for i in range(1, DEPTH + 1) if i != level)
+    steps = []
+    for i in range(levels):
+        critical = f"CASE WHEN degrees = 0 THEN 0 ELSE degrees * pow(1 - 2.0::DOUBLE / (9 * degrees) + {LIKE}::DOUBLE * sqrt(2.0::DOUBLE / (9 * degrees)), 3.0) END"
         steps.append(f"""
-children{level} AS (SELECT {node}, s{level}, sum(blocked)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowed, sum(urls)::BIGINT AS urls FROM {last} GROUP BY ALL),
-sums{level} AS (SELECT {node}, count(*) AS n, sum(blocked)::BIGINT AS ab, sum(allowed)::BIGINT AS aa, sum(urls)::BIGINT AS au FROM children{level} GROUP BY ALL),
-shares{level} AS (SELECT *, blocked::DOUBLE / greatest(blocked + allowed, 1) AS p, ab::DOUBLE / greatest(ab + aa, 1) AS q FROM children{level} JOIN sums{level} USING ({node})),
-branches{level} AS (SELECT {node}, s{level}, CASE WHEN s{level} <> '' AND (n > {MANY_CHILDREN} AND urls < {RARE_SHARE}::DOUBLE * au
-    OR blocked + allowed > 0 AND (p - q) * (p - q) * (blocked + allowed) <= {SIMILAR}::DOUBLE * q * (1 - q)) THEN '*' ELSE s{level} END AS branch FROM shares{level}),
-grown{level} AS (SELECT host, {rest}, branch AS s{level}, f1, f2, f3, blocked, allowed, urls FROM {last} JOIN branches{level} USING ({node}, s{level})),""")
-        last = f"grown{level}"
+open{i} AS (SELECT *, seg[{i + 1}] AS child, CASE WHEN seg[{i + 2}] IS NULL THEN 'end' WHEN seg[{i + 2}] = '{{n}}' THEN 'number' WHEN contains(seg[{i + 2}], '.') THEN 'file' ELSE 'word' END
+    || ',' || (len(seg) - {i + 1}) AS kind FROM t{i} WHERE len(seg) > {i}),
+kinds{i} AS (SELECT host, template, child, kind, sum(blocked) AS blocked, sum(allowed) AS allowed, sum(urls)::DOUBLE AS urls FROM open{i} GROUP BY ALL),
+children{i} AS (SELECT host, template, child, sum(blocked) AS blocked, sum(allowed) AS allowed, sum(urls) AS urls, arg_max(kind, (urls, kind)) AS pool FROM kinds{i} GROUP BY ALL),
+pools{i} AS (SELECT host, template, pool, count(*) AS members, sum(blocked) AS ab, sum(allowed) AS aa, sum(urls) AS au FROM children{i} GROUP BY ALL),
+shares{i} AS (SELECT host, template, pool, kind, sum(k.urls) AS of_kind FROM kinds{i} k JOIN children{i} c USING (host, template, child) GROUP BY ALL),
+degrees{i} AS (SELECT host, template, pool, count(*) - 1 AS degrees FROM shares{i} GROUP BY ALL),
+squares{i} AS (SELECT host, template, child, sum(k.urls * k.urls / s.of_kind) AS squares FROM kinds{i} k JOIN children{i} c USING (host, template, child)
+    JOIN shares{i} s USING (host, template, pool, kind) GROUP BY ALL),
+tested{i} AS (SELECT *, blocked::DOUBLE / greatest(blocked + allowed, 1) AS p, ab::DOUBLE / greatest(ab + aa, 1) AS q
+    FROM children{i} JOIN pools{i} USING (host, template, pool) JOIN degrees{i} USING (host, template, pool) JOIN squares{i} USING (host, template, child)),
+branches{i} AS (SELECT host, template, child, CASE WHEN members > 1 AND squares * au / urls - urls <= {critical} + 1e-9
+    AND (blocked + allowed = 0 OR (p - q) * (p - q) * (blocked + allowed) <= {SIMILAR}::DOUBLE * q * (1 - q) + 1e-9) THEN '*:' || pool ELSE child END AS branch FROM tested{i}),
+t{i + 1} AS (SELECT host, seg, template || '/' || branch AS template, blocked, allowed, urls FROM open{i} JOIN branches{i} USING (host, template, child)
+    UNION ALL SELECT host, seg, template, blocked, allowed, urls FROM t{i} WHERE len(seg) <= {i}),""")
     return f"""
 WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
-ruled AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS rule_verdict, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg FROM parsed),
-shaped AS (SELECT *, {", ".join(f"regexp_replace(coalesce(seg[{i}], ''), '[0-9]+', '{{n}}', 'g') AS f{i}" for i in range(1, DEPTH + 1))} FROM ruled),
-s0 AS (SELECT host, f1, f2, f3, f1 AS s1, f2 AS s2, f3 AS s3, count(*) FILTER (rule_verdict = 'block') AS blocked, count(*) FILTER (rule_verdict = 'allow') AS allowed, count(*) AS urls
-  FROM shaped GROUP BY ALL),{"".join(steps)}
-prior AS (SELECT sum(blocked)::DOUBLE / greatest(sum(blocked + allowed), 1) AS r FROM s0),
-scored AS (SELECT host, s1, s2, s3, (sum(blocked) + {SMOOTHING}::DOUBLE * any_value(r)) / (sum(blocked) + sum(allowed) + {SMOOTHING}::DOUBLE) AS purity, sum(blocked) AS b FROM {last}, prior GROUP BY ALL),
-known AS (SELECT host, f1, f2, f3, purity, b, '/' || array_to_string(list_filter([s1, s2, s3], lambda s: s <> ''), '/') AS template FROM {last} JOIN scored USING (host, s1, s2, s3))
+ruled AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS rule_verdict,
+    [regexp_replace(s, '[0-9]+', '{{n}}', 'g') for s in string_split(path, '/') if s <> ''] AS seg FROM parsed),
+t0 AS (SELECT host, seg, '' AS template, count(*) FILTER (rule_verdict = 'block') AS blocked, count(*) FILTER (rule_verdict = 'allow') AS allowed, count(*) AS urls FROM ruled GROUP BY ALL),{"".join(steps)}
+named AS (SELECT host, seg, blocked, allowed, CASE WHEN len(seg) > {levels} THEN template || '/' || array_to_string(seg[{levels + 1}:], '/') WHEN template = '' THEN '/' ELSE template END AS template FROM t{levels}),
+prior AS (SELECT sum(blocked)::DOUBLE / greatest(sum(blocked + allowed), 1) AS r FROM t0),
+scored AS (SELECT host, template, (sum(blocked) + {SMOOTHING}::DOUBLE * any_value(r)) / (sum(blocked) + sum(allowed) + {SMOOTHING}::DOUBLE) AS purity, sum(blocked) AS b FROM named, prior GROUP BY ALL),
+known AS (SELECT host, seg, template, purity, b FROM named JOIN scored USING (host, template))
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN b > 0 AND purity >= {REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
-FROM shaped LEFT JOIN known USING (host, f1, f2, f3)
+FROM ruled LEFT JOIN known USING (host, seg)
 """
 
 
-#: What judge() returns under RULES, as DuckDB SQL.
-ORACLE = _oracle()
+#: What judge() returns under RULES, as DuckDB SQL; paths of the table branch within four levels.
+ORACLE = _oracle(4)

@@ -6,8 +6,10 @@ import base64
 import glob
 import hashlib
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import duckdb
@@ -58,15 +60,89 @@ def test_url_parts_and_rules(spark):
     assert [got[i].verdict for i in range(5)] == ["allow", "block", "block", "block", "allow"]
 
 
-def test_templates(spark):
-    block = [("h.test", f"/bad/{i}/", "block") for i in range(30)]
-    urls = [f"http://h.test/bad/{i}/x" for i in range(60)] + [f"http://h.test/good/{i}" for i in range(20)] + ["http://other.test/bad/1/x", "http://h.test/"]
-    got = judged(spark, urls, block + [("h.test", "/good/1", "allow")])
-    assert all(got[i].verdict == "block" for i in range(60)) and all(got[i].rule is None for i in range(30, 60))
-    assert all(got[i].verdict == "allow" for i in range(60, 82)) and got[0].template == "/bad/*/*"
+def templates_by_brute_force(urls, rules):
+    """{url: (template, verdict of the template)} by the method in words, over a tree of dictionaries."""
+    parts = {u: (u.split("://")[1].split("/")[0], [re.sub("[0-9]+", "{n}", x) for x in u.split("://")[1].split("/")[1:] if x]) for u in urls}
+    marks = {}
+    for u in urls:
+        host, path = parts[u][0], "/" + u.split("://")[1].split("/", 1)[1] if "/" in u.split("://")[1] else ""
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        marks[u] = max(fits, key=lambda r: len(r[0] + r[1]))[2] if fits else None
+    found = {}
+
+    def grow(members, template, level):
+        if len({tuple(parts[u][1]) for u in members if len(parts[u][1]) > level}) < 2:
+            for u in members:
+                found[u] = "".join([template, *(f"/{x}" for x in parts[u][1][level:])]) or "/"
+            return
+        found.update({u: template or "/" for u in members if len(parts[u][1]) <= level})
+        children = {}
+        for u in members:
+            if len(parts[u][1]) > level:
+                children.setdefault(parts[u][1][level], []).append(u)
+
+        def kind(u):
+            rest = parts[u][1][level + 1 :]
+            return f"{'end' if not rest else 'number' if rest[0] == '{n}' else 'file' if '.' in rest[0] else 'word'},{len(rest)}"
+
+        kinds = {c: Counter(map(kind, us)) for c, us in children.items()}
+        pool = {c: max((n, k) for k, n in kinds[c].items())[1] for c in children}
+        share = lambda us: (sum(marks[u] == "block" for u in us), sum(marks[u] is not None for u in us))
+        groups = {}
+        for c, us in children.items():
+            pooled = [v for d in children if pool[d] == pool[c] for v in children[d]]
+            all_kinds = Counter(map(kind, pooled))
+            df, n, total = len(all_kinds) - 1, len(us), len(pooled)
+            chi = sum((kinds[c][k] - n * m / total) ** 2 / (n * m / total) for k, m in all_kinds.items())
+            critical = df * (1 - 2 / (9 * df) + 3 * (2 / (9 * df)) ** 0.5) ** 3 if df else 0
+            (b, m), (ab, am) = share(us), share(pooled)
+            p, q = b / max(m, 1), ab / max(am, 1)
+            merges = sum(pool[d] == pool[c] for d in children) > 1 and chi <= critical + 1e-9 and (m == 0 or (p - q) ** 2 * m <= 3.8416 * q * (1 - q) + 1e-9)
+            groups.setdefault(f"*:{pool[c]}" if merges else c, []).extend(us)
+        for name, us in groups.items():
+            grow(us, f"{template}/{name}", level + 1)
+
+    for host in {p[0] for p in parts.values()}:
+        grow([u for u in urls if parts[u][0] == host], "", 0)
+    prior = sum(m == "block" for m in marks.values()) / max(sum(m is not None for m in marks.values()), 1)
+    out = {}
+    for u in urls:
+        same = [marks[v] for v in urls if parts[v][0] == parts[u][0] and found[v] == found[u]]
+        b, m = same.count("block"), len(same) - same.count(None)
+        out[u] = (found[u], marks[u] or ("block" if b and (b + 5 * prior) / (m + 5) >= 0.8 else "allow"))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    pick = random.Random(3)
+    words = ["en", "de", "shop", "blog", "a.html", "b.php", "x1y", "tag", "user"]
+    urls = [f"http://{pick.choice(['a.org', 'b.org', 'w.b.org'])}/" + "/".join(pick.choice([*words, str(pick.randrange(99))]) for _ in range(pick.choice([0, 1, 2, 2, 3, 3, 4, 9]))) for _ in range(700)]
+    urls += [f"http://deep.org/{'d/' * 12}{pick.choice(['p', 'q'])}/{i}" for i in range(30)]
+    rules = [("org", "/en", "block"), ("b.org", "/de", "block"), ("w.b.org", "/shop", "allow"), ("deep.org", "/" + "d/" * 12 + "p", "block"), ("org", "/blog/tag", "allow")]
+    expected = templates_by_brute_force(urls, rules)
+    got = judged(spark, urls, rules)
+    assert {u: (got[i].template, got[i].verdict) for i, u in enumerate(urls)} == {u: expected[u] for u in urls}
+
+
+def test_unlabelled_pages_go_with_the_blocked_branches_they_are_like(spark):
+    rules = [("h.test", "/es/", "block"), ("h.test", "/fr/", "block"), ("h.test", "/help/", "allow")]
+    urls = [f"http://h.test/{lang}/{i}" for lang in ("es", "fr") for i in range(20)] + [f"http://h.test/{lang}/{i}.html" for lang in ("es", "fr") for i in range(4)]
+    like = [f"http://h.test/en/{i}" for i in range(8)]
+    unlike = [f"http://h.test/about/us/team/{x}" for x in "abcdefgh"] + [f"http://h.test/help/{x}" for x in "abcdefghij"] + ["http://h.test/", "http://other.test/en/1"]
+    got = {urls_: r.verdict for urls_, r in zip(urls + like + unlike, [r for _, r in sorted(judged(spark, urls + like + unlike, rules).items())], strict=True)}
+    assert all(got[u] == "block" for u in urls + like) and all(got[u] == "allow" for u in unlike)
     assert judged(spark, []) == {}
 
 
+def test_deep_branches_are_told_apart(spark):
+    # the same first twelve segments; what is below decides, and a very long URL is only one more shape
+    stem = "/".join("abcdefghijkl")
+    rules = [("h.test", f"/{stem}/bad/", "block"), ("h.test", f"/{stem}/good/", "allow")]
+    urls = [f"http://h.test/{stem}/{side}/{i}" for side in ("bad", "good") for i in range(30)] + ["http://h.test/" + "z/" * 3000]
+    got = judged(spark, urls, rules)
+    assert got[0].template != got[30].template and got[0].purity > 0.9 > 0.1 > got[30].purity and got[60].verdict == "allow"
+
+
 # --- quality
 
 
