@@ -1,7 +1,8 @@
 """Quality rules whose thresholds come from the corpus: quantile sketches per language and source, merged upwards, then joined to filter.
 
 All of it is built-in expressions. Counts of each text stay in its row (windows of words are numbered hashes within one array); a sketch for each
-language and source is merged to one for each language and one for all, and a group too small to judge by takes the next larger one.
+language and source is merged to one for each language and one for all. A group's bounds are drawn towards those of its language, and these towards
+those of all, by as much as they have few texts to go by: no size of a group switches between rules.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ WINDOW = 8
 #: Items that a sketch holds at each level; ranks are off by about 0.1 %, and exact for groups up to this size.
 SKETCH_K = 2048
 
-#: Texts that a group needs for thresholds of its own.
-LEAST_TEXTS = 50
+#: Texts that the bounds of the next larger group are worth beside a group's own.
+SMOOTHING = 50
 
 #: How many interquartile ranges beyond a quartile a signal may lie.
 REACH = 3
@@ -115,20 +116,22 @@ def thresholds(signalled: DataFrame, lang: str = "lang", source: str = "source")
         return found
 
     names = [f"{side}_{s}" for s, (_, under) in SIGNALS.items() for side in (["high"] if under is None else ["high", "low"])]
+    drawn = lambda own, n, wider: (F.col(own) * F.col(n) + SMOOTHING * F.col(wider)) / (F.col(n) + SMOOTHING)
     by_lang = fine.groupBy(F.col(lang).alias("_lang")).agg(F.sum("n").alias("_n"), *merged)
-    by_lang = by_lang.where(F.col("_n") >= LEAST_TEXTS).select("_lang", *bounds(by_lang, "_"))
+    by_lang = by_lang.select("_lang", "_n", *bounds(by_lang, "_"))
     all_ = fine.agg(F.count("*").alias("_groups"), *merged).where("_groups > 0")
     all_ = all_.select(*bounds(all_, "__"))  # one row at most
-    own = fine.select(lang, source, "n", *bounds(fine, ""))
-    joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")), "left").join(F.broadcast(all_), F.lit(True), "left")
-    return joined.select(lang, source, *(F.when(F.col("n") >= LEAST_TEXTS, F.col(c)).otherwise(F.coalesce(f"_{c}", f"__{c}")).alias(c) for c in names))
+    wide = by_lang.join(F.broadcast(all_), F.lit(True), "left").select("_lang", *(drawn(f"_{c}", "_n", f"__{c}").alias(f"_{c}") for c in names))
+    own = fine.select(lang, source, "n", *bounds(fine, "")).join(wide, F.col(lang).eqNullSafe(F.col("_lang")))
+    return own.select(lang, source, *(drawn(c, "n", f"_{c}").alias(c) for c in names))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row of docs.
 
     kept is false for texts that fail the base rules, and for those with a signal outside the thresholds of their language and source. A text whose
-    group has none that pass is only held to the base rules. Null languages and sources are groups; copies are judged alike and all stay.
+    group has none that pass is only held to the base rules. Null languages and sources are groups; copies are judged alike and all stay. A null or empty
+    text fails the base rules; a very long one is counted in full, in its own row. An empty table gives an empty one.
     """
     joined = _judged(docs, key, text, lang, source)
     return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -188,15 +191,16 @@ ranked AS (
 fine AS (SELECT s, lang, source, count(*) AS n, min(v) FILTER (c1 >= 0.25) AS q1, min(v) FILTER (c1 >= 0.75) AS q3 FROM ranked GROUP BY ALL),
 by_lang AS (SELECT s, lang, count(*) AS n, min(v) FILTER (c2 >= 0.25) AS q1, min(v) FILTER (c2 >= 0.75) AS q3 FROM ranked GROUP BY ALL),
 whole AS (SELECT s, min(v) FILTER (c3 >= 0.25) AS q1, min(v) FILTER (c3 >= 0.75) AS q3 FROM ranked GROUP BY ALL),
-chosen AS (
-  SELECT f.s, f.lang, f.source, CASE WHEN f.n >= 50 THEN f.q1 WHEN b.n >= 50 THEN b.q1 ELSE w.q1 END AS q1,
-    CASE WHEN f.n >= 50 THEN f.q3 WHEN b.n >= 50 THEN b.q3 ELSE w.q3 END AS q3
-  FROM fine f JOIN by_lang b ON f.s = b.s AND f.lang IS NOT DISTINCT FROM b.lang JOIN whole w ON f.s = w.s),
+margins(s, over) AS (VALUES ('word_length', 100), ('symbol_share', 10), ('dup_line_share', 40)),
+drawn AS (
+  SELECT s, f.lang, f.source,
+    ((f.q3 + 3 * (f.q3 - f.q1) + over) * f.n + 50 * (((b.q3 + 3 * (b.q3 - b.q1) + over) * b.n + 50 * (w.q3 + 3 * (w.q3 - w.q1) + over))::DOUBLE / (b.n + 50))) / (f.n + 50) AS high,
+    ((f.q1 - 3 * (f.q3 - f.q1) - over) * f.n + 50 * (((b.q1 - 3 * (b.q3 - b.q1) - over) * b.n + 50 * (w.q1 - 3 * (w.q3 - w.q1) - over))::DOUBLE / (b.n + 50))) / (f.n + 50) AS low
+  FROM fine f JOIN by_lang b USING (s) JOIN whole w USING (s) JOIN margins USING (s) WHERE f.lang IS NOT DISTINCT FROM b.lang),
 limits AS (
-  SELECT lang, source,
-    max(q3 + 3 * (q3 - q1) + 100) FILTER (s = 'word_length') AS high_word, max(q1 - 3 * (q3 - q1) - 100) FILTER (s = 'word_length') AS low_word,
-    max(q3 + 3 * (q3 - q1) + 10) FILTER (s = 'symbol_share') AS high_symbol, max(q3 + 3 * (q3 - q1) + 40) FILTER (s = 'dup_line_share') AS high_dup
-  FROM chosen GROUP BY ALL)
+  SELECT lang, source, max(high) FILTER (s = 'word_length') AS high_word, max(low) FILTER (s = 'word_length') AS low_word,
+    max(high) FILTER (s = 'symbol_share') AS high_symbol, max(high) FILTER (s = 'dup_line_share') AS high_dup
+  FROM drawn GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(word_length <= high_word, true) AND coalesce(word_length >= low_word, true)
     AND coalesce(symbol_share <= high_symbol, true) AND coalesce(dup_line_share <= high_dup, true) AS kept

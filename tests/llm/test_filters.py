@@ -175,6 +175,26 @@ def test_quality_thresholds_follow_the_group(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_bounds_past_the_size_of_a_sketch(spark):
+    # 60,000 texts in one group, far more than a sketch holds: its bounds stay near the exact ones, and a small group is drawn to them
+    rows = spark.range(60_000).selectExpr(
+        "'en' AS lang", "IF(id % 1000 = 0, 't', 's') AS source", "false AS base_failed",
+        "CAST(pmod(xxhash64(id), 1000) AS BIGINT) AS word_length", "CAST(pow(pmod(xxhash64(id, 1), 100), 2) AS BIGINT) AS symbol_share", "0L AS dup_line_share",
+    )
+    got = {r.source: r for r in quality_rules.thresholds(rows).collect()}
+    exact = {s: rows.where(f"source = '{s}'").agg(*(F.expr(f"percentile(word_length, {p})") for p in (0.245, 0.255, 0.745, 0.755))).first() for s in "st"}
+    low = exact["s"][3] + 3 * (exact["s"][2] - exact["s"][1]) + 100 - 20
+    high = exact["s"][3] + 3 * (exact["s"][3] - exact["s"][0]) + 100 + 20
+    assert low <= got["s"].high_word_length <= high and abs(got["t"].high_word_length - got["s"].high_word_length) < 300
+
+
+def test_quality_of_a_very_long_text(spark):
+    long = " ".join(f"word{i}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long, None, None), (2, "a b " * 100_000, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert got[1].n_words == 300_000 and got[1].kept and got[2].n_repeat_words == 200_000 and not got[2].kept
+
+
 # --- archives
 
 
