@@ -2,7 +2,8 @@
 
 Spark's own writer puts the frames into files, so archives land on any file system that Spark writes to, with its commit protocol. The line separator
 that this writer wants between values is an empty skippable frame, which every Zstandard reader passes over. A file's records come from one
-partition, and its dictionary is trained on that partition's first records.
+partition, and its dictionary is trained on its own first records. A partition begins another archive once one has ARCHIVE_BYTES, so that an archive, which
+is read as one row, stays small whatever the partition holds.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ REVISIT_BYTES = 1000
 #: Bytes of a dictionary, and of the records that it is trained on, the first of a partition.
 DICTIONARY_BYTES, SAMPLE_BYTES = 16_384, 2_000_000
 
+#: Bytes of frames after which a partition begins another archive.
+ARCHIVE_BYTES = 64_000_000
+
 LEVEL, FED = 3, 1 << 16
 
 ARCHIVE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -83,30 +87,39 @@ def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
 
 
 def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes what plan_records() gives as archives, one for each partition that has records; no records give an empty folder."""
+    """Writes what plan_records() gives as archives of ARCHIVE_BYTES or so, each from one partition, in folders by number; no records give no archive.
+
+    An archive is longer only by its last record. Null urls have no field, null keys an empty one, and repeated rows a record each.
+    """
     small_batches(records.sparkSession)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = None
+        archive, n, held, compressor = 0, 0, 0, None
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             found = [record(page, url, payload, bytes.fromhex(digest), refers, date) for page, url, payload, digest, refers in rows]
-            out = []
-            if found and compressor is None:
-                sample, size = [], 0
-                for r in found:
-                    sample.append(r[:SAMPLE_BYTES])
-                    if (size := size + len(r)) > SAMPLE_BYTES:
-                        break
-                trained = train(sample)
-                content = trained.as_bytes() if trained else b""
-                out.append(struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content)
-                compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True, write_content_size=True)
-            out += map(compressor.compress, found) if compressor else []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-
-    made = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(frames, "frame binary")
-    made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+            out: list[tuple[int, int, bytes]] = []
+            for k, raw in enumerate(found):
+                if compressor is None:
+                    sample, size = [], 0
+                    for r in found[k:]:
+                        sample.append(r[:SAMPLE_BYTES])
+                        if (size := size + len(r)) > SAMPLE_BYTES:
+                            break
+                    trained = train(sample)
+                    content = trained.as_bytes() if trained else b""
+                    out.append((archive, n, struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content))
+                    compressor, n, held = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True, write_content_size=True), n + 1, len(content)
+                out.append((archive, n, compressor.compress(raw)))
+                n, held = n + 1, held + len(out[-1][2])
+                if held >= ARCHIVE_BYTES:
+                    archive, compressor = archive + 1, None
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["archive", "n", "frame"])
+
+    made = records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(frames, "archive long, n long, frame binary")
+    made = made.sortWithinPartitions("archive", "n").select("archive", F.col("frame").cast("string").alias("value"))
+    made.write.partitionBy("archive").option("lineSep", SEPARATOR).text(path)
 
 
 def archive_records(content: bytes) -> Iterator[bytes]:
@@ -182,22 +195,47 @@ def page_record(raw: bytes) -> tuple:
     return page_of(fields["warc-record-id"]), int(told[1]), digest.hex(), fields["warc-type"], page_of(fields.get("warc-refers-to"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row of ARCHIVE_SCHEMA for each record of the archives in a folder; a record that isn't sound stops the job.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row of ARCHIVE_SCHEMA and file and error (string) for each record of the archives in a folder.
 
-    payload_bytes and payload_digest are those of the full payload, of revisits too.
+    payload_bytes and payload_digest are those of the full payload, of revisits too. A record that isn't sound has nulls and an error; where an archive
+    can't be read on, its rest is one such row. A folder without archives gives no rows.
     """
-    small_batches(spark)
+    small_batches(spark)  # and a batch ends once it has 64 MB, as is the default of Spark, so archives come one by one
+    names, kinds = zip(*(f.split() for f in ARCHIVE_SCHEMA.split(", ")), strict=True)
+    kinds = [pa.int64() if k == "long" else pa.string() for k in kinds]
+
+    def checked(content: bytes) -> Iterator[tuple]:
+        records = archive_records(content)
+        while True:
+            try:
+                raw = next(records)
+            except StopIteration:
+                return
+            except ValueError as error:
+                yield *(None,) * len(names), str(error)
+                return
+            try:
+                yield *page_record(raw), None
+            except ValueError as error:
+                yield *(None,) * len(names), str(error)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = zip(*(f.split() for f in ARCHIVE_SCHEMA.split(", ")), strict=True)
-        kinds = [pa.int64() if k == "long" else pa.string() for k in kinds]
         for batch in batches:
-            for content in batch.column(0):
-                columns = list(zip(*map(page_record, archive_records(content.as_py())), strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                columns = list(zip(*checked(content.as_py()), strict=True)) or [()] * (len(names) + 1)
+                arrays = [pa.array(c, k) for c, k in zip(columns, [*kinds, pa.string()], strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([file] * len(columns[0]), pa.string())], [*names, "error", "file"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ARCHIVE_SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return files.select("path", "content").mapInArrow(rows, f"{ARCHIVE_SCHEMA}, error string, file string")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """A row of ARCHIVE_SCHEMA for each record; one that isn't sound stops the job with its file and fault. read_records() sets those apart instead."""
+    read = read_records(spark, path)
+    sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), "error"))).otherwise(F.col("payload_digest"))
+    return read.withColumn("payload_digest", sound.cast("string")).select(*(f.split()[0] for f in ARCHIVE_SCHEMA.split(", ")))
 
 
 #: What writing and reading back gives, as DuckDB SQL.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+import pathlib
 import random
 import re
 import struct
@@ -216,7 +217,7 @@ def test_archives(spark, tmp_path):
         repeats = len(payload) >= 1000 and newest != key
         assert tuple(got[key]) == (key, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if repeats else "response", newest if repeats else None)
     records = []
-    for name in glob.glob(f"{path}/part-*"):
+    for name in glob.glob(f"{path}/*/part-*"):
         content = open(name, "rb").read()
         assert struct.unpack("<I", content[:4])[0] == warc.DICTIONARY_MAGIC
         records += list(warc.archive_records(content))
@@ -228,7 +229,7 @@ def test_dictionary_is_trained_and_may_be_compressed(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<html><body><p>page {i * 7919 % 1000} of many pages {hashlib.sha256(str(i).encode()).hexdigest()}</p></body></html>") for i in range(600)], "page_id long, url string, html string")
     path = str(tmp_path / "archives")
     warc.write_archives(warc.plan_records(df.coalesce(1)), path)
-    content = open(glob.glob(f"{path}/part-*")[0], "rb").read()
+    content = open(glob.glob(f"{path}/*/part-*")[0], "rb").read()
     size = struct.unpack("<II", content[:8])[1]
     assert size > 1000 and warc.read_archives(spark, path).count() == 600
     packed = zstandard.compress(content[8 : 8 + size])
@@ -239,6 +240,27 @@ def test_dictionary_is_trained_and_may_be_compressed(spark, tmp_path):
             list(warc.archive_records(bad))
 
 
+def test_archives_are_bounded_and_unsound_ones_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    html = lambda i: " ".join(hashlib.sha256(f"{i}.{k}".encode()).hexdigest() for k in range(10))
+    pages = [(i, f"http://h/{i}", html(i)) for i in range(60)] + [(99, "http://h/long", "".join(html(k) for k in range(2000)))]
+    path = str(tmp_path / "archives")
+    warc.write_archives(warc.plan_records(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)), path)
+    files = sorted(glob.glob(f"{path}/*/part-*"))
+    sizes = [len(open(f, "rb").read()) for f in files]
+    assert len(files) > 10 and all(n < 6000 for n in sizes if n != max(sizes)) and {r.page_id for r in warc.read_archives(spark, path).collect()} == {p[0] for p in pages}
+    content = bytearray(open(files[0], "rb").read())
+    content[-30] ^= 255
+    open(files[0], "wb").write(content)
+    for f in glob.glob(f"{path}/*/.part-*.crc"):
+        pathlib.Path(f).unlink()
+    told = warc.read_records(spark, path).collect()
+    bad = [r for r in told if r.error]
+    assert len(bad) == 1 and bad[0].page_id is None and bad[0].file.endswith(files[0].rsplit("/", 1)[1]) and len(told) > 50
+    with pytest.raises(Exception, match="part-"):
+        warc.read_archives(spark, path).collect()
+
+
 def test_unsound_records():
     good = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").digest(), None, "2024-01-01T00:00:00Z")
     assert warc.page_record(good) == (1, 7, hashlib.sha1(b"payload").hexdigest(), "response", None)
