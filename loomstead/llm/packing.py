@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomstead.llm.bpe_tables import WORD_CHUNK, BoundedCache
-from loomstead.llm.common import small_batches
+from loomstead.llm.common import materialise, small_batches
 
 #: Characters beyond those of Latin scripts, and the one letter there that lower case makes two characters of. Texts without them are in composed
 #: form, can be put in lower case at once, and are cut finely; others are cut at white space only.
@@ -86,11 +86,10 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end: int = 2, group_docs:
     """Packs every row's tokens and an end id into sequences of at most size tokens; one row for each piece.
 
     Columns: the key, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null and empty texts are the end id alone. A document longer than
-    size gives whole sequences and a remainder. Rows with equal keys are packed each by itself. An empty table gives no pieces.
+    size gives whole sequences and a remainder. Rows with equal keys are packed each by itself. An empty table gives no pieces. Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    groups = max(1, -(-docs.count() // group_docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = model(path).encode
@@ -109,7 +108,9 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end: int = 2, group_docs:
         bins, offsets = first_fit_decreasing(pieces["length"].tolist(), size)
         return pieces.assign(sequence_id=pieces["group"] * 2**32 + np.array(bins), offset=np.array(offsets)).drop(columns="group")
 
-    # the row number only deals out copies of a row; a task that runs again reads the same rows in the same order
-    dealt = docs.select(key, F.pmod(F.xxhash64(F.lit("packing"), key, F.monotonically_increasing_id()), F.lit(groups)).alias("group"), text)
-    pieces = dealt.mapInArrow(cut, f"`{key}` {kind}, group long, start long, length long, ids_crc32 long, doc_tokens long")
-    return pieces.groupBy("group").applyInPandas(fill, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # the row number only deals out copies of a row, so that they don't gather; pieces are kept once it is drawn, and no later rerun draws it again
+    dealt = docs.select(key, F.xxhash64(F.lit("packing"), key, F.monotonically_increasing_id()).alias("group"), text)
+    pieces = materialise(dealt.mapInArrow(cut, f"`{key}` {kind}, group long, start long, length long, ids_crc32 long, doc_tokens long"))
+    groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
+    grouped = pieces.withColumn("group", F.pmod("group", F.lit(groups))).groupBy("group")
+    return grouped.applyInPandas(fill, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
