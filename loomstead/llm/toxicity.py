@@ -71,8 +71,8 @@ COUNTED = 1_000_000
 #: Labelled rows that the words are learned from, at most; beyond it a part of them picked by hash, about so many.
 TRAIN_ROWS = 100_000
 
-#: Standard errors that a word's share of toxic texts is lowered by, the lowered share that it needs, and the words kept at most, strongest first.
-CAUTION, LEAST_SHARE, LEXICON = 3.0, 0.3, 50_000
+#: Standard errors that a word's share of toxic texts is lowered by, and the lowered share that it needs; so a word is in four labelled texts at least.
+CAUTION, LEAST_SHARE = 3.0, 0.3
 
 #: Words of a text that make its score, and the power that sets strong words apart from middling ones.
 STRONGEST, POWER = 3, 3
@@ -147,6 +147,7 @@ class Scorer:
     def _start(self) -> None:
         self.decoded, self.told = BoundedCache(self.decode, CACHED), BoundedCache(self.span_words, CACHED)
         self.strong = BoundedCache(self.strong_words, CACHED)
+        self.longest = max(map(len, self.lexicon), default=0)
         self.heads = {f.rstrip("~")[: min(STEMS)] for f in self.lexicon}  # a word with another beginning says nothing
 
     def __getstate__(self):
@@ -157,9 +158,9 @@ class Scorer:
         self._start()
 
     def decode(self, span: str) -> str:
-        """The likeliest reading of a disguised word; a span that is too long for one word stays as it is."""
+        """The likeliest reading of a disguised word; a span that is too long for one word is read as several."""
         signs = signs_of(span)
-        return span if len(signs) > LONGEST else self.read(signs)
+        return self.read(signs, len(signs) > LONGEST)
 
     def span_words(self, span: str) -> list[str]:
         """The words that a disguised span may stand for, in lower case: as one word, and where it is long or its letters stand apart, as several."""
@@ -174,7 +175,7 @@ class Scorer:
         """What begins within words that may have run together and speaks for a toxic text: a whole word of the lexicon, else the rest for its stem."""
         for i in range(len(word) - min(STEMS) + 1):
             if word[i : i + min(STEMS)] in self.heads:
-                rest = word[i : i + LONGEST]
+                rest = word[i : i + self.longest]
                 whole = [rest[:j] for j in range(1, len(rest) + 1) if rest[:j] in self.lexicon]
                 if whole or self.share(rest):
                     yield max(whole, key=lambda w: (self.lexicon[w], len(w))) if whole else rest
@@ -294,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Counts the character model over all docs, and learns words from the labelled rows that are not held out.
 
     Of a key's labels the largest counts. Up to TRAIN_ROWS labelled rows are used, so they are few enough to broadcast. What reaches the driver is the
-    character model, of a fixed size, and a lexicon of LEXICON words at most.
+    character model, of a fixed size, and the lexicon: words and stems that are in four or more of these rows, most of them toxic.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -328,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     counted = train.where("not _cuts").select(text, "mark").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = counted.where("toxic > 0").select("feature", lowered_share(F.col("toxic"), F.col("clean")).alias("share")).where(F.col("share") >= LEAST_SHARE)
-    lexicon = {r.feature: r.share for r in strong.orderBy(F.desc("share"), "feature").limit(LEXICON).collect()}
+    lexicon = {r.feature: r.share for r in strong.collect()}
     uncut = spark.sparkContext.broadcast(Scorer(scorer.value.model, lexicon))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +366,10 @@ def keep_clean(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, score, predicted) for each row of docs, copies too. Without labels, nothing is learned and all scores are 0."""
+    """(key, held_out, score, predicted) for each row of docs, copies too. Without labels, nothing is learned and all scores are 0.
+
+    Null and empty texts score 0, very long ones are read in full, and equal texts score alike; of readings that cost the same, the first found counts.
+    Rows without a key are held out. An empty table gives an empty one; other columns are not looked at.
+    """
     scored = score(docs.select(key, text), learn(docs, labels, key, text), text)
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", "predicted")

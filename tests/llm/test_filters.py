@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import glob
 import hashlib
+import itertools
 import pathlib
 import random
 import re
@@ -241,14 +242,14 @@ def test_dictionary_is_trained_and_may_be_compressed(spark, tmp_path):
 
 
 def test_archives_are_bounded_and_unsound_ones_told(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
     html = lambda i: " ".join(hashlib.sha256(f"{i}.{k}".encode()).hexdigest() for k in range(10))
-    pages = [(i, f"http://h/{i}", html(i)) for i in range(60)] + [(99, "http://h/long", "".join(html(k) for k in range(2000)))]
+    pages = [(i, f"http://h/{i}", html(i)) for i in range(400)] + [(999, "http://h/long", "".join(html(k) for k in range(2000)))]
     path = str(tmp_path / "archives")
     warc.write_archives(warc.plan_records(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)), path)
     files = sorted(glob.glob(f"{path}/*/part-*"))
     sizes = [len(open(f, "rb").read()) for f in files]
-    assert len(files) > 10 and all(n < 6000 for n in sizes if n != max(sizes)) and {r.page_id for r in warc.read_archives(spark, path).collect()} == {p[0] for p in pages}
+    assert len(files) > 6 and all(n < 21_000 for n in sizes if n != max(sizes)) and {r.page_id for r in warc.read_archives(spark, path).collect()} == {p[0] for p in pages}
     content = bytearray(open(files[0], "rb").read())
     content[-30] ^= 255
     open(files[0], "wb").write(content)
@@ -256,7 +257,7 @@ def test_archives_are_bounded_and_unsound_ones_told(spark, tmp_path, monkeypatch
         pathlib.Path(f).unlink()
     told = warc.read_records(spark, path).collect()
     bad = [r for r in told if r.error]
-    assert len(bad) == 1 and bad[0].page_id is None and bad[0].file.endswith(files[0].rsplit("/", 1)[1]) and len(told) > 50
+    assert len(bad) == 1 and bad[0].page_id is None and bad[0].file.endswith(files[0].rsplit("/", 1)[1]) and len(told) > 350
     with pytest.raises(Exception, match="part-"):
         warc.read_archives(spark, path).collect()
 
@@ -302,7 +303,51 @@ def test_disguises(learned):
         assert scorer.score(f"Of the {word} and.") >= 0.5
     assert scorer.decode("l o s e r") == "loser" and scorer.score("you l o s e r now") >= 0.5 and scorer.score("s.t.u.p.i.d") >= 0.5
     assert scorer.score("the and of 2024, mail x9@y.z 12:30") < 0.5 and scorer.score("") == 0.0 and scorer.score(None) == 0.0
-    assert scorer.score("A" * 100_000) < 0.5 and scorer.decode("a1" * 50) == "a1" * 50
+    assert scorer.score("A" * 100_000) < 0.5 and scorer.restore(f"a {'st' + 'u' * 40 + 'pid'} b") == "a stupid b"
+
+
+def readings_by_brute_force(signs, model):
+    """(cost, reading) of every reading of signs as one word, from the costs of the channel and the model in words."""
+    options = []
+    for i, sign in enumerate(signs):
+        if sign in toxicity.LEET:
+            options.append([(c, toxicity.AS_LETTER) for c in toxicity.LEET[sign]] + [("", toxicity.DROP_SIGN)])
+        elif i and signs[i - 1] == sign:
+            run = signs[max(0, i - 2) : i + 2].count(sign) > 2
+            options.append([(sign, toxicity.KEEP_REPEAT if run else toxicity.KEEP_DOUBLE), ("", toxicity.DROP_REPEAT if run else toxicity.DROP_DOUBLE)])
+        else:
+            options.append([(sign, 0.0)])
+    for pick in itertools.product(*options):
+        word = "".join(c for c, _ in pick)
+        codes = [0, 0, *map(int, toxicity.letter_codes(word)), 0]
+        yield sum(x for _, x in pick) - sum(float(model[tuple(codes[k : k + 3])]) for k in range(len(codes) - 2)), word
+
+
+def test_decoding_against_every_reading(learned):
+    scorer, pick = learned[2], random.Random(5)
+    for _ in range(300):
+        signs = toxicity.signs_of("".join(pick.choice("abeilost0134$!@*|éß") * pick.choice([1, 1, 1, 2, 4]) for _ in range(pick.randint(1, 5)))[:6])
+        told = sorted(readings_by_brute_force(signs, scorer.model))
+        found = next(cost for cost, word in told if word == scorer.read(signs))
+        assert found == pytest.approx(told[0][0], abs=1e-6), signs
+
+
+def test_toxicity_query(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    docs = [r.doc_id for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id").collect()]
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, MIDDLE).collect()}
+    assert sorted(got) == sorted(docs) and all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for k, r in got.items())
+    assert np.mean([got[k].predicted == labels[k] for k in labels if got[k].held_out]) > 0.9
+
+
+def test_what_the_channel_adds(learned):
+    """Words in disguise that score as they do in the clear, with and without decoding."""
+    scorer = learned[2]
+    plain = type("Plain", (toxicity.Scorer,), {"token_words": lambda self, token: toxicity.WORD.findall(token.lower()), "spaced_words": lambda self, text: []})(scorer.model, scorer.lexicon, scorer.cut)
+    words = ["loser", "idiot", "stupid", "moron", "trash"]
+    disguise = [lambda w: w.translate(str.maketrans("oiesa", "0!3$@")), lambda w: " ".join(w), lambda w: w[0] + w[1] * 4 + w[2:], lambda w: ".".join(w)]
+    caught = lambda s: np.mean([s.score(f"Of the {d(w)} and.") >= 0.5 for w in words for d in disguise])
+    assert caught(scorer) > 0.85 and caught(plain) < 0.3
 
 
 def test_disguises_at_either_end(learned):
