@@ -54,11 +54,12 @@ def remaining_hours(records: Column, elapsed_ms: Column, total: Column) -> Colum
 
 
 def month_chunks(first: dt.date, last: dt.date, most: int, count) -> list[tuple[dt.date, dt.date]]:
-    """Windows of days from first to last: months, halved while they hold more than most by count(from, to) and more than a day."""
+    """Windows of days from first to last: months, halved while they hold more than most by count(from, to) and more than a day; none that holds nothing."""
 
     def halved(a: dt.date, b: dt.date) -> list[tuple[dt.date, dt.date]]:
-        if a >= b or count(a, b) <= most:
-            return [(a, b)]
+        held = count(a, b)
+        if a >= b or held <= most:
+            return [(a, b)] if held else []
         middle = a + (b - a) // 2
         return halved(a, middle) + halved(middle + dt.timedelta(days=1), b)
 

@@ -35,6 +35,7 @@ def nearest(queries: DataFrame, vocabulary: DataFrame, k: int = 1, part: int = P
     queries has query_id and vector, vocabulary match_id and vector, of one length; a zero vector is near nothing. A task emits k rows for each query of
     its part, so k rows for each query and part of the vocabulary are shuffled.
     """
+    kind = queries.schema["query_id"].dataType.simpleString()
     n_left, n_right = (max(1, -(-side.count() // part)) for side in (queries, vocabulary))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -57,7 +58,7 @@ def nearest(queries: DataFrame, vocabulary: DataFrame, k: int = 1, part: int = P
         found = pd.concat(out)
         return found[found["similarity"] > -2.0]
 
-    met = left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInPandas(meet, "query_id long, match_id long, similarity double")
+    met = left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInPandas(meet, f"query_id {kind}, match_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -80,9 +81,8 @@ def match_terms(terms: DataFrame, names: DataFrame, vectors: DataFrame, vocabula
     exact = names.groupBy(F.lower(F.trim("name")).alias("term")).agg(F.max("match_id").alias("exact_id"))
     known = distinct.join(exact, "term", "left")
     open_ = known.where(F.col("exact_id").isNull()).join(vectors.select(F.lower(F.trim("term")).alias("term"), "vector").dropDuplicates(["term"]), "term")
-    numbered = open_.withColumn("query_id", F.xxhash64("term"))
-    near = nearest(numbered.select("query_id", "vector"), vocabulary).select("query_id", F.col("match_id").alias("near_id"), "similarity")
-    found = known.join(near, F.xxhash64("term") == F.col("query_id"), "left")
+    near = nearest(open_.select(F.col("term").alias("query_id"), "vector"), vocabulary).select(F.col("query_id").alias("term"), F.col("match_id").alias("near_id"), "similarity")
+    found = known.join(near, "term", "left")
     similarity = F.when(F.col("exact_id").isNotNull(), F.lit(1.0)).otherwise(F.col("similarity"))
     ok, reason = accepted(similarity, threshold)
     return found.select("term", F.coalesce("exact_id", "near_id").alias("match_id"), similarity.alias("similarity"), F.coalesce(ok, F.lit(False)).alias("accepted"), reason.alias("reason"))

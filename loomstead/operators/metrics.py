@@ -11,15 +11,51 @@ def breakdown(df: DataFrame, column: str, missing: str = "UNKNOWN") -> DataFrame
     return df.groupBy(F.coalesce(column, F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
 
 
-def percentiles(value: Column, **shares: float) -> list[Column]:
-    """Percentiles by linear interpolation over ranks; 0 for no rows."""
-    return [F.coalesce(F.percentile(value, F.lit(p)), F.lit(0.0)).alias(name) for name, p in shares.items()]
+#: Ranges of values that percentiles cut each group into.
+RANGES = 64
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """(keys, a column for each share): exact percentiles by linear interpolation over ranks; 0 for a group without values.
+
+    A group's values never meet in one task: approximate quantiles, of a bounded size, cut them into ranges, values are counted, and the two ranks that a
+    percentile lies between are found in the range that holds them.
+    """
+    cuts = [(k + 1) / RANGES for k in range(RANGES - 1)]
+    groups = df.groupBy(*keys).agg(F.count(value).alias("_rows"), F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, cuts)), F.lit(1000)).alias("_cuts"))
+    names = {k: f"_{k}" for k in keys}
+    with_group = lambda rows, side: rows.join(side.withColumnsRenamed(names), [rows[k].eqNullSafe(F.col(names[k])) for k in keys]).drop(*names.values())
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    placed = with_group(counts, groups).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")
+    sizes = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows a group
+    starts = sizes.select(*keys, F.col("_range").alias("_r"), before.alias("_before")).withColumnsRenamed(names)
+    found = placed.join(starts, [*(placed[k].eqNullSafe(F.col(names[k])) for k in keys), placed["_range"] == F.col("_r")]).drop(*names.values(), "_r")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = found.withColumn("_upto", upto)
+    at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_value")))
+    out = {}
+    for name, share in shares.items():
+        rank = F.lit(share) * (F.col("_rows") - 1)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        part = F.max(rank - F.floor(rank))
+        out[name] = low + (high - low) * part
+    told = ranked.groupBy(*keys).agg(*(c.alias(name) for name, c in out.items()))
+    renamed = told.withColumnsRenamed(names)
+    joined = groups.join(renamed, [groups[k].eqNullSafe(F.col(names[k])) for k in keys], "left")
+    return joined.select(*keys, *(F.coalesce(name, F.lit(0.0)).alias(name) for name in shares))
+
+
+def with_percentiles(summed: DataFrame, df: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """summed, which has a row for each of keys, with percentiles of df beside it."""
+    told = percentiles(df, keys, value, **shares).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return summed.join(told, [summed[k].eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys))
 
 
 def duration_buckets(df: DataFrame, at: str, value: str, minutes: int) -> DataFrame:
     """Count, mean and percentiles of a value over buckets of so many minutes, aligned to the epoch."""
-    window = F.window(F.col(at).cast("timestamp_ntz"), f"{minutes} minutes")
-    return df.groupBy(window["start"].alias("bucket")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *percentiles(F.col(value), p50=0.5, p95=0.95, p99=0.99))
+    placed = df.select(F.window(F.col(at).cast("timestamp_ntz"), f"{minutes} minutes")["start"].alias("bucket"), F.col(value))
+    return with_percentiles(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(value).alias("mean")), placed, ["bucket"], value, p50=0.5, p95=0.95, p99=0.99)
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -66,7 +102,7 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def progress(scrapes: DataFrame, source: str = "source", id_: str = "id", kind: str = "kind", records: str = "records") -> DataFrame:
     """For each source, its last discovery, and the batches and records after it."""
-    last = F.max(F.when(F.col(kind) == "discovery.completed", F.col(id_))).over(Window.partitionBy(source))
-    after = scrapes.withColumn("discovery", last).where(F.col(id_) >= F.col("discovery"))
+    last = scrapes.where(F.col(kind) == "discovery.completed").groupBy(F.col(source).alias("_source")).agg(F.max(id_).alias("discovery"))
+    after = scrapes.join(last, scrapes[source].eqNullSafe(F.col("_source"))).drop("_source").where(F.col(id_) >= F.col("discovery"))
     batch = F.col(kind) == "batch.completed"
     return after.groupBy(source, "discovery").agg(F.count_if(batch).alias("batches"), F.coalesce(F.sum(F.when(batch, F.col(records))), F.lit(0)).alias("records"))

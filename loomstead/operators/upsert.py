@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,13 @@ def reconcile(current: DataFrame, wanted: DataFrame, key: str, value: str, pinne
 
 
 def write_swapped(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
-    """Writes a table over its own path; with partitions, only those that df holds are replaced."""
-    writer = df.write.mode("overwrite")
+    """Writes a table over a path that df may be read from; with partitions, only those that df holds are replaced.
+
+    The rows are written beside the path first, so nothing that is still to be read is overwritten; that copy stays there, should the swap be cut short.
+    """
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    writer = df.sparkSession.read.schema(df.schema).parquet(staged).write.mode("overwrite")
     if partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
     writer.parquet(path)

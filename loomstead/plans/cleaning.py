@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import dates as D
@@ -49,12 +49,12 @@ NAMES = ["Dr. Jane Doe", "Pfizer", "Study Director", "John Smith, MD, PhD", "Acm
 @query(f"""WITH n AS (SELECT c_custkey AS id, [{quoted(NAMES)}][c_custkey % 10 + 1] || CASE WHEN c_custkey % 4 = 0 THEN ', Sponsor' ELSE '' END AS name FROM customer),
 s AS (SELECT id, upper(CASE WHEN ends_with(name, ', Sponsor') THEN name[:-10] ELSE name END) AS u FROM n)
 SELECT id, CASE WHEN u LIKE 'CONTACT%' THEN 'RolePrefix:CONTACT' WHEN u LIKE 'STUDY DIRECTOR%' THEN 'RolePrefix:STUDY DIRECTOR' WHEN regexp_matches(u, ' INC$') THEN 'CorporateSuffix:INC'
-  WHEN contains(u, ' & ') THEN 'Ampersand' WHEN contains(u, 'INSTITUTE') THEN 'OrgKeywords:INSTITUTE' WHEN contains(u, 'PHARMA ') THEN 'OrgKeywords:PHARMA' WHEN u = 'PFIZER' THEN 'PharmaBlocklist:PFIZER' END AS reason FROM s""")
+  WHEN contains(u, ' & ') THEN 'Ampersand' WHEN contains(u, 'INSTITUTE') THEN 'OrgKeywords:INSTITUTE' WHEN contains(u, 'PHARMA ') THEN 'OrgKeywords:PHARMA' WHEN u = 'PFIZER' THEN 'PharmaBlocklist:Pfizer' END AS reason FROM s""")
 def human_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     name = F.concat(F.get(F.array(*map(F.lit, NAMES)), (key % 10).cast("int")), F.when(key % 4 == 0, ", Sponsor").otherwise(""))
     reason = T.not_human_reason(name, F.lit(None).cast("string"))
-    return R.table(spark, sf_dir, "customer").select(key.alias("id"), F.regexp_replace(reason, "Pfizer", "PFIZER").alias("reason"))
+    return R.table(spark, sf_dir, "customer").select(key.alias("id"), reason.alias("reason"))
 
 
 @query("""WITH n AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'Prof. ' ELSE '' END || replace(s_name, '#', ' ') || CASE s_suppkey % 3 WHEN 0 THEN ', MD, PhD' WHEN 1 THEN ' Jr.' ELSE '' END AS raw FROM supplier)
@@ -245,38 +245,44 @@ def in_flight_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS_SQL = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
-@query(f"""WITH {VECTORS_SQL}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0)
+SIMILAR_SQL = f"{VECTORS_SQL}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id)"
+
+
+def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k nearest of all vectors but itself for each vector whose id 100 divides."""
+    vectors = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked, known = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "match_id")
+    found = M.nearest(asked, known, k + 1).where("match_id <> query_id")  # one more, as each is near itself
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+@query(f"""WITH {SIMILAR_SQL}
   SELECT query_id, match_id, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) = 1""")
 def cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked, known = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), vectors.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "match_id")
-    return M.nearest(asked, known).select("query_id", "match_id", F.round("similarity", 6).alias("similarity"))
+    return neighbours(spark, sf_dir, 1).select("query_id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {VECTORS_SQL}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
+@query(f"""WITH {SIMILAR_SQL},
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS INT) AS rank FROM s)
   SELECT query_id, match_id, rank, NOT sim < 0.5 AS accepted, CASE WHEN sim < 0.5 THEN printf('below_threshold (sim=%.4f)', sim) END AS reason FROM r WHERE rank <= 3""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked, known = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), vectors.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "match_id")
     ok, reason = M.accepted(F.col("similarity"), 0.5)
-    return M.nearest(asked, known, 3).select("query_id", "match_id", "rank", ok.alias("accepted"), reason.alias("reason"))
+    return neighbours(spark, sf_dir, 3).select("query_id", "match_id", "rank", ok.alias("accepted"), reason.alias("reason"))
 
 
-@query(f"""WITH {VECTORS_SQL}, t AS (SELECT 'term ' || vec_id AS term, e, vec_id FROM v WHERE vec_id % 50 = 0), voc AS (SELECT * FROM v WHERE vec_id % 50 <> 0),
-  s AS (SELECT term, b.vec_id AS m, list_cosine_similarity(t.e, b.e) AS sim FROM t JOIN voc b ON t.vec_id % 100 <> 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY sim DESC, b.vec_id) = 1)
+@query(f"""WITH {VECTORS_SQL}, t AS (SELECT 'term ' || vec_id AS term, list_reverse(e) AS e, vec_id FROM v WHERE vec_id % 50 = 0),
+  s AS (SELECT term, b.vec_id AS m, list_cosine_similarity(t.e, b.e) AS sim FROM t JOIN v b ON t.vec_id % 100 <> 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY sim DESC, b.vec_id) = 1)
   SELECT term, m AS match_id, round(sim, 6) AS similarity, sim >= 0.55 AS accepted FROM s UNION ALL SELECT term, vec_id, 1.0, true FROM t WHERE vec_id % 100 = 0""")
 def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms by exact name, else by the nearest vector."""
+    """Terms by exact name, else by the nearest of all vectors; a term's own is that of its number, backwards."""
     vectors = R.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    named = vectors.where("vec_id % 50 = 0").withColumn("term", F.concat(F.lit(" Term "), F.col("vec_id").cast("string")))
+    named = vectors.where("vec_id % 50 = 0").select("vec_id", F.concat(F.lit(" Term "), F.col("vec_id").cast("string")).alias("term"), F.reverse("vector").alias("vector"))
     names = named.where("vec_id % 100 = 0").select(F.col("term").alias("name"), F.col("vec_id").alias("match_id"))
-    known = vectors.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "match_id")
-    found = M.match_terms(named.select("term"), names, named.select("term", "vector"), known)
+    found = M.match_terms(named.select("term"), names, named.select("term", "vector"), vectors.withColumnRenamed("vec_id", "match_id"))
     return found.select("term", "match_id", F.round("similarity", 6).alias("similarity"), "accepted")
 
 
-
 # --- small lookups
 
 
@@ -288,7 +294,7 @@ def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {QUEUE_SQL} SELECT count(*) FILTER (status = 'dead-letter') AS dead, round((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(created_at) FILTER (status = 'completed'))) / 3600000000.0, 6) AS hours,
-  true AS alert FROM q""")
+  count(*) FILTER (status = 'dead-letter') > 10 OR coalesce(epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(created_at) FILTER (status = 'completed')) > 24 * 3600000000, true) AS alert FROM q""")
 def queue_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dead letters and hours since the last completed event, and whether either is too much."""
     queue = work_queue(spark, sf_dir).withColumn("completed_at", F.col("created_at"))

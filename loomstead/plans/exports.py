@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,20 +153,28 @@ def rate_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where(F.size(filled) > 0).select("person_id", shown.alias("rates"))
 
 
-@query("""WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS first, CAST(last_day(date_trunc('month', o_orderdate)) AS DATE) AS month_end, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'
-    AND o_orderdate < TIMESTAMP '1996-07-01' GROUP BY 1, 2) SELECT first AS window_from, month_end AS window_to, n FROM m""")
+#: Studies that a window of a backfill may hold.
+WINDOW_STUDIES = 100
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1),
+  c AS (SELECT CAST(g AS DATE) AS day, sum(coalesce(n, 0)) OVER (ORDER BY g) AS upto
+    FROM (SELECT unnest(generate_series(min(day)::TIMESTAMP - INTERVAL 1 DAY, max(day)::TIMESTAMP, INTERVAL 1 DAY)) AS g FROM d) LEFT JOIN d ON day = CAST(g AS DATE)),
+  m AS (SELECT greatest(CAST(g AS DATE), lo) AS a, least(last_day(CAST(g AS DATE)), hi) AS b
+    FROM (SELECT unnest(generate_series(date_trunc('month', min(day))::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 MONTH)) AS g, min(day) AS lo, max(day) AS hi FROM d)),
+  w AS (SELECT a, b, y.upto - x.upto AS n FROM m JOIN c x ON x.day = a - 1 JOIN c y ON y.day = b
+    UNION ALL SELECT p.a, p.b, y.upto - x.upto FROM (SELECT unnest([a, a + ((b - a) // 2)::INT + 1]) AS a, unnest([a + ((b - a) // 2)::INT, b]) AS b FROM w WHERE n > {WINDOW_STUDIES} AND a < b) p
+    JOIN c x ON x.day = p.a - 1 JOIN c y ON y.day = p.b)
+  SELECT a AS window_from, b AS window_to, CAST(n AS BIGINT) AS n FROM w WHERE n > 0 AND (n <= {WINDOW_STUDIES} OR a = b)""")
 def backfill_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of a backfill over half a year: months, halved where they hold too much, with what each holds. Counts come from one scan by day."""
-    day = F.to_date("o_orderdate").alias("day")
-    first, last = dt.date(1996, 1, 1), dt.date(1996, 6, 30)
-    orders = R.table(spark, sf_dir, "orders").where(F.col("o_orderdate").between(F.lit(first), F.lit(dt.datetime(1996, 6, 30, 23, 59, 59))))
-    counts = {r.day: r.n for r in orders.groupBy(day).agg(F.count("*").alias("n")).collect()}  # 182 days
-    total = sum(counts.values())
-    windows = month_chunks(first, last, max(1, total), lambda a, b: sum(n for d, n in counts.items() if a <= d <= b))
-    planned = spark.createDataFrame(windows, "window_from date, window_to date")
-    held = orders.select(day).groupBy("day").agg(F.count("*").alias("n"))
-    inside = (F.col("day") >= F.col("window_from")) & (F.col("day") <= F.col("window_to"))
-    return held.join(F.broadcast(planned), inside).groupBy("window_from", "window_to").agg(F.sum("n").alias("n"))
+    """Windows of a backfill over all days with studies: months, halved while they hold too much, with what each holds. Counts come from one scan by day."""
+    days = R.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n")).where("day is not null").orderBy("day").collect()  # a row a day
+    schema = "window_from date, window_to date, n long"
+    if not days:
+        return spark.createDataFrame([], schema)
+    dates, upto = [r.day for r in days], [0, *accumulate(r.n for r in days)]
+    held = lambda a, b: upto[bisect_right(dates, b)] - upto[bisect_left(dates, a)]
+    return spark.createDataFrame([(a, b, held(a, b)) for a, b in month_chunks(dates[0], dates[-1], WINDOW_STUDIES, held)], schema)
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'license' WHEN regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+') THEN 'mail'
@@ -195,8 +204,9 @@ def name_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("person_id", F.col("v.last").alias("last_name"), "variation")
 
 
-@query("""SELECT event_id, greatest(ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) AS cursor_at FROM events""")
+@query("""SELECT event_id, max(ts - INTERVAL 1 HOUR * (event_id % 7)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cursor_at FROM events""")
 def cursor_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cursor that only moves forward."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return R.table(spark, sf_dir, "events").select("event_id", F.greatest("ts", before).alias("cursor_at"))
+    """A cursor that only moves forward, over events that come up to six hours late."""
+    seen = F.col("ts") - F.make_dt_interval(hours=F.col("event_id") % 7)
+    upto = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return R.table(spark, sf_dir, "events").select("event_id", F.max(seen).over(upto).alias("cursor_at"))

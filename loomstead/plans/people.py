@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import scoring as S
 from loomstead.operators import features as X
 from loomstead.operators import hierarchy as H
+from loomstead.operators import npi as N
 from loomstead.operators.metrics import weighted_mean
 from loomstead.operators.resolution import find_or_create, resolve, sole_owners
 from loomstead.plans import roles as R
@@ -67,15 +69,18 @@ means AS (SELECT person_id, count(*) FILTER (completion IS NOT NULL OR velocity
   FROM (SELECT DISTINCT person_id, study_id FROM investigators) JOIN signals USING (study_id) GROUP BY 1)"""
 
 
-def person_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(person_id, included, completion_rate, velocity_rate): weighted means over a person's studies."""
-    ended = R.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("study_id")).agg(F.to_date(F.max("l_shipdate")).alias("end_date"))
+def person_signals(spark: SparkSession, sf_dir: str, team: DataFrame | None = None) -> DataFrame:
+    """(person_id, included, completion_rate, velocity_rate): weighted means over a person's studies, of the persons in team if it is given."""
+    taking_part = (R.investigators(spark, sf_dir) if team is None else team).select("person_id", "study_id").distinct()
+    lines = R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("study_id"), "l_shipdate")
+    if team is not None:
+        lines = lines.join(taking_part, "study_id", "left_semi")
+    ended = lines.groupBy("study_id").agg(F.to_date(F.max("l_shipdate")).alias("end_date"))
     as_of = F.lit(R.AS_OF).cast("date")
     args = (F.col("enrollment"), F.col("start_date"), F.col("end_date"), as_of)
     signals = R.studies(spark, sf_dir).join(ended, "study_id", "left").select(
         "study_id", S.completion_signal(F.col("status")).alias("completion"), S.velocity_signal(*args).alias("velocity"), S.study_weight(*args).alias("weight")
     )
-    taking_part = R.investigators(spark, sf_dir).select("person_id", "study_id").distinct()
     included = F.count_if(F.col("completion").isNotNull() | F.col("velocity").isNotNull()).alias("included")
     means = [weighted_mean(F.col(c), F.col("weight")).alias(f"{c}_rate") for c in ("completion", "velocity")]
     return taking_part.join(signals, "study_id").groupBy("person_id").agg(included, *means)
@@ -115,16 +120,18 @@ def best_pi_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = wanted.agg(F.collect_set("category").alias("asked"))  # categories are few
     able = uses.join(wanted, "descriptor_id", "left_semi").join(team.select("study_id", "person_id"), "study_id").select("person_id").distinct()
     counts = team.groupBy("person_id").agg(F.count_distinct("study_id").alias("study_count"))
-    cut = counts.join(able, "person_id", "left_semi").orderBy(F.desc("study_count"), "person_id").limit(TOP * 3)
-    some = F.broadcast(cut.select("person_id"))  # thirty persons
-    own = team.join(some, "person_id", "left_semi")
+    best = counts.join(able, "person_id", "left_semi").orderBy(F.desc("study_count"), "person_id").limit(TOP * 3)
+    # thirty rows, worked out once: the filters that they make reach the scans of all that follows
+    thirty = [tuple(r) for r in best.collect()]
+    cut = spark.createDataFrame(thirty, best.schema)
+    own = team.where(F.col("person_id").isin([r[0] for r in thirty]))
     led = own.where("role = 'PRINCIPAL_INVESTIGATOR'").select("person_id", "study_id")
     categories = led.join(uses, "study_id").join(descriptors, "descriptor_id").groupBy("person_id").agg(F.collect_set("category").alias("categories"))
     regions = own.join(R.places(spark, sf_dir), "study_id").groupBy("person_id").agg(F.collect_set("country").alias("regions"))
-    lines = R.table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "person_id").join(some, "person_id", "left_semi")
+    lines = R.table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "person_id").where(F.col("person_id").isin([r[0] for r in thirty]))
     papers = lines.groupBy("person_id").agg(F.count_if(F.col("l_quantity") == 50).alias("h"), F.count_if(F.col("l_quantity") >= 40).alias("papers"))
     joined = cut.join(R.persons(spark, sf_dir), "person_id").join(F.broadcast(asked))
-    for side in (person_signals(spark, sf_dir).join(some, "person_id", "left_semi"), categories, regions, papers):
+    for side in (person_signals(spark, sf_dir, own), categories, regions, papers):
         joined = joined.join(side, "person_id", "left")
     factors = {
         "experience": S.experience(F.col("study_count")), "completion": S.completion(F.col("completion_rate")), "condition_fit": S.condition_fit(F.col("asked"), F.col("categories")),
@@ -136,21 +143,65 @@ def best_pi_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("person_id", "full_name", "study_count", *shown)
 
 
-CANDIDATES_SQL = """candidates AS (SELECT o_custkey AS person_id, o_orderkey AS number, o_orderstatus = 'P' AS deactivated, o_orderkey % 97 = 0 AS orcid_match,
-  o_orderkey % 3 <> 0 AS exact_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END AS middle_name, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority = '1-URGENT' END AS state,
-  CASE WHEN o_totalprice > 100000 THEN o_totalprice > 200000 END AS specialty, o_orderkey % 5 = 0 AS city FROM orders),
+#: What stands for specialties, by words of a part's type.
+FIELDS = {"retail": ["promo", "small"], "bulk": ["large", "economy"], "plain": ["standard", "medium"]}
+
+FIELD_SQL = lambda t: f"CASE WHEN {t} IN ('PROMO', 'SMALL') THEN 'retail' WHEN {t} IN ('LARGE', 'ECONOMY') THEN 'bulk' ELSE 'plain' END"
+
+CANDIDATES_SQL = f"""compared AS (SELECT o_custkey AS person_id, o_orderkey AS number, own.p_name = found.p_name AS exact_name, starts_with(found.p_type, own.p_type[1]) AS middle_name,
+    CASE WHEN c_mktsegment <> 'FURNITURE' THEN found.p_brand = own.p_brand END AS credential, pn.n_name = cn.n_name AS state, pr.r_name = cr.r_name AS city,
+    contains(found.p_brand, own.p_brand) AS organisation, string_split(found.p_name, ' ')[1] = string_split(own.p_name, ' ')[2] OR contains(found.p_brand, own.p_brand) AS other_name,
+    {FIELD_SQL("own.p_type")} = {FIELD_SQL("found.p_type")} AS specialty, pn.n_name = cn.n_name AS license_state,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN {FIELD_SQL("own.p_type")} = {FIELD_SQL("found.p_type")} END AS department,
+    own.p_partkey = found.p_partkey AS orcid_match, o_orderstatus = 'P' AS deactivated
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN part own ON own.p_partkey = c_custkey JOIN nation pn ON pn.n_nationkey = c_nationkey JOIN region pr ON pr.r_regionkey = pn.n_regionkey
+  JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part found ON found.p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+  JOIN nation cn ON cn.n_nationkey = s_nationkey JOIN region cr ON cr.r_regionkey = cn.n_regionkey),
+candidates AS (SELECT * FROM compared),
 scored AS (SELECT *, coalesce(state, false) OR coalesce(specialty, false) OR city OR orcid_match AS corroborated, CASE WHEN deactivated THEN 0.0::DOUBLE ELSE
   (CASE WHEN exact_name THEN 40 ELSE 0 END + CASE WHEN middle_name THEN 15 ELSE 0 END + CASE WHEN state THEN 10 ELSE 0 END + CASE WHEN specialty THEN 15 ELSE 0 END + CASE WHEN city THEN 5 ELSE 0 END)::DOUBLE
   / (40 + CASE WHEN middle_name IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN state IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN specialty IS NOT NULL THEN 15 ELSE 0 END + 5) END AS score FROM candidates)"""
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    marked = R.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("person_id"), key.alias("number"), (F.col("o_orderstatus") == "P").alias("deactivated"), (key % 97 == 0).alias("orcid_match"), (key % 3 != 0).alias("exact_name"),
-        F.when(key % 2 == 0, key % 4 == 0).alias("middle_name"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority") == "1-URGENT").alias("state"),
-        F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice") > 200000).alias("specialty"), (key % 5 == 0).alias("city"),
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person_id, number and the match features) of each candidate: customers named as the part of their number stand for persons, and the part and
+    supplier of an order's first line for what a registry says of a candidate."""
+    t = lambda name: R.table(spark, sf_dir, name)
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    place = lambda side, key: F.broadcast(places.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(f"{side}_state"), F.col("r_name").alias(f"{side}_city")))  # noqa: E731  nations are few
+    part = lambda side, key: t("part").select(F.col("p_partkey").alias(key), *(F.col(f"p_{c}").alias(f"{side}_{c}") for c in ("name", "type", "brand")))
+    persons = t("customer").join(part("own", "c_custkey"), "c_custkey").join(place("own", "c_nationkey"), "c_nationkey")
+    lines = t("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
+    found = lines.join(part("found", "l_partkey"), "l_partkey").join(t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(place("found", "s_nationkey"), "s_nationkey")
+    joined = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(persons, "c_custkey").join(found, "o_orderkey")
+    word = lambda side, k: F.get(F.split(f"{side}_name", " "), F.lit(k))
+    segment = F.col("c_mktsegment")
+    full = F.concat_ws(" ", word("own", 0), F.substring("own_type", 1, 1), word("own", 1))
+    department = F.when(segment.isin("BUILDING", "MACHINERY"), F.col("own_type"))
+    person = N.profile(full, F.col("c_custkey").cast("string"), F.col("own_brand"), department, F.col("own_city"), F.col("own_state"), N.specialties(F.col("own_type"), FIELDS))
+    person = person.withField("suffix", F.when(segment != "FURNITURE", F.col("own_brand")))
+    address = lambda purpose, city, state: F.struct(F.lit(purpose).alias("purpose"), city.alias("city"), state.alias("state"))
+    taxonomy = lambda desc, main, state: F.struct(desc.alias("desc"), F.lit(main).alias("main"), state.alias("state"))
+    candidate = F.struct(
+        F.when(F.col("o_orderstatus") == "P", "D").otherwise("A").alias("status"), word("found", 0).alias("first"), word("found", 1).alias("last"), F.col("found_type").alias("middle"),
+        F.col("found_brand").alias("credential"), F.col("found_brand").alias("organisation"),
+        F.array(F.struct(word("found", 0).alias("last"), F.col("found_brand").alias("organisation"))).alias("other_names"),
+        F.array(address("MAILING", F.lit("-"), F.lit("-")), address("LOCATION", F.col("found_city"), F.col("found_state"))).alias("addresses"),
+        F.array(taxonomy(F.lit("promo"), False, F.lit("-")), taxonomy(F.col("found_type"), True, F.col("found_state"))).alias("taxonomies"),
+        F.array(F.struct(F.lit("17").alias("type"), F.col("l_partkey").cast("string").alias("identifier"))).alias("identifiers"),
     )
+    both = joined.select(F.col("c_custkey").alias("person_id"), F.col("o_orderkey").alias("number"), person.alias("person"), candidate.alias("candidate"))
+    return both.select("person_id", "number", *(c.alias(n) for n, c in N.match_features(F.col("person"), F.col("candidate"), FIELDS).items()))
+
+
+@query(f"WITH {CANDIDATES_SQL} SELECT * FROM compared")
+def npi_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve match features of each candidate."""
+    return compared(spark, sf_dir)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = compared(spark, sf_dir)
     matches = {m: F.col(m) for m in ("middle_name", "state", "specialty", "city")}
     scored = marked.withColumn("score", S.candidate_score(F.lit(True), F.col("exact_name"), matches, F.col("deactivated")))
     signs = [F.coalesce(m, F.lit(False)) for m in (F.col("state"), F.col("specialty"), F.col("city"), F.col("orcid_match"))]
@@ -281,7 +332,7 @@ SELECT t.study_id, t.person_id, s_name AS full_name, CASE WHEN status = 'COMPLET
   JOIN p USING (study_id, person_id) JOIN m USING (study_id, person_id) JOIN o USING (study_id, person_id)""")
 def pi_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each study and its principal investigators: what was known of them before it."""
-    wanted = targets(spark, sf_dir)
+    wanted = targets(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # five sides begin with it
     joined = wanted.join(R.persons(spark, sf_dir).select("person_id", "full_name"), "person_id").join(prior(spark, sf_dir), "person_id", "left")
     for side in (papers_before_start, usage_until, payments_until):
         joined = joined.join(side(spark, sf_dir, wanted), ["study_id", "person_id"])

@@ -145,11 +145,13 @@ def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, arg_max(event_id, ts) AS newest FROM events GROUP BY 1""")
 def queue_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("ts") >= F.lit("2024-01-30 22:00:00").cast("timestamp_ntz")
-    quantiles = [F.round(F.percentile("value", F.lit(p)), 4).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return R.table(spark, sf_dir, "events").groupBy("event_type").agg(
+    events = R.table(spark, sf_dir, "events")
+    summed = events.groupBy("event_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("value") >= 90).alias("slow"), F.count_if(late).alias("last_hours"), F.round(F.avg("value"), 4).alias("mean"),
-        *quantiles, F.max_by("event_id", "ts").alias("newest"),
+        F.max_by("event_id", "ts").alias("newest"),
     )
+    found = M.with_percentiles(summed, events, ["event_type"], "value", p50=0.5, p95=0.95, p99=0.99)
+    return found.withColumns({c: F.round(c, 4) for c in ("p50", "p95", "p99")})
 
 
 @query("""SELECT time_bucket(INTERVAL '180 minutes', ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50,
@@ -162,9 +164,9 @@ def duration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_shipmonth AS month, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, quantile_cont(l_quantity, 0.5) AS p50, round(quantile_cont(l_quantity, 0.95), 4) AS p95
   FROM (SELECT CAST(month(l_shipdate) AS INT) AS l_shipmonth, l_quantity FROM lineitem) GROUP BY 1""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = R.table(spark, sf_dir, "lineitem").groupBy(F.month("l_shipdate").alias("month"))
-    p50, p95 = M.percentiles(F.col("l_quantity"), p50=0.5, p95=0.95)
-    return lines.agg(F.count("*").alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), p50, F.round(p95, 4).alias("p95"))
+    lines = R.table(spark, sf_dir, "lineitem").select(F.month("l_shipdate").alias("month"), "l_quantity")
+    summed = lines.groupBy("month").agg(F.count("*").alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    return M.with_percentiles(summed, lines, ["month"], "l_quantity", p50=0.5, p95=0.95).withColumn("p95", F.round("p95", 4))
 
 
 @query("""WITH s AS (SELECT user_id AS source, event_id AS id, CASE event_type WHEN 'signup' THEN 'discovery.completed' WHEN 'view' THEN 'batch.completed' ELSE event_type END AS kind,

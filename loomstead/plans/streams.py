@@ -19,16 +19,20 @@ from loomstead.streaming.queue import duration_windows, queue_states
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where executors share one; a temporary one where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstead-")
+    """A new folder where executors share one. Where the session names none: a temporary one in local mode, an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loomstead-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there, and appends what it gives out to Parquet."""
+    """Runs a stream over all that is there, and writes what each batch gives out to a folder by its number, so a batch that runs again replaces it."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(keep).start().awaitTermination()

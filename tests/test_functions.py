@@ -86,6 +86,7 @@ def test_dates(spark):
     chunks = dates.month_chunks(dt.date(2026, 1, 15), dt.date(2026, 3, 10), 100, lambda a, b: 5)
     assert chunks == [(dt.date(2026, 1, 15), dt.date(2026, 1, 31)), (dt.date(2026, 2, 1), dt.date(2026, 2, 28)), (dt.date(2026, 3, 1), dt.date(2026, 3, 10))]
     assert all(a == b for a, b in dates.month_chunks(dt.date(2026, 1, 1), dt.date(2026, 1, 4), 1, lambda a, b: 9))
+    assert dates.month_chunks(dt.date(2026, 1, 1), dt.date(2026, 2, 4), 9, lambda a, b: int(b.month == 2)) == [(dt.date(2026, 2, 1), dt.date(2026, 2, 4))]
 
 
 def test_signals(spark):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstead.operators import filters, matching, metrics, resolution, upsert
+from loomstead.operators import filters, matching, metrics, npi, resolution, upsert
 from loomstead.sources import files, registry
 from loomstead.streaming import queue as streams
 
@@ -43,9 +43,40 @@ def test_pages_put_unknown_starts_first(tables):
 
 
 def test_percentiles(spark):
-    df = spark.range(1, 21).toDF("v")
-    assert tuple(df.agg(*metrics.percentiles(F.col("v"), a=0.5, b=0.95, c=0.99)).first()) == pytest.approx((10.5, 19.05, 19.81))
-    assert df.where("v < 0").agg(*metrics.percentiles(F.col("v"), a=0.5)).first()[0] == 0.0
+    rows = [("a", float(v)) for v in range(1, 21)] + [("b", None), (None, 2.0), (None, 2.0), (None, 5.0)] + [("c", float(v * v % 997)) for v in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.a, r.b, r.c) for r in metrics.percentiles(df, ["k"], "v", a=0.5, b=0.95, c=0.99).collect()}
+    assert got["a"] == pytest.approx((10.5, 19.05, 19.81)) and got["b"] == (0.0, 0.0, 0.0)
+    values = lambda k: [v for x, v in rows if x == k]
+    for k in ("c", None):
+        assert got[k] == pytest.approx(tuple(np.percentile(values(k), p) for p in (50, 95, 99)))
+    assert metrics.percentiles(df.limit(0), ["k"], "v", a=0.5).count() == 0
+
+
+def test_tables_are_swapped_where_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(5).selectExpr("id", "id % 2 AS part").write.partitionBy("part").parquet(path)
+    upsert.write_swapped(spark.read.parquet(path).where("part = 1").selectExpr("id + 100 AS id", "part"), path, ["part"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 2, 4, 101, 103]
+    upsert.write_swapped(spark.read.parquet(path).where("id > 100"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [101, 103]
+
+
+def test_match_features(spark):
+    table = {"heart": ["cardi", "heart"], "skin": ["skin", "dermat"]}
+    person = npi.profile(F.col("name"), F.lit("0000-1"), F.lit(" General Hospital "), F.lit("Heart Institute"), F.lit("Boston"), F.lit(None).cast("string"), npi.specialties(F.lit("Heart failure"), table))
+    shape = "struct<status:string,first:string,last:string,middle:string,credential:string,organisation:string,other_names:array<struct<last:string,organisation:string>>,addresses:array<struct<purpose:string,city:string,state:string>>,taxonomies:array<struct<desc:string,main:boolean,state:string>>,identifiers:array<struct<type:string,identifier:string>>>"
+    one = ("A", " jane", "DOE", "Anne", "M.D., FACP", "The General Hospital of Boston", [("Smith", None), ("Doe", None)], [("MAILING", "Lynn", "MA"), ("LOCATION", "boston", "MA")], [("Dermatology", False, "NY"), ("Cardiology", True, "MA")], [("05", "0000-1"), ("17", "0000-1")])
+    two = ("D", None, None, "", None, None, [], [], [], [])
+    three = ("A", "John", "Doe", "B", "PhD", "Clinic", [("Roe", "x General Hospital y")], [("MAILING", "Lynn", "MA")], [("Dermatology", False, "NY")], [("17", "9")])
+    df = spark.createDataFrame([(i, "Dr. Jane A. Doe, MD, PhD" if i < 2 else "Jane A Doe, MD", c) for i, c in enumerate((one, two, three))], f"id int, name string, c {shape}")
+    got = {r.id: tuple(r[1:]) for r in df.select("id", *(c.alias(n) for n, c in npi.match_features(person, F.col("c"), table).items())).collect()}
+    # exact, middle, credential, state, city, organisation, other name, specialty, license state, department, researcher's id, deactivated
+    assert got[1] == (False, None, None, None, None, None, None, None, None, None, False, True)
+    assert got[0][0] is True and got[0][2:] == (True, None, True, True, True, True, None, True, True, False)
+    assert got[2] == (False, False, False, None, False, False, True, False, None, False, False, False)
+    parts = spark.createDataFrame([("Doe",), ("Jane Doe",), ("Jane van der Doe",), ("",)], "n string").select(npi.name_parts(F.col("n")).alias("p")).select("p.*").collect()
+    assert [tuple(p) for p in parts] == [("", None, "Doe"), ("Jane", None, "Doe"), ("Jane", "van der", "Doe"), ("", None, "")]
 
 
 def test_weighted_mean_abstains(spark):
