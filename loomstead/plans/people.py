@@ -173,13 +173,14 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     persons = t("customer").join(part("own", "c_custkey"), "c_custkey").join(place("own", "c_nationkey"), "c_nationkey")
     lines = t("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
     found = lines.join(part("found", "l_partkey"), "l_partkey").join(t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(place("found", "s_nationkey"), "s_nationkey")
-    joined = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(persons, "c_custkey").join(found, "o_orderkey")
     word = lambda side, k: F.get(F.split(f"{side}_name", " "), F.lit(k))
     segment = F.col("c_mktsegment")
     full = F.concat_ws(" ", word("own", 0), F.substring("own_type", 1, 1), word("own", 1))
     department = F.when(segment.isin("BUILDING", "MACHINERY"), F.col("own_type"))
     person = N.profile(full, F.col("c_custkey").cast("string"), F.col("own_brand"), department, F.col("own_city"), F.col("own_state"), N.specialties(F.col("own_type"), FIELDS))
     person = person.withField("suffix", F.when(segment != "FURNITURE", F.col("own_brand")))
+    profiles = persons.select("c_custkey", person.alias("person"))  # worked out once a person, before candidates multiply them
+    joined = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(profiles, "c_custkey").join(found, "o_orderkey")
     address = lambda purpose, city, state: F.struct(F.lit(purpose).alias("purpose"), city.alias("city"), state.alias("state"))
     taxonomy = lambda desc, main, state: F.struct(desc.alias("desc"), F.lit(main).alias("main"), state.alias("state"))
     candidate = F.struct(
@@ -190,7 +191,7 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(taxonomy(F.lit("promo"), False, F.lit("-")), taxonomy(F.col("found_type"), True, F.col("found_state"))).alias("taxonomies"),
         F.array(F.struct(F.lit("17").alias("type"), F.col("l_partkey").cast("string").alias("identifier"))).alias("identifiers"),
     )
-    both = joined.select(F.col("c_custkey").alias("person_id"), F.col("o_orderkey").alias("number"), person.alias("person"), candidate.alias("candidate"))
+    both = joined.select(F.col("c_custkey").alias("person_id"), F.col("o_orderkey").alias("number"), "person", candidate.alias("candidate"))
     return both.select("person_id", "number", *(c.alias(n) for n, c in N.match_features(F.col("person"), F.col("candidate"), FIELDS).items()))
 
 
