@@ -25,6 +25,7 @@ class Criteria:
     states: list[str] = field(default_factory=list)
     cities: list[str] = field(default_factory=list)
     facilities: list[str] = field(default_factory=list)
+    place_prefixes: list[str] = field(default_factory=list)
     least_enrollment: int | None = None
     most_enrollment: int | None = None
     start_from: str | None = None
@@ -81,6 +82,9 @@ def apply_filters(registry: Registry, criteria: Criteria, *, wildcards: bool = F
         for column, values in (("country", criteria.countries), ("state", criteria.states), ("city", criteria.cities), ("facility", criteria.facilities)):
             if wanted_values := filled(values):  # each by itself: two may hold at different places
                 found = found.join(registry.places.where(F.col(column).isin(wanted_values)).select("study_id"), "study_id", "left_semi")
+    if by_place and (prefixes := filled(criteria.place_prefixes)):
+        placed = registry.places.where(F.exists("tree_numbers", lambda number: starts_with_any(number, prefixes)))
+        found = found.join(placed.select("study_id"), "study_id", "left_semi")
     if criteria.least_enrollment is not None:
         found = found.where(F.col("enrollment") >= criteria.least_enrollment)
     if criteria.most_enrollment is not None:
@@ -108,6 +112,55 @@ def page(found: DataFrame, number: int, size: int, most: int = 100) -> DataFrame
     return found.orderBy(F.desc_nulls_first("start_date"), "study_id").offset((number - 1) * size).limit(size)
 
 
+def listed(registry: Registry, search: str | None = None, status: str | None = None, phase: str | None = None) -> DataFrame:
+    """Studies by a pattern in their texts or id, a list of statuses with commas, and one phase; blank ones ask for nothing."""
+    found = registry.studies
+    if search and search.strip():
+        found = _by_keyword(found, None, search, wildcards=True)
+    if statuses := split_values(status):
+        found = found.where(F.col("status").isin(statuses))
+    if phase and phase.strip():
+        found = found.join(registry.phases.where(F.col("phase") == phase).select("study_id"), "study_id", "left_semi")
+    return found
+
+
+def listed_page(found: DataFrame, number: int, size: int, created: str = "created_at") -> DataFrame:
+    """One page of studies, the latest made first, equal ones by study_id."""
+    return found.orderBy(F.desc(created), "study_id").offset((max(1, number) - 1) * size).limit(size)
+
+
+def sorted_page(shown: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """A page's own rows in another order; rows of other pages do not come in."""
+    return shown.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_first(by), "study_id")
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows at random, the same ones for the same seed wherever rows lie: those whose key and seed have the smallest digests."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return df.orderBy(digest, key).limit(n)
+
+
+#: Modes of a run that is asked for by hand. Fixed values.
+RUN_MODES = ["incremental", "full"]
+
+
+def run_mode_ok(mode: Column) -> Column:
+    return F.coalesce(F.lower(mode).isin(RUN_MODES), F.lit(False))
+
+
+def disease(tree_numbers: Column) -> Column:
+    """Whether any path of a descriptor lies under diseases or mental disorders."""
+    return F.coalesce(F.exists(tree_numbers, lambda number: starts_with_any(number, ["C", "F03"])), F.lit(False))
+
+
+def equal_to(df: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows whose columns equal all values that are given; a blank value asks for nothing."""
+    for column, value in wanted.items():
+        if value and value.strip():
+            df = df.where(F.col(column) == value)
+    return df
+
+
 def page_count(total: int, size: int) -> int:
     return -(-total // size)
 
@@ -134,7 +187,7 @@ def split_values(value: str | None) -> list[str] | None:
 PARAMETERS = {
     "keyword": "q", "statuses": "status", "phases": "phase", "conditions": "condition", "tree_prefixes": "tree", "countries": "country", "states": "state",
     "cities": "city", "facilities": "facility", "least_enrollment": "minEnrollment", "most_enrollment": "maxEnrollment", "start_from": "startFrom",
-    "start_to": "startTo",
+    "start_to": "startTo", "place_prefixes": "locationTree",
 }
 
 

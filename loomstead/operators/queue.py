@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.functions.payloads import incremental
+
 #: Retries after which an event is given up.
 MOST_RETRIES = 4
 
@@ -79,3 +81,70 @@ def alerts(events: DataFrame, now: Column, most_dead: int, most_hours: int) -> D
     found = events.agg(F.count_if(F.col("status") == "dead-letter").alias("dead"), F.max(F.when(F.col("status") == "completed", F.col("completed_at"))).alias("last"))
     hours = (seconds(now) - seconds(F.col("last"))) / 3600
     return found.select("dead", hours.alias("hours"), ((F.col("dead") > most_dead) | F.coalesce(hours > most_hours, F.lit(True))).alias("alert"))
+
+
+def remaining_ms(pending: Column, working: Column, mean_ms: Column) -> Column:
+    """Milliseconds until what is pending is done by those that work now, one at least; null where nothing is pending or no duration is known."""
+    return F.when((pending > 0) & (mean_ms > 0), pending * mean_ms / F.greatest(working, F.lit(1)))
+
+
+#: What a recovered event is marked with. A fixed value.
+SUPERSEDED = "Superseded by full-corpus backfill recovery."
+
+
+def legacy(events: DataFrame) -> DataFrame:
+    """Open discoveries whose payload holds a count and no window: what recover closes."""
+    payload = incremental(F.col("data"))
+    return events.where((F.col("event_type") == "studies.discovered") & F.col("status").isin("pending", "processing") & payload.isNotNull() & payload["from"].isNull())
+
+
+def recover(events: DataFrame, now: Column) -> DataFrame:
+    """events with the legacy ones closed: completed now, with the reason, and without claim or progress."""
+    payload = incremental(F.col("data"))
+    old = F.coalesce((F.col("event_type") == "studies.discovered") & F.col("status").isin("pending", "processing") & payload.isNotNull() & payload["from"].isNull(), F.lit(False))
+    to = {"status": F.lit("completed"), "completed_at": now, "error": F.lit(SUPERSEDED)} | dict.fromkeys(("claimed_by", "claimed_at", "processed", "total", "progress_at"), F.lit(None))
+    return events.withColumns({c: F.when(old, v).otherwise(F.col(c)) for c, v in to.items() if c in events.columns})
+
+
+#: Types of events that a worker claims, those that it takes first in front. Fixed values.
+CLAIMED_FIRST = ["studies.discovered", "studies.backfill"]
+
+
+def dispatched(events: DataFrame, now: Column, keys: list[str]) -> DataFrame:
+    """The event that each worker (keys) takes next: discoveries before backfills, then the oldest."""
+    urgency = F.array_position(F.array(*map(F.lit, CLAIMED_FIRST)), F.col("event_type"))
+    order = Window.partitionBy(*keys).orderBy(urgency, "created_at", "id")
+    open_ = events.where(claimable(events, now) & F.col("event_type").isin(CLAIMED_FIRST))
+    return open_.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+
+
+def completeness(expected: Column, ingested: Column) -> Column:
+    """Why an event fails that brought fewer studies than it announced; null for one that is complete."""
+    return F.when(ingested < expected, F.format_string("Ingested %d of %d studies", ingested, expected))
+
+
+# What follows an assigned number, and the scrub of a person's publications.
+AFTER_ASSIGNED = ["investigator.discovered", "medicare.utilization", "cms.openpayments"]
+AFTER_SCRUB = ["investigator.metrics"]
+
+
+def fan_out(outcomes: DataFrame) -> DataFrame:
+    """(event_type, data, status) of the events that follow outcomes (person_id, outcome): three for "assigned", one for "scrubbed", else none."""
+    following = F.when(F.col("outcome") == "assigned", F.array(*map(F.lit, AFTER_ASSIGNED))).when(F.col("outcome") == "scrubbed", F.array(*map(F.lit, AFTER_SCRUB)))
+    return outcomes.select(F.explode(following).alias("event_type"), F.col("person_id").cast("string").alias("data"), F.lit("pending").alias("status"))
+
+
+def source_states(commands: DataFrame) -> DataFrame:
+    """The state of each source after commands (source, seq, command, value, error), in the order of seq.
+
+    "status" sets the status, and the error where it gives one or the status is idle; "schedule" sets the next run; "request" a manual run, which
+    "consume" takes away; "initialise" makes a source idle that has no state yet. Other commands only make the source known.
+    """
+    is_ = lambda *names: F.col("command").isin(*names)
+    last = lambda value, when: F.max_by(F.struct(value.alias("v")), F.when(when, F.col("seq")))["v"]  # noqa: E731  the struct keeps a last value that is null
+    set_error = is_("status") & (F.col("error").isNotNull() | (F.col("value") == "idle"))
+    status = F.coalesce(last(F.col("value"), is_("status")), F.when(F.min_by("command", "seq") == "initialise", F.lit("idle")))
+    manual = last(F.when(is_("request"), F.col("value")), is_("request", "consume"))
+    return commands.groupBy("source").agg(
+        status.alias("status"), last(F.col("error"), set_error).alias("error"), last(F.col("value"), is_("schedule")).alias("next_run"), manual.alias("manual_mode")
+    )

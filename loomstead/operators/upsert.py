@@ -51,3 +51,29 @@ def write_swapped(df: DataFrame, path: str, partitions: list[str] | None = None)
     if partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
     writer.parquet(path)
+
+
+def merge_batch(stored: dict[str, DataFrame], batch: dict[str, DataFrame], key: str, seen_at: Column | None = None, parent: str = "studies", rejects: str = "rejected") -> dict[str, DataFrame]:
+    """All tables after a batch: the parent's rows merged, their children replaced where the batch gives that table, and new rejects added once.
+
+    Tables that the batch does not hold stay as they are. With seen_at, parents of the batch are marked as seen by a sweep, and are no longer removed.
+    """
+    incoming = batch[parent].dropDuplicates([key])
+    if seen_at is not None:
+        incoming = incoming.withColumn("last_seen", seen_at)
+    merged = merge_rows(stored[parent], incoming.select(*[c for c in stored[parent].columns if c in incoming.columns], *[F.lit(None).alias(c) for c in stored[parent].columns if c not in incoming.columns]), key)
+    if seen_at is not None and "removed_at" in stored[parent].columns:
+        merged = merged.withColumn("removed_at", F.when(F.col("last_seen") >= seen_at, F.lit(None)).otherwise(F.col("removed_at")))
+    after = {parent: merged}
+    for name, table in stored.items():
+        if name == rejects and name in batch:
+            after[name] = insert_absent(table, batch[name], table.columns)
+        elif name != parent:
+            after[name] = replace_children(table, batch[name], [key], incoming) if name in batch else table
+    return after
+
+
+def append_log(rows: DataFrame, path: str, day: str | None = None) -> None:
+    """Adds rows to a log; with the name of a day's column, in a folder a day, so that readers of few days read little."""
+    writer = rows.write.mode("append")
+    (writer.partitionBy(day) if day else writer).parquet(path)

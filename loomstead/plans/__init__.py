@@ -1,6 +1,6 @@
 """The queries over the driver's tables, each with the SQL that it is held against."""
 
-from loomstead.plans import cleaning, exports, people, reports, search, streams
+from loomstead.plans import cleaning, exports, people, reports, search, streams, upkeep
 from loomstead.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "exports", "people", "reports", "search", "streams"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "exports", "people", "reports", "search", "streams", "upkeep"]

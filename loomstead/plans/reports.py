@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.operators import metrics as M
+from loomstead.operators import queue as Q
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
 
@@ -127,18 +128,21 @@ DONE = "event_type IN ('purchase', 'view')"
 @query(f"""WITH recent AS (SELECT value FROM events WHERE {DONE} ORDER BY ts DESC, event_id DESC LIMIT 10000)
   SELECT (SELECT count(*) FROM events WHERE event_type = 'click') AS pending, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed,
     (SELECT count(*) FROM events WHERE {DONE}) AS completed, (SELECT round(avg(value), 4) FROM recent) AS mean_ms,
-    (SELECT round(count(*) FILTER (event_type = 'error') / greatest(count(*) FILTER (event_type = 'error' OR {DONE}), 1), 6) FROM events) AS failure_rate""")
+    (SELECT round(count(*) FILTER (event_type = 'error') / greatest(count(*) FILTER (event_type = 'error' OR {DONE}), 1), 6) FROM events) AS failure_rate,
+    (SELECT round(avg(value) * (SELECT count(*) FILTER (event_type = 'click') / greatest(count(*) FILTER (event_type = 'signup'), 1) FROM events), 4) FROM recent) AS remaining_ms""")
 def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status, and the mean duration of the latest ten thousand completed events, which is what the report is defined on."""
     events = R.table(spark, sf_dir, "events")
     done = F.col("event_type").isin("purchase", "view")
     failed = F.col("event_type") == "error"
     counts = events.agg(
-        F.count_if(F.col("event_type") == "click").alias("pending"), F.count_if(failed).alias("failed"), F.count_if(done).alias("completed"),
+        F.count_if(F.col("event_type") == "click").alias("pending"), F.count_if(F.col("event_type") == "signup").alias("working"), F.count_if(failed).alias("failed"), F.count_if(done).alias("completed"),
         F.round(F.count_if(failed) / F.greatest(F.count_if(failed | done), F.lit(1)), 6).alias("failure_rate"),
     )
-    recent = events.where(done).orderBy(F.desc("ts"), F.desc("event_id")).limit(10_000).agg(F.round(F.avg("value"), 4).alias("mean_ms"))
-    return counts.join(F.broadcast(recent))  # one row each
+    recent = events.where(done).orderBy(F.desc("ts"), F.desc("event_id")).limit(10_000).agg(F.avg("value").alias("mean"))
+    joined = counts.join(F.broadcast(recent))  # one row each
+    left = F.round(Q.remaining_ms(F.col("pending"), F.col("working"), F.col("mean")), 4)
+    return joined.withColumn("mean_ms", F.round("mean", 4)).withColumn("remaining_ms", left).drop("working", "mean")
 
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (value >= 90) AS slow, count(*) FILTER (ts >= TIMESTAMP '2024-01-30 22:00:00') AS last_hours, round(avg(value), 4) AS mean,

@@ -57,3 +57,9 @@ MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Journ
 #: Events of the work queue.
 QUEUE_EVENT = """id long, event_type string, status string, data string, created_at timestamp, claimed_at timestamp, completed_at timestamp, last_error_at timestamp,
 progress_at timestamp, retry_count int, processed int, total int"""
+
+#: A descriptor of the vocabulary in XML.
+DESCRIPTOR_RECORD = """
+DescriptorUI string, DescriptorName struct<String: string>, TreeNumberList struct<TreeNumber: array<string>>,
+ConceptList struct<Concept: array<struct<ConceptName: struct<String: string>, ConceptPreferredNameYN: string, TermList: struct<Term: array<struct<String: string>>>>>>
+"""

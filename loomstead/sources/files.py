@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,38 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, sep="\t").csv(path)
 
 
+def write_report(df: DataFrame, summary: dict[str, object], path: str) -> None:
+    """A TSV report that ends with rows of a name and a figure; the rows before keep their order."""
+    first, *rest = df.columns
+    cells = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
+    rows = df.sparkSession.createDataFrame([(name, str(figure)) for name, figure in summary.items()], "name string, figure string")
+    width = [F.lit(None).cast("string").alias(c) for c in rest[1:]]
+    ends = rows.select(F.col("name").alias(first), *([F.col("figure").alias(rest[0])] if rest else []), *width)
+    df.select(*cells).unionByName(ends).write.mode("overwrite").options(header=True, sep="\t").csv(path)
+
+
+def write_artefacts(frame: DataFrame, schema: dict, path: str) -> None:
+    """A training frame as Parquet, and what it holds as JSON beside it."""
+    frame.write.mode("overwrite").parquet(f"{path}/frame")
+    spark = frame.sparkSession
+    spark.createDataFrame([(json.dumps(schema, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+
+
+def read_artefacts(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    text = spark.read.text(f"{path}/schema", wholetext=True).first()
+    return spark.read.parquet(f"{path}/frame"), json.loads(text.value)
+
+
+def posts_tagged(posts: DataFrame, tag: str) -> DataFrame:
+    """Posts with a tag, in any case."""
+    return posts.where(F.exists("tags", lambda t: F.lower(t) == tag.lower()))
+
+
+def post_tags(posts: DataFrame) -> DataFrame:
+    """Distinct tags of posts, in order."""
+    return posts.select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+
+
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, date, tags, pinned, body) of Markdown files with a head between lines of three dashes; pinned ones first, then the newest."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

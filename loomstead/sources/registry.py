@@ -11,9 +11,9 @@ from loomstead.functions.payloads import number
 from loomstead.functions.text import blank
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of studies in JSON, one document for each file."""
-    return spark.read.schema(schemas.REGISTRY_PAGE).json(path, multiLine=True)
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pages of studies in JSON, one document for each file, or for each line."""
+    return spark.read.schema(schemas.REGISTRY_PAGE).json(path, multiLine=not lines)
 
 
 def stream_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -146,3 +146,39 @@ def author_orcid(authors: Column, first: Column, last: Column) -> Column:
     """The first ORCID of an author with that last name and the first letter of that first name."""
     fits = lambda a: (F.lower(a["LastName"]) == F.lower(last)) & F.lower(a["ForeName"]).startswith(F.lower(F.substring(first, 1, 1))) & a["Identifier"].isNotNull()
     return F.get(F.filter(authors, fits), F.lit(0))["Identifier"]
+
+
+def first_studies(pages: DataFrame, n: int) -> DataFrame:
+    """The first n studies of pages, flattened; fewer if there are no more."""
+    return flatten_studies(pages).orderBy("nct_id").limit(n)
+
+
+def count_updated(pages: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """One row: how many studies were updated in a window of days."""
+    return updated_between(pages, start, end).agg(F.count("*").alias("n"))
+
+
+def page_terms(studies: DataFrame) -> DataFrame:
+    """Distinct trimmed terms of flattened studies: conditions, keywords and names of interventions; blank ones do not count."""
+    names = F.transform("interventions", lambda i: i["name"])
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce("conditions", none), F.coalesce("keywords", none), F.coalesce(names, none))
+    return studies.select(F.explode(every).alias("term")).where(~blank(F.col("term"))).select(F.regexp_replace("term", r"^\s+|\s+$", "").alias("term")).distinct()
+
+
+def vocabulary_records(spark: SparkSession, path: str) -> DataFrame:
+    """(cui, name, tree_numbers, synonyms) from a vocabulary in XML, one element DescriptorRecord a descriptor."""
+    return record_rows(spark.read.schema(schemas.DESCRIPTOR_RECORD).option("rowTag", "DescriptorRecord").format("xml").load(path))
+
+
+def record_rows(raw: DataFrame) -> DataFrame:
+    """The same from records that are read already: records without an id or a name are left out; synonyms begin with the preferred concept, once each."""
+    concepts = F.coalesce(F.col("ConceptList.Concept"), F.array().cast("array<struct<ConceptName: struct<String: string>, ConceptPreferredNameYN: string, TermList: struct<Term: array<struct<String: string>>>>>"))
+    preferred = lambda c: F.coalesce(c["ConceptPreferredNameYN"] == "Y", F.lit(False))
+    names = F.concat(
+        F.transform(F.filter(concepts, preferred), lambda c: c["ConceptName"]["String"]),
+        F.flatten(F.transform(concepts, lambda c: F.concat(F.array(c["ConceptName"]["String"]), F.coalesce(F.transform(c["TermList"]["Term"], lambda t: t["String"]), F.array().cast("array<string>"))))),
+    )
+    numbers = F.transform(F.filter(F.coalesce("TreeNumberList.TreeNumber", F.array().cast("array<string>")), lambda t: ~blank(t)), lambda t: F.trim(t))
+    found = raw.select(F.col("DescriptorUI").alias("cui"), F.col("DescriptorName.String").alias("name"), numbers.alias("tree_numbers"), F.array_distinct(F.filter(names, lambda n: ~blank(n))).alias("synonyms"))
+    return found.where("cui is not null and name is not null")

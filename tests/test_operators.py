@@ -221,3 +221,66 @@ def test_model_learns(spark):
 
     row = QUERIES["npi_model"](spark, "/root/testdata/sf0.01").first()
     assert row.n_rows > 1000 and row.auc > 0.6 and row.precision > 0.5  # a part of the label is noise to the features
+
+
+def test_display(spark):
+    from loomstead.functions import display as D
+
+    row = spark.sql("select array('PHASE1', 'X') a, array('b', 'c', 'd') ids, map('x', 1, 'y', 3, 'z', 3) m, cast(null as string) none").select(
+        D.phases(F.col("a")), D.phases(F.lit(None).cast("array<string>")), D.duration(F.lit(61500.0)), D.duration(F.lit(900)), D.duration(F.col("none").cast("double")), D.shortened(F.lit("abcdef"), 3),
+        D.shortened(F.col("none"), 3, "--"), D.id_range(F.col("ids")), D.id_range(F.array().cast("array<string>")), F.length(D.id_range(F.array(F.repeat(F.lit("a"), F.lit(150)), F.repeat(F.lit("b"), F.lit(150))))),
+        F.transform(D.by_value(F.col("m")), lambda e: e["key"]), *(D.condition_ok(F.lit(t)) for t in ("Asthma", "Type 2. diabetes", "E11 diabetes", "ward 123", "it's")), F.size(D.names_from(F.lit("broken"))),
+    )
+    assert tuple(row.first()) == ("Phase 1, X", "None", "~1m 1s", "~0s", "--", "abc...", "--", "b ... d", "", 200, ["y", "z", "x"], True, False, False, False, False, 0)
+
+
+def test_browse_opens_only_what_is_used(spark):
+    from loomstead.operators import hierarchy as H
+
+    tree = spark.createDataFrame([(1, "one", "C01.1"), (1, "one", "C01.2"), (2, "two", "C02"), (3, "three", "C02.5.6"), (4, "four", "Q9.1")], "descriptor_id long, name string, tree_number string")
+    uses = spark.createDataFrame([(1,), (1,), (2,)], "descriptor_id long")
+    found = {r.node: (r.level, r.name, r.n, r.has_children) for r in H.browse(tree, uses, 0, 4).collect()}
+    assert len([n for n in found if len(n) == 1]) == 16 and found["C"] == (1, "Diseases", 3, True) and found["A"][2:] == (0, False)
+    assert found["C01"] == (2, "one", 2, True) and found["C01.2"] == (3, "one", 2, False) and found["C02"] == (2, "two", 1, False)
+    assert "C02.5" not in found and "Q9" not in found
+    assert {r.node for r in H.browse(tree, uses, 2, 2).collect()} == {"C", "C01"}
+
+
+def test_synonyms_lead_to_the_first_name(spark):
+    from loomstead.operators import hierarchy as H
+
+    names = spark.createDataFrame([(1, "Heart Failure", "C14"), (2, "Asthma", "C08")], "descriptor_id long, name string, tree_number string")
+    entries = spark.createDataFrame([(0, "heart failure ", "D1"), (1, "Weak hearts", "d1"), (2, "lost", ""), (3, "none", None), (4, "unknown", "D9")], "ordinal long, name string, cui string")
+    index = H.synonym_index(entries, names)
+    assert {tuple(r) for r in index.collect()} == {(1, "HEART FAILURE"), (1, "WEAK HEARTS"), (2, "ASTHMA")}
+    uses = spark.createDataFrame([(1,)], "descriptor_id long")
+    asked = lambda q, branch=None: [r.descriptor_id for r in H.search(names, uses, q, 5, branch, index).collect()]
+    assert asked("weak heart") == [1] and asked("weak heart", "C08") == [] and asked("asthmas") == [2] and asked("failure", "C1") == [1]
+
+
+def test_models_without_known_features_tell_nothing(spark):
+    from loomstead.operators import assembly as A
+
+    vector = A.model_vector({"state_match": "state"}, {"deactivated": "gone"})
+    assert list(vector) == ["state_match", "has_state_match", "deactivated"]
+    assert A.scored_by(None, vector) is None and A.scored_by({"features": ["x"], "weights": [1], "bias": 0}, vector) is None
+    told = A.scored_by({"features": ["has_state_match"], "weights": [0], "bias": 0}, vector)
+    assert spark.sql("select true state, false gone").select(told).first()[0] == 0.5
+    rows = spark.range(20_000).selectExpr("id", "id % 10 = 0 as label")
+    shares = A.stratified(rows, "label", "id").groupBy("label").agg(F.avg(F.col("held_out").cast("int"))).collect()
+    assert all(abs(r[1] - 0.2) < 0.03 for r in shares)
+
+
+def test_batches_leave_other_tables(spark, tmp_path):
+    from loomstead.operators import upsert as U
+    from loomstead.sources import files
+
+    stored = {"studies": spark.sql("select 1 k, 'a' s, date'2024-01-01' last_seen, date'2024-01-02' removed_at union all select 2, 'b', null, null"), "lines": spark.sql("select 1 k, 'x' v union all select 2, 'y'"),
+              "rejected": spark.sql("select 'r' name")}
+    batch = {"studies": spark.sql("select 1 k, cast(null as string) s union all select 3, 'c'"), "rejected": spark.sql("select 'r' name union all select 'q'")}
+    after = U.merge_batch(stored, batch, "k", F.lit("2024-05-01").cast("date"))
+    assert {(r.k, r.s, r.removed_at, str(r.last_seen)) for r in after["studies"].collect()} == {(1, "a", None, "2024-05-01"), (2, "b", None, "None"), (3, "c", None, "2024-05-01")}
+    assert after["lines"].count() == 2 and {r.name for r in after["rejected"].collect()} == {"r", "q"}
+    files.write_artefacts(stored["lines"], {"features": ["k"]}, str(tmp_path / "model"))
+    frame, schema = files.read_artefacts(spark, str(tmp_path / "model"))
+    assert frame.count() == 2 and schema == {"features": ["k"]}
