@@ -13,7 +13,7 @@ from loomstead.operators import npi as N
 from loomstead.operators.metrics import weighted_mean
 from loomstead.operators.resolution import find_or_create, resolve, sole_owners
 from loomstead.plans import roles as R
-from loomstead.plans.registry import query
+from loomstead.plans.registry import ORACLES, query
 
 DEC = "decimal(18,2)"
 
@@ -214,12 +214,15 @@ def npi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("person_id", "number", F.round("score", 6).alias("score"), "corroborated")
 
 
-@query(f"""WITH {CANDIDATES_SQL}, per AS (SELECT person_id, count(*) FILTER (NOT deactivated) AS n, count(*) FILTER (NOT deactivated AND orcid_match) AS no,
+RESOLVED_SQL = f"""{CANDIDATES_SQL}, per AS (SELECT person_id, count(*) FILTER (NOT deactivated) AS n, count(*) FILTER (NOT deactivated AND orcid_match) AS no,
   max(number) FILTER (NOT deactivated AND orcid_match) AS orcid_number, max(score) FILTER (NOT deactivated) AS top FROM scored GROUP BY 1),
 best AS (SELECT s.person_id, count(*) AS ties, max(number) AS best_number, bool_or(corroborated) AS ok FROM scored s JOIN per USING (person_id) WHERE NOT deactivated AND score >= top - 1e-9::DOUBLE GROUP BY 1),
-told AS (SELECT *, n > 0 AND (no = 1 OR no = 0 AND ties = 1 AND top >= CASE WHEN n = 1 THEN 0.5 ELSE 0.6 END AND (n = 1 OR ok)) AS assigned FROM per LEFT JOIN best USING (person_id))
-SELECT person_id, CASE WHEN coalesce(assigned, false) THEN 'Assigned' ELSE 'Ambiguous' END AS outcome, CASE WHEN assigned THEN CASE WHEN no = 1 THEN orcid_number ELSE best_number END END AS number,
-  CASE WHEN assigned THEN CASE WHEN no = 1 THEN 1.0 ELSE round(top, 6) END END AS score FROM told""")
+told AS (SELECT *, n > 0 AND (no = 1 OR no = 0 AND ties = 1 AND top >= CASE WHEN n = 1 THEN 0.5 ELSE 0.6 END AND (n = 1 OR ok)) AS assigned FROM per LEFT JOIN best USING (person_id)),
+resolved AS (SELECT person_id, CASE WHEN coalesce(assigned, false) THEN 'Assigned' ELSE 'Ambiguous' END AS outcome, CASE WHEN assigned THEN CASE WHEN no = 1 THEN orcid_number ELSE best_number END END AS number,
+  CASE WHEN assigned THEN CASE WHEN no = 1 THEN 1.0 ELSE round(top, 6) END END AS score FROM told)"""
+
+
+@query(f"WITH {RESOLVED_SQL} SELECT * FROM resolved")
 def npi_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(candidates(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
@@ -322,26 +325,49 @@ def asof_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payments_until(spark, sf_dir, targets(spark, sf_dir))
 
 
-@query(f"""{R.WITH}, {TARGETS_SQL},
-p AS (SELECT study_id, person_id, count(l_suppkey) AS papers FROM targets LEFT JOIN lineitem ON l_suppkey = person_id AND CAST(l_shipdate AS DATE) < start_date GROUP BY 1, 2),
-m AS (SELECT study_id, person_id, count(l_suppkey) AS beneficiaries, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS payments
-  FROM targets LEFT JOIN lineitem ON l_suppkey = person_id AND l_linenumber <= 3 AND year(l_shipdate) <= y GROUP BY 1, 2),
-o AS (SELECT study_id, person_id, count(DISTINCT l_partkey) AS payors FROM targets LEFT JOIN lineitem ON l_suppkey = person_id AND l_linenumber > 3 AND year(l_shipdate) <= y GROUP BY 1, 2)
-SELECT t.study_id, t.person_id, s_name AS full_name, CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END AS label, coalesce(prior_study_count, 0) AS prior_study_count,
-  coalesce(prior_completed_count, 0) AS prior_completed_count, coalesce(prior_enrollment_total, 0) AS prior_enrollment_total,
-  papers AS papers_before_start, beneficiaries, payments, payors FROM targets t JOIN supplier ON s_suppkey = t.person_id LEFT JOIN history USING (person_id)
-  JOIN p USING (study_id, person_id) JOIN m USING (study_id, person_id) JOIN o USING (study_id, person_id)""")
+def research_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search for a person's papers told: lines stand for papers, their quantities for citations; persons in debt were not found."""
+    size = F.col("l_quantity")
+    counts = R.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("person_id")).agg(
+        F.max(size).cast("long").alias("current_h_index"), F.sum(size).cast("long").alias("citation_count"), F.count_if(size >= 10).alias("i10_index"), F.count("*").alias("total_papers")
+    )
+    found = R.persons(spark, sf_dir).where("s_acctbal > 0").select("person_id")
+    return counts.join(found, "person_id").withColumn("has_metrics", F.lit(True))
+
+
+#: The body of an earlier query's SQL over targets.
+body = lambda name: ORACLES[name].split(TARGETS_SQL)[1]
+
+#: Columns of the feature frame after what tells the study and the person.
+FEATURES = {
+    "prior_study_count": "prior_study_count", "prior_completed_count": "prior_completed_count", "prior_enrollment_total": "prior_enrollment_total", "prior_completion_rate": "prior_completion_rate",
+    "papers_before_start": "papers_before_start", "papers_per_year_before_start": "papers_per_year", "medicare_beneficiaries": "beneficiaries", "medicare_services": "services",
+    "medicare_payments": "payments", "medicare_risk_score": "risk_score", "has_medicare": "has_usage", "research_payments": "research", "general_payments": "general", "payor_count": "payors",
+    "has_payments": "has_payments", "current_h_index": "current_h_index", "citation_count": "citation_count", "i10_index": "i10_index", "total_papers": "total_papers", "has_metrics": "has_metrics",
+}
+
+
+@query(f"""{R.WITH}, {TARGETS_SQL}, p AS ({body("papers_before")}), m AS ({body("asof_usage")}), o AS ({body("asof_payments")}),
+r AS (SELECT l_suppkey AS person_id, CAST(max(l_quantity) AS BIGINT) AS h, CAST(sum(l_quantity) AS BIGINT) AS c, count(*) FILTER (l_quantity >= 10) AS i, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+  WHERE s_acctbal > 0 GROUP BY 1)
+SELECT t.study_id AS study_nct_id, t.person_id, s_name AS full_name, status AS overall_status, CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END AS label, coalesce(prior_study_count, 0) AS prior_study_count,
+  coalesce(prior_completed_count, 0) AS prior_completed_count, coalesce(prior_enrollment_total, 0) AS prior_enrollment_total, round(coalesce(prior_completed_count / nullif(prior_study_count, 0), 0), 6) AS prior_completion_rate,
+  papers_before_start, papers_per_year AS papers_per_year_before_start, beneficiaries AS medicare_beneficiaries, services AS medicare_services, payments AS medicare_payments, risk_score AS medicare_risk_score,
+  has_usage AS has_medicare, research AS research_payments, general AS general_payments, payors AS payor_count, has_payments, coalesce(h, 0) AS current_h_index, coalesce(c, 0) AS citation_count,
+  coalesce(i, 0) AS i10_index, coalesce(n, 0) AS total_papers, n IS NOT NULL AS has_metrics FROM targets t JOIN supplier ON s_suppkey = t.person_id LEFT JOIN history USING (person_id)
+  JOIN p USING (study_id, person_id) JOIN m USING (study_id, person_id) JOIN o USING (study_id, person_id) LEFT JOIN r USING (person_id)""")
 def pi_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each study and its principal investigators: what was known of them before it."""
     wanted = targets(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # five sides begin with it
     joined = wanted.join(R.persons(spark, sf_dir).select("person_id", "full_name"), "person_id").join(prior(spark, sf_dir), "person_id", "left")
+    joined = joined.join(research_metrics(spark, sf_dir), "person_id", "left")
     for side in (papers_before_start, usage_until, payments_until):
         joined = joined.join(side(spark, sf_dir, wanted), ["study_id", "person_id"])
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return joined.select(
-        "study_id", "person_id", "full_name", (F.col("status") == "COMPLETED").cast("int").alias("label"), zero("prior_study_count"), zero("prior_completed_count"),
-        zero("prior_enrollment_total"), "papers_before_start", "beneficiaries", "payments", "payors",
-    )
+    rate = F.try_divide(F.col("prior_completed_count").cast("double"), F.col("prior_study_count"))
+    rounded = joined.withColumns({"prior_completion_rate": F.round(rate, 6), "papers_per_year": F.round("papers_per_year", 6), "risk_score": F.round("risk_score", 6)})
+    missing = lambda c: F.lit(False) if c.startswith("has_") else F.lit(0)
+    features = [F.coalesce(F.col(c), missing(name)).alias(name) for name, c in FEATURES.items()]
+    return rounded.select(F.col("study_id").alias("study_nct_id"), "person_id", "full_name", F.col("status").alias("overall_status"), (F.col("status") == "COMPLETED").cast("int").alias("label"), *features)
 
 
 @query("""WITH b AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS batch_size, bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS resolved FROM orders)

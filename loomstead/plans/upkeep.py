@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import display as D
@@ -11,9 +11,10 @@ from loomstead.operators import filters as L
 from loomstead.operators import hierarchy as H
 from loomstead.operators import queue as Q
 from loomstead.operators import upsert as U
+from loomstead.operators.resolution import resolve
 from loomstead.plans import roles as R
 from loomstead.plans.cleaning import SIMILAR_SQL, neighbours
-from loomstead.plans.people import CANDIDATES_SQL, compared
+from loomstead.plans.people import CANDIDATES_SQL, RESOLVED_SQL, candidates, compared
 from loomstead.plans.registry import query
 from loomstead.plans.search import registry
 from loomstead.plans.streams import scratch
@@ -257,6 +258,22 @@ def model_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir).select("person_id", "number", F.round(told, 6).alias("probability"))
 
 
+@query(f"""WITH {RESOLVED_SQL}, shown AS (SELECT c.*, c_name AS full_name, r.number IS NOT DISTINCT FROM c.number AS chosen FROM scored c JOIN resolved r USING (person_id) JOIN customer ON c_custkey = c.person_id JOIN orders ON o_orderkey = c.number
+    WHERE outcome = 'Assigned' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31')
+  SELECT person_id, full_name, count(*) OVER (PARTITION BY person_id) AS batch_size, {", ".join(f"CAST(coalesce({c}, false) AS INT) AS {m}" for m, c in (CERTAIN | MATCHES).items())},
+    {", ".join(f"CAST({c} IS NOT NULL AS INT) AS has_{m}" for m, c in MATCHES.items())}, round(score, 6) AS rule_score, CAST(chosen AS INT) AS label FROM shown""")
+def npi_training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of persons whose number is assigned, those made within a window: features as a model takes them, and whether each was the one."""
+    found = candidates(spark, sf_dir)
+    assigned = resolve(found).where("outcome = 'Assigned'").select("person_id", F.col("number").alias("chosen"))
+    made = R.table(spark, sf_dir, "orders").where("to_date(o_orderdate) between date'1995-01-01' and date'1996-12-31'").select(F.col("o_orderkey").alias("number"))
+    names = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("full_name"))
+    shown = found.join(made, "number", "left_semi").join(assigned, "person_id").join(names, "person_id")
+    size = F.count("*").over(Window.partitionBy("person_id"))
+    vector = [c.cast("int").alias(name) for name, c in A.model_vector(MATCHES, CERTAIN).items()]
+    return shown.select("person_id", "full_name", size.alias("batch_size"), *vector, F.round("score", 6).alias("rule_score"), F.col("number").eqNullSafe(F.col("chosen")).cast("int").alias("label"))
+
+
 # --- the queue's care
 
 NOW = "2024-01-20 00:00:00"
