@@ -92,18 +92,16 @@ def remaining_ms(pending: Column, working: Column, mean_ms: Column) -> Column:
 SUPERSEDED = "Superseded by full-corpus backfill recovery."
 
 
-def legacy(events: DataFrame) -> DataFrame:
-    """Open discoveries whose payload holds a count and no window: what recover closes."""
+def legacy() -> Column:
+    """Whether an event is an open discovery whose payload holds a count and no window: those that recover closes, or lists in a dry run."""
     payload = incremental(F.col("data"))
-    return events.where((F.col("event_type") == "studies.discovered") & F.col("status").isin("pending", "processing") & payload.isNotNull() & payload["from"].isNull())
+    return F.coalesce((F.col("event_type") == "studies.discovered") & F.col("status").isin("pending", "processing") & payload.isNotNull() & payload["from"].isNull(), F.lit(False))
 
 
 def recover(events: DataFrame, now: Column) -> DataFrame:
     """events with the legacy ones closed: completed now, with the reason, and without claim or progress."""
-    payload = incremental(F.col("data"))
-    old = F.coalesce((F.col("event_type") == "studies.discovered") & F.col("status").isin("pending", "processing") & payload.isNotNull() & payload["from"].isNull(), F.lit(False))
     to = {"status": F.lit("completed"), "completed_at": now, "error": F.lit(SUPERSEDED)} | dict.fromkeys(("claimed_by", "claimed_at", "processed", "total", "progress_at"), F.lit(None))
-    return events.withColumns({c: F.when(old, v).otherwise(F.col(c)) for c, v in to.items() if c in events.columns})
+    return events.withColumns({c: F.when(legacy(), v).otherwise(F.col(c)) for c, v in to.items() if c in events.columns})
 
 
 #: Types of events that a worker claims, those that it takes first in front. Fixed values.

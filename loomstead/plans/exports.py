@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
 from loomstead.functions.dates import month_chunks
+from loomstead.operators import filters as L
 from loomstead.operators import hierarchy as H
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
@@ -59,13 +60,13 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 10""")
 def rejected_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of rejected entities: equal reason, affiliation that contains a text as it is, the latest first."""
-    found = R.table(spark, sf_dir, "customer").where((F.col("c_mktsegment") == "BUILDING") & F.contains("c_name", F.lit("7")) & (F.col("c_acctbal") > 0))
+    found = L.equal_to(R.table(spark, sf_dir, "customer"), c_mktsegment="BUILDING", c_name=" ").where(F.contains("c_name", F.lit("7")) & (F.col("c_acctbal") > 0))
     return found.orderBy(F.desc("c_acctbal"), "c_custkey").offset(10).limit(50).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("reason"))
 
 
 @query("SELECT event_id, value FROM events WHERE event_type = 'view' ORDER BY CAST(ts AS DATE) DESC, value DESC, event_id LIMIT 100")
 def rejected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.table(spark, sf_dir, "events").where("event_type = 'view'").orderBy(F.desc(F.to_date("ts")), F.desc("value"), "event_id").limit(100).select("event_id", "value")
+    return L.equal_to(R.table(spark, sf_dir, "events"), event_type="view").orderBy(F.desc(F.to_date("ts")), F.desc("value"), "event_id").limit(100).select("event_id", "value")
 
 
 @query("""SELECT s_suppkey AS person_id, s_name AS full_name, count(DISTINCT l_orderkey) AS n_studies FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey
