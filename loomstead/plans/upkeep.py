@@ -14,7 +14,7 @@ from loomstead.operators import upsert as U
 from loomstead.operators.resolution import resolve
 from loomstead.plans import roles as R
 from loomstead.plans.cleaning import SIMILAR_SQL, neighbours
-from loomstead.plans.people import CANDIDATES_SQL, RESOLVED_SQL, candidates, compared
+from loomstead.plans.people import CANDIDATES_SQL, CERTAIN, MATCHES, RESOLVED_SQL, candidates, compared
 from loomstead.plans.registry import query
 from loomstead.plans.search import registry
 from loomstead.plans.streams import scratch
@@ -237,12 +237,6 @@ def blind_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.unionByName(right).orderBy("id", "side", "item")
 
 
-#: Columns of match features by the names that a stored model knows them by.
-MATCHES = {
-    "middle_name_match": "middle_name", "credential_match": "credential", "state_match": "state", "city_match": "city", "org_match": "organisation", "other_name_match": "other_name",
-    "specialty_match": "specialty", "license_state_match": "license_state", "department_match": "department",
-}
-CERTAIN = {"exact_name_match": "exact_name", "orcid_match": "orcid_match", "deactivated": "deactivated"}
 #: A stored model: its features in order, with weights that fall from feature to feature.
 ORDER = [*CERTAIN, *MATCHES, *(f"has_{m}" for m in MATCHES)]
 MODEL = {"features": ORDER, "weights": [round(2 - 0.125 * k, 3) for k in range(len(ORDER))], "bias": -3}
