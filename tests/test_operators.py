@@ -220,7 +220,7 @@ def test_model_learns(spark):
     from loomstead.plans import QUERIES
 
     row = QUERIES["npi_model"](spark, "/root/testdata/sf0.01").first()
-    assert row.n_rows > 1000 and row.auc > 0.6 and row.precision > 0.5  # a part of the label is noise to the features
+    assert row.n_rows > 1000 and row.auc > 0.6 and row.precision > 0.5  # the label is a rule over the features
 
 
 def test_display(spark):
