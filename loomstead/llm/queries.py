@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstead.llm import byte_bpe, embedding_dedup, line_dedup, packing, quality_rules, simhash_dedup, token_count, toxicity, url_filter, warc
+from loomstead.llm import byte_bpe, embedding_dedup, hard_negatives, lexical_search, license_scan, line_dedup, packing, quality_rules, simhash_dedup, token_count, toxicity, url_filter, warc
 from loomstead.llm.common import new_path
 
 #: A query: from a session and the folder of the tables to a result.
@@ -62,7 +63,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality_rules, op4_warc, op5_byte_bpe, op6_embedding_dedup, op7_simhash_dedup, op8_packing, op9_token_count, op10_toxicity)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality_rules, op4_warc, op5_byte_bpe, op6_embedding_dedup, op7_simhash_dedup, op8_packing, op9_token_count, op10_toxicity, op11_hard_negatives, op12_lexical_search, op13_license_scan)}
 
 #: DuckDB SQL for the queries that it can express.
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_license_scan": license_scan.ORACLE,
+}
