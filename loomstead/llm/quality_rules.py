@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import broadcast_if_small, materialise, words
+from loomstead.llm.common import broadcast_if_small, materialise, words, written
 
 #: Words in a window that counts as repeated.
 WINDOW = 8
@@ -117,12 +117,12 @@ def thresholds(signalled: DataFrame, lang: str = "lang", source: str = "source")
 
     names = [f"{side}_{s}" for s, (_, under) in SIGNALS.items() for side in (["high"] if under is None else ["high", "low"])]
     drawn = lambda own, n, wider: (F.col(own) * F.col(n) + SMOOTHING * F.col(wider)) / (F.col(n) + SMOOTHING)
-    by_lang = fine.groupBy(F.col(lang).alias("_lang")).agg(F.sum("n").alias("_n"), *merged)
-    by_lang = by_lang.select("_lang", "_n", *bounds(by_lang, "_"))
+    by_lang = fine.groupBy(F.col(lang).alias("_of")).agg(F.sum("n").alias("_n"), *merged)
+    by_lang = by_lang.select("_of", "_n", *bounds(by_lang, "_"))
     all_ = fine.agg(F.count("*").alias("_groups"), *merged).where("_groups > 0")
     all_ = all_.select(*bounds(all_, "__"))  # one row at most
-    wide = by_lang.join(F.broadcast(all_), F.lit(True), "left").select("_lang", *(drawn(f"_{c}", "_n", f"__{c}").alias(f"_{c}") for c in names))
-    own = fine.select(lang, source, "n", *bounds(fine, "")).join(wide, F.col(lang).eqNullSafe(F.col("_lang")))
+    wide = by_lang.join(F.broadcast(all_), F.lit(True), "left").select("_of", *(drawn(f"_{c}", "_n", f"__{c}").alias(f"_{c}") for c in names))
+    own = fine.select(lang, source, "n", *bounds(fine, "")).join(wide, F.col(lang).eqNullSafe(F.col("_of")))
     return own.select(lang, source, *(drawn(c, "n", f"_{c}").alias(c) for c in names))
 
 
@@ -133,31 +133,37 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     group has none that pass is only held to the base rules. Null languages and sources are groups; copies are judged alike and all stay. A null or empty
     text fails the base rules; a very long one is counted in full, in its own row. An empty table gives an empty one.
     """
-    joined = _judged(docs, key, text, lang, source)
-    return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = docs.select(docs[key].alias("_key"), *_asked(docs, text, lang, source))
+    judged = _judged(materialise(signals(measure(rows, "_text")).drop("_text")))
+    return judged.select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _judged(docs: DataFrame, key: str, text: str, lang: str, source: str, *more: Column) -> DataFrame:
-    """What judge() returns for each row, with lang, source and more columns of docs."""
-    columns = [*(F.col(c) for c in dict.fromkeys((key, lang, source, text))), *more]
-    measured = materialise(signals(measure(docs.select(*columns), text)).drop(text))
-    limits = broadcast_if_small(materialise(thresholds(measured, lang, source).withColumnsRenamed({lang: "_lang", source: "_source"})))
+def _asked(docs: DataFrame, text: str, lang: str, source: str) -> list[Column]:
+    return [docs[c].alias(name) for c, name in ((text, "_text"), (lang, "_lang"), (source, "_source"))]
+
+
+def _judged(measured: DataFrame) -> DataFrame:
+    """measured, a table with the signals of texts, with kept: whether each passes the base rules and the thresholds of its _lang and _source."""
+    limits = thresholds(measured, "_lang", "_source").withColumnsRenamed({"_lang": "_of_lang", "_source": "_of_source"})
+    limits = broadcast_if_small(materialise(limits))
     within = F.lit(True)
     for s, (_, under) in SIGNALS.items():
         within &= F.coalesce(F.col(s) <= F.col(f"high_{s}"), F.lit(True))
         if under is not None:
             within &= F.coalesce(F.col(s) >= F.col(f"low_{s}"), F.lit(True))
-    joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
+    joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_of_lang")) & F.col("_source").eqNullSafe(F.col("_of_source")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & within)
 
 
-def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs without the rows that judge() rejects, each by its own verdict, whether it has a key or not; rows of one key may differ."""
-    text_hash = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    rejected = _judged(docs, key, text, lang, source, text_hash.alias("_hash")).where(~F.col("kept"))
-    rejected = materialise(rejected.select(F.col(key).alias("_rejected"), F.col(lang).alias("_of_lang"), F.col(source).alias("_of_source"), "_hash").distinct())
-    same = (text_hash == F.col("_hash")) & docs[key].eqNullSafe(F.col("_rejected")) & docs[lang].eqNullSafe(F.col("_of_lang")) & docs[source].eqNullSafe(F.col("_of_source"))
-    return docs.join(broadcast_if_small(rejected), same, "left_anti")
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """docs without the rows that judge() rejects, each by its own verdict, whatever its key.
+
+    Rows are written once beside their signals, each as one struct, so that columns of any name stay; then only the thresholds, a row for each language
+    and source, are joined to them. Nulls, ties, empty and long texts and empty tables are as in judge().
+    """
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *_asked(docs, text, lang, source))
+    judged = _judged(written(signals(measure(rows, "_text")).drop("_text"), "signals"))
+    return judged.where("kept").select("_row.*")
 
 
 #: What judge() returns, as DuckDB SQL.

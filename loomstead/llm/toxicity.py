@@ -2,7 +2,7 @@
 
 Disguised words are found by their signs: digits and signs among letters, letters set apart, letters repeated. A lattice holds what each sign may stand
 for, and Viterbi decoding picks the reading that a character trigram model likes best. The model is counted over all documents; the words that
-speak for a toxic text are learned from labelled rows, and a text's score is the chance that at least one of its strongest words is right.
+speak for a toxic text are learned from labelled rows, and a text's score is the chance that at least one of its words is right, the strongest first.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm.bpe_tables import BoundedCache
-from loomstead.llm.common import broadcast_if_small, materialise, small_batches
+from loomstead.llm.common import broadcast_if_small, fresh, materialise, small_batches
 
 #: Characters of the model: 0 for all that is no letter, a-z, the lower-case letters of Latin-1, and one for other letters.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -32,11 +32,8 @@ LEET = {
 }
 
 #: Costs, as natural logarithms: reading a sign as a letter and dropping a sign; keeping a letter that stands a third time or more in all, and dropping
-#: it; keeping and dropping the second of a double letter.
-AS_LETTER, DROP_SIGN, KEEP_REPEAT, DROP_REPEAT, KEEP_DOUBLE, DROP_DOUBLE = 0.5, 12.0, 2.5, 0.1, 0.0, 6.0
-
-#: Signs up to which a span is read as one word; a longer one may hold several, and is read with bounds of words between its signs.
-LONGEST = 24
+#: it; keeping and dropping the second of a double letter; leaving out the space between two words.
+AS_LETTER, DROP_SIGN, KEEP_REPEAT, DROP_REPEAT, KEEP_DOUBLE, DROP_DOUBLE, HIDE_BOUND = 0.5, 12.0, 2.5, 0.1, 0.0, 6.0, 8.0
 
 #: Words with signs inside, letters set apart by single signs, and words with a letter three times in a row.
 SIGNS = r"0-9@$!|+€£(&*"
@@ -74,8 +71,8 @@ TRAIN_ROWS = 100_000
 #: Standard errors that a word's share of toxic texts is lowered by, and the lowered share that it needs; so a word is in four labelled texts at least.
 CAUTION, LEAST_SHARE = 3.0, 0.3
 
-#: Words of a text that make its score, and the power that sets strong words apart from middling ones.
-STRONGEST, POWER = 3, 3
+#: What each word counts beside the next stronger one of a text, and the power that sets strong words apart from middling ones.
+FADING, POWER = 0.7, 3
 
 #: One in so many of the rows to learn from, picked by hash, sets where the scores are cut and no words.
 CUT_PART = 5
@@ -158,16 +155,16 @@ class Scorer:
         self._start()
 
     def decode(self, span: str) -> str:
-        """The likeliest reading of a disguised word; a span that is too long for one word is read as several."""
-        signs = signs_of(span)
-        return self.read(signs, len(signs) > LONGEST)
+        """The likeliest reading of a disguised span: one word, or several where these are likelier though no bounds between them show."""
+        return self.read(signs_of(span), True, HIDE_BOUND)
 
     def span_words(self, span: str) -> list[str]:
-        """The words that a disguised span may stand for, in lower case: as one word, and where it is long or its letters stand apart, as several."""
+        """The words that a disguised span may stand for, in lower case: as one word, and as several where that is likelier or its letters stand apart."""
         signs = signs_of(span)
-        found = WORD.findall(self.read(signs)) if len(signs) <= LONGEST else []
-        if len(signs) > LONGEST or SET_APART.fullmatch(span):
-            found += WORD.findall(self.read(signs, True))
+        whole, several = self.read(signs), self.read(signs, True)
+        found = WORD.findall(whole)
+        if several != whole or SET_APART.fullmatch(span):
+            found += WORD.findall(several)
             found += {part for word in found for part in self.known_parts(word)}
         return found
 
@@ -180,8 +177,8 @@ class Scorer:
                 if whole or self.share(rest):
                     yield max(whole, key=lambda w: (self.lexicon[w], len(w))) if whole else rest
 
-    def read(self, signs: str, several: bool = False) -> str:
-        """The likeliest reading of signs, as one word or with spaces between several."""
+    def read(self, signs: str, several: bool = False, bound: float = 0.0) -> str:
+        """The likeliest reading of signs, as one word or with spaces between several; each space costs bound beside what the model says."""
         # states are the last two characters; each keeps its best cost and its letters, the last one first
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, sign in enumerate(signs):
@@ -191,9 +188,9 @@ class Scorer:
                 options = [(sign, KEEP_REPEAT if run else KEEP_DOUBLE), ("", DROP_REPEAT if run else DROP_DOUBLE)]
             if several:
                 for (a, b), (cost, letters) in list(states.items()):
-                    bound, now = (b, 0), cost - float(self.model[a, b, 0])
-                    if b and (bound not in states or now < states[bound][0]):
-                        states[bound] = (now, (" ", letters))
+                    state, now = (b, 0), cost + bound - float(self.model[a, b, 0])
+                    if b and (state not in states or now < states[state][0]):
+                        states[state] = (now, (" ", letters))
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, letters) in states.items():
                 for letter, extra in options:
@@ -245,12 +242,12 @@ class Scorer:
         return tuple([(w, s) for w in self.token_words(token) if (s := self.share(w))])
 
     def raw(self, text: str | None) -> float:
-        """The chance that one of the strongest words is right, taken as independent, with shares to a power; 0 for a text without any."""
+        """The chance that one of the words is right, taken as independent, with shares to a power that count less from word to word; 0 for a text without any."""
         if not text:
             return 0.0
         found = {w: s for pairs in filter(None, map(self.strong.__getitem__, set(text.split()))) for w, s in pairs}
         found |= {w: s for w in self.spaced_words(text) if (s := self.share(w))}
-        return 1.0 - math.prod(1.0 - s**POWER for s in sorted(found.values(), reverse=True)[:STRONGEST])
+        return 1.0 - math.prod(1.0 - s**POWER * FADING**i for i, s in enumerate(sorted(found.values(), reverse=True)))
 
     def score(self, text: str | None) -> float:
         """That chance, stretched so that the cut becomes 0.5."""
@@ -361,8 +358,9 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns stay as they are."""
-    return docs.withColumn("_toxicity_score", score_of(docs, scorer, text)).where("_toxicity_score < 0.5").drop("_toxicity_score")
+    """docs without the rows that score 0.5 or more; all columns stay as they are, whatever their names. Nulls, copies and texts are as in judge()."""
+    name = fresh(docs, "_score")
+    return docs.withColumn(name, score_of(docs, scorer, text)).where(F.col(name) < 0.5).drop(name)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

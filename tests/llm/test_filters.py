@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomstead.llm import line_dedup, quality_rules, queries, simhash_dedup, toxicity, url_filter, warc
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-TABLES = ["documents", "embeddings", "pages", "labels"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels"]
 
 
 @pytest.mark.parametrize("folder", [SMALL, MIDDLE])
@@ -340,6 +340,58 @@ def test_toxicity_query(spark):
     assert np.mean([got[k].predicted == labels[k] for k in labels if got[k].held_out]) > 0.9
 
 
+def disguised(text, words, pick):
+    """text with those of its words that are in words disguised: by leetspeak, by spaces or by repetition."""
+    leet = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7"}
+
+    def one(word):
+        if len(word) < 4 or word.lower().strip(".,!?") not in words:
+            return word
+        way = pick.randrange(3)
+        return " ".join(word) if way == 1 else "".join(leet.get(c, c) for c in word) if way == 0 and set(word) & set(leet) else word[0] + 4 * word[1] + word[2:]
+
+    return " ".join(map(one, text.split(" ")))
+
+
+def test_planted_disguises_in_held_out_rows(spark, learned):
+    """Held-out rows whose telling words are disguised score as they did in the clear; without the channel they tell hardly more than chance."""
+    docs, labels, scorer = learned
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text", "toxic").collect()
+    pick = random.Random(1)
+    planted = [(disguised(r.text or "", scorer.lexicon, pick), r.toxic) for r in rows]
+
+    class Plain(toxicity.Scorer):
+        def token_words(self, token):
+            return toxicity.WORD.findall(token.lower())
+
+        def spaced_words(self, text):
+            return []
+
+    def auc(scored):
+        bad, fine = ([v for v, t in scored if t == x] for x in (1, 0))
+        return np.mean([[(b > f) + 0.5 * (b == f) for f in fine] for b in bad])
+
+    plain = Plain(scorer.model, scorer.lexicon, scorer.cut)
+    clear, restored, bare = (auc([(s.score(t), x) for t, x in texts]) for s, texts in ((scorer, rows), (scorer, planted), (plain, planted)))
+    assert clear > 0.95 and abs(restored - clear) < 0.02 and bare < 0.7
+
+
+def score_by_brute_force(scorer, words):
+    """The score from a text's words alone, each by the best of its lexicon entries."""
+    shares = {w: max([scorer.lexicon.get(w, 0.0)] + [scorer.lexicon.get(w[:n] + "~", 0.0) for n in toxicity.STEMS if len(w) > n]) for w in words}
+    clean = 1.0
+    for i, s in enumerate(sorted(shares.values(), reverse=True)):
+        clean *= 1.0 - s**toxicity.POWER * toxicity.FADING**i
+    raw = 1.0 - clean
+    return 0.5 * raw / scorer.cut if raw < scorer.cut else 0.5 + 0.5 * (raw - scorer.cut) / (1 - scorer.cut)
+
+
+def test_scores_against_brute_force(learned):
+    docs, _, scorer = learned
+    for r in docs.where("doc_id % 40 = 0").select("text").collect():
+        assert scorer.score(r.text) == pytest.approx(score_by_brute_force(scorer, scorer.words(r.text)), abs=1e-9)
+
+
 def test_what_the_channel_adds(learned):
     """Words in disguise that score as they do in the clear, with and without decoding."""
     scorer = learned[2]
@@ -438,6 +490,8 @@ def test_rows_without_a_key_are_judged(spark):
 
 def test_stages_keep_clashing_columns(spark):
     names = ["score", "predicted", "n_removed_lines", "n_words", "kept", "node", "print", "component_id", "fingerprint", "hash", "group", "label", "removed", "mark"]
+    sources = "".join(p.read_text() for p in pathlib.Path(toxicity.__file__).parent.glob("*.py"))
+    names += sorted({n for n in re.findall(r"[\"'. (](_[a-z][a-z_0-9]*)\b", sources)})  # every internal name of the sources
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = docs.limit(60).collect()
     odd = [(None, "a b c", None, None, None), (10**9, None, "en", None, 0), (10**9 + 1, "", None, "s", None)]
