@@ -1,6 +1,8 @@
 """The corpus pipeline: documents through toxicity, quality rules, line dedup and near-dedup into packed sequences.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's docs. In all of them rows
+without a key are rows of their own, null texts count as empty, texts are read in full whatever their length, columns of any name are kept up to the
+last stage, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,28 +15,28 @@ from loomstead.llm.common import new_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score does not reject; it is learned from the labels of those at hand."""
+    """Documents that the toxicity score does not reject; it is learned from the labels of those at hand. Null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.learn(docs, labels))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with thresholds from those at hand."""
+    """Documents that the quality rules keep, with thresholds from those at hand; null and empty texts go, copies are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that occur before."""
+    """All documents, without the chunks of lines that occur before, in the order of keys, nulls first."""
     return line_dedup.dedup_lines(docs, count=None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest key; rows of one key are one document."""
     return simhash_dedup.keep_first(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences."""
+    """The pieces of the documents in sequences; a null or empty text is its end token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
