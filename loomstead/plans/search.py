@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.operators.filters import Criteria, Registry, apply_filters, page
+from loomstead.operators.intervals import contained
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
 
@@ -102,8 +103,8 @@ def window_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned windows that no completed window of their source contains; windows of twenty events or more count as completed."""
     week, day = F.date_trunc("week", "ts").alias("w"), F.to_date("ts")
     windows = R.table(spark, sf_dir, "events").groupBy("user_id", week).agg(F.min(day).alias("a"), F.max(day).alias("b"), F.count("*").alias("n"))
-    done = windows.where("n >= 20").select(F.col("user_id").alias("u"), F.col("a").alias("ca"), F.col("b").alias("cb"))
-    left = windows.join(done, (F.col("user_id") == F.col("u")) & (F.col("a") >= F.col("ca")) & (F.col("b") <= F.col("cb")), "left_anti")
+    told = contained(windows, windows.where("n >= 20").select("user_id", "a", "b"), ["user_id"], "a", "b")
+    left = told.where("not contained")
     return left.select("user_id", F.to_date("w").alias("week"))
 
 
