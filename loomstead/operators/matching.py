@@ -1,7 +1,8 @@
 """Matching terms to a vocabulary: exact names first, then the nearest embedding.
 
-Queries and vocabulary are dealt into parts of a bounded size; each pair of parts is one task that compares them by matrix products, and each query keeps
-its best over the parts of the vocabulary.
+Vectors of the vocabulary live in cells by their nearest pivot, dealt into parts of a bounded size, with their distance to the pivot. On vectors of length
+one the nearest by cosine are the nearest by distance, so the triangle inequality tells which cells, and which rows of a part, cannot hold a nearer one than
+those found in a query's own cell: these are never compared.
 """
 
 from __future__ import annotations
@@ -13,12 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a part of the queries or of the vocabulary.
 PART = 20_000
 
+#: Pivots, and the vectors of the vocabulary, picked by hash, of which they are chosen. What they are changes the work and no result.
+PIVOTS, SAMPLE = 64, 2048
+
+#: What distances are widened by; far over any rounding.
+SLACK = 1e-6
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -29,38 +37,138 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)))
 
 
+def unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of length one, and which of them have a length; the others are rows of zeros."""
+    rows = np.stack([np.asarray(v, np.float64) for v in vectors])
+    size = np.linalg.norm(rows, axis=1)
+    there = np.isfinite(size) & (size > 0)
+    return np.where(there[:, None], rows / np.where(there, size, 1.0)[:, None], 0.0), there
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of each row of a to each of b, all of length one."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+
+
+def choose_pivots(units: np.ndarray, count: int = PIVOTS) -> np.ndarray:
+    """Vectors far from each other: the first, then each time the one farthest from those chosen; no two are equal."""
+    chosen, away, at = [], np.full(len(units), np.inf), 0
+    while len(chosen) < min(count, len(units)) and away[at] > SLACK:
+        chosen.append(units[at])
+        away = np.minimum(away, distances(units, units[at : at + 1])[:, 0])
+        at = int(away.argmax())
+    return np.array(chosen)
+
+
+def pivots_of(vocabulary: DataFrame) -> np.ndarray:
+    """Pivots for a vocabulary, from a bounded sample of it; a single one where the sample is all of it, as one cell is then searched at once."""
+    sample = vocabulary.select("vector").orderBy(F.xxhash64(F.lit("pivot"), "match_id")).limit(SAMPLE).collect()
+    if not sample:
+        return np.zeros((0, 0))
+    units, there = unit_rows([r.vector for r in sample])
+    if not there.any():
+        return np.eye(1, units.shape[1])
+    return choose_pivots(units[there], PIVOTS if len(sample) == SAMPLE else 1)
+
+
+def placed(df: DataFrame, key: str, pivots: np.ndarray, every: bool = False) -> DataFrame:
+    """(id, vector, cell, away): each vector that has a length, with its nearest pivot and how far that is; with every, the distances to all (far)."""
+    kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            units, there = unit_rows(frame["vector"])
+            far = distances(units[there], shared.value)
+            cell = far.argmin(axis=1)
+            found = pd.DataFrame({"id": frame["id"][there], "vector": frame["vector"][there], "cell": cell, "away": far[np.arange(len(far)), cell]})
+            yield found.assign(far=list(far)) if every else found
+
+    shape = f"id {kind}, vector array<double>, cell int, away double" + (", far array<double>" if every else "")
+    return df.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInPandas(place, shape)
+
+
+def compared(asked: pd.DataFrame, known: pd.DataFrame, k: int) -> tuple[list[np.ndarray], int]:
+    """For each row of asked, the places in known of its k nearest, equal ones by id; and how many pairs were compared.
+
+    known is sorted by away, the distance to the pivot of its cell; asked has its distance to the same pivot (at) and how near a vector must be (within).
+    """
+    v, _ = unit_rows(known["vector"])
+    q, _ = unit_rows(asked["vector"])
+    away, ids, found, pairs = known["away"].to_numpy(), known["id"].to_numpy(), [], 0
+    low = np.searchsorted(away, asked["at"].to_numpy() - asked["within"].to_numpy() - SLACK)
+    high = np.searchsorted(away, asked["at"].to_numpy() + asked["within"].to_numpy() + SLACK, side="right")
+    for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        near = v[a:b] @ q[i]
+        pairs += b - a
+        if len(near) > k:
+            held = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k])  # with all that equal the last
+        else:
+            held = np.arange(len(near))
+        order = np.lexsort((ids[a:b][held], -near[held]))[:k]
+        found.append((a + held[order], near[held[order]]))
+    return found, pairs
+
+
+def visits(queries: DataFrame, cells: DataFrame, home: bool) -> DataFrame:
+    """(id, vector, cell, at, within) for each cell that a query has to look into: its own, or those of the others that may hold a vector within reach.
+
+    queries is placed with every distance, and has within; cells has cell, and the least and the largest distance of its vectors to the pivot.
+    """
+    if home:
+        return queries.select("id", "vector", "cell", F.col("away").alias("at"), "within")
+    met = queries.select("id", "vector", "within", F.col("cell").alias("own"), F.posexplode("far").alias("cell", "at")).where("cell <> own").join(F.broadcast(cells), "cell")
+    gap = F.greatest(F.lit(0.0), F.col("at") - F.col("most"), F.col("least") - F.col("at"))
+    return met.where(gap <= F.col("within") + SLACK).select("id", "vector", "cell", "at", "within")
+
+
 def nearest(queries: DataFrame, vocabulary: DataFrame, k: int = 1, part: int = PART) -> DataFrame:
-    """(query_id, match_id, similarity, rank): the k nearest of the vocabulary by cosine, equal ones by match_id.
+    """(query_id, match_id, similarity, rank): the k nearest of the vocabulary by cosine, equal ones by match_id. None is left out: bounds only spare work.
 
-    queries has query_id and vector, vocabulary match_id and vector, of one length; a zero vector is near nothing. A task emits k rows for each query of
-    its part, so k rows for each query and part of the vocabulary are shuffled.
+    queries has query_id and vector, vocabulary match_id (a whole number) and vector, of one length; a zero vector is near nothing. Each query first looks
+    into its own cell, then into those that the k found there don't rule out. A task holds a part of a cell and so many queries at most.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    n_left, n_right = (max(1, -(-side.count() // part)) for side in (queries, vocabulary))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("query_id").alias("id"), "vector", dealt("query_id", n_left).alias("lo"), every(n_right).alias("hi"))
-    right = vocabulary.select(F.col("match_id").alias("id"), "vector", every(n_left).alias("lo"), dealt("match_id", n_right).alias("hi"))
-
-    def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(known):
+    pivots = pivots_of(vocabulary)
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, match_id long, similarity double, rank int")
+    known = placed(vocabulary.withColumn("match_id", F.col("match_id").cast("long")), "match_id", pivots).persist(StorageLevel.DISK_ONLY)
+    cells = known.groupBy("cell").agg(F.min("away").alias("least"), F.max("away").alias("most"), F.count("*").alias("n"))  # a row for each pivot at most
+    asked = placed(queries, "query_id", pivots, every=True).withColumn("within", F.lit(float("inf"))).persist(StorageLevel.DISK_ONLY)
+    parts = lambda n: F.ceil(n / part).cast("int")
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "match_id": [], "similarity": []})
-        known = known.sort_values("id")
-        q, v = (np.stack([np.asarray(x, np.float64) for x in d["vector"]]) for d in (asked, known))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            q, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, v))
-        ids, out = known["id"].to_numpy(), []
-        for a in range(0, len(q), 1024):
-            near = np.nan_to_num(q[a : a + 1024] @ v.T, nan=-2.0)
-            best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(a, a + len(near)), best.shape[1])
-            out.append(pd.DataFrame({"query_id": asked["id"].to_numpy()[rows], "match_id": ids[best.ravel()], "similarity": np.take_along_axis(near, best, 1).ravel()}))
-        found = pd.concat(out)
-        return found[found["similarity"] > -2.0]
-
-    met = left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInPandas(meet, f"query_id {kind}, match_id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        right = right.sort_values("away", kind="stable").reset_index(drop=True)
+        found, _ = compared(left, right, k)
+        rows = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+        at, near = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        return pd.DataFrame({"query_id": left["id"].to_numpy()[rows], "match_id": right["id"].to_numpy()[at], "similarity": near})
+
+    def search(seen: DataFrame) -> DataFrame:
+        # both sides of a cell are dealt into parts, and each pair of parts meets in one task
+        waiting = seen.groupBy("cell").agg(F.count("*").alias("m"))
+        sizes = cells.join(waiting, "cell").select("cell", parts(F.col("n")).alias("hi_n"), parts(F.col("m")).alias("lo_n"))
+        left = seen.join(F.broadcast(sizes), "cell").select("cell", dealt("id", F.col("lo_n")).alias("lo"), every(F.col("hi_n")).alias("hi"), "id", "vector", "at", "within")
+        right = known.join(F.broadcast(sizes), "cell").select("cell", every(F.col("lo_n")).alias("lo"), dealt("id", F.col("hi_n")).alias("hi"), "id", "vector", "away")
+        return left.groupBy("cell", "lo", "hi").cogroup(right.groupBy("cell", "lo", "hi")).applyInPandas(meet, f"query_id {kind}, match_id long, similarity double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "match_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    own = best(search(visits(asked, cells, True)))
+    if len(pivots) <= 1:
+        return own
+    own = own.persist(StorageLevel.DISK_ONLY)
+    reach = own.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("reach"))
+    others = asked.join(reach, "id", "left").withColumn("within", F.coalesce("reach", F.lit(float("inf")))).drop("reach")
+    return best(own.drop("rank").union(search(visits(others, cells, False))))
 
 
 def accepted(similarity: Column, threshold: float) -> tuple[Column, Column]:

@@ -4,6 +4,7 @@ import json
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,65 @@ def test_resolution(spark, rows, outcome, number):
     assert (row.outcome, row.number) == (outcome, number)
 
 
+def clusters(n, size, spread, seed=3):
+    rng = np.random.default_rng(seed)
+    heads = rng.standard_normal((40, size))
+    return heads[rng.integers(0, 40, n)] + spread * rng.standard_normal((n, size))
+
+
+def vectors_of(spark, rows, key):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], f"{key} long, vector array<double>")
+
+
+@pytest.mark.parametrize("part", [20_000, 40])
+def test_nearest_by_pivots_equals_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(matching, "SAMPLE", 300)  # the vocabulary is larger than the sample, so there are many cells
+    v = np.vstack([clusters(1200, 8, 0.1), np.zeros((3, 8)), np.repeat(clusters(1, 8, 0.1), 30, axis=0)])
+    q = np.vstack([v[5], v[1210], clusters(30, 8, 0.3, 5), np.zeros((1, 8))])
+    got = {}
+    for r in matching.nearest(vectors_of(spark, q, "query_id"), vectors_of(spark, v, "match_id"), 4, part).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.match_id, r.similarity))
+    with np.errstate(invalid="ignore"):
+        near = np.nan_to_num((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, nan=-2)
+    assert set(got) == set(range(len(q) - 1))
+    for i, found in got.items():
+        found.sort()
+        assert [x for x, _, _ in found] == [1, 2, 3, 4] and np.allclose([s for _, _, s in found], np.sort(near[i])[::-1][:4], atol=1e-12)
+        assert all(abs(near[i][m] - s) < 1e-12 for _, m, s in found)
+    assert [m for _, m, _ in got[1]] == [1203, 1204, 1205, 1206]  # equal ones by id
+    assert matching.nearest(vectors_of(spark, q, "query_id"), vectors_of(spark, v[:0], "match_id"), 2).count() == 0
+    assert matching.nearest(vectors_of(spark, q[:0], "query_id"), vectors_of(spark, v, "match_id"), 2).count() == 0
+
+
+def pairs_compared(q, v, k=3):
+    """How many pairs nearest() compares, by its own parts run one after another."""
+    (q, _), (v, _) = matching.unit_rows(q), matching.unit_rows(v)
+    pivots = matching.choose_pivots(v[:2048])
+    far, asked = matching.distances(v, pivots), matching.distances(q, pivots)
+    cell, total = far.argmin(axis=1), 0
+    for i in range(len(q)):
+        reach, own = np.inf, asked[i].argmin()
+        for c in [own, *(c for c in range(len(pivots)) if c != own)]:
+            rows = np.flatnonzero(cell == c)
+            if not len(rows):
+                continue
+            rows = rows[np.argsort(far[rows, c], kind="stable")]
+            away = far[rows, c]
+            if c != own and max(0.0, asked[i, c] - away[-1], away[0] - asked[i, c]) > reach + matching.SLACK:
+                continue
+            one = pd.DataFrame({"vector": [q[i]], "at": [asked[i, c]], "within": [reach]})
+            found, pairs = matching.compared(one, pd.DataFrame({"vector": list(v[rows]), "away": away, "id": rows}), k)
+            total += pairs
+            if c == own and len(found[0][1]) == k:
+                reach = float(np.sqrt(max(0.0, 2 - 2 * found[0][1][-1])))
+    return total / (len(q) * len(v))
+
+
+def test_pivots_spare_most_pairs_where_vectors_lie_in_clusters():
+    tight, loose = (pairs_compared(clusters(60, 16, s, 7), clusters(4000, 16, s), 3) for s in (0.1, 0.3))
+    assert tight < 0.1 and loose < 0.6, (tight, loose)
+
+
 def test_nearest_over_parts_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     q, v = rng.standard_normal((7, 4)), np.vstack([rng.standard_normal((30, 4)), np.zeros((1, 4))])
