@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,6 +84,11 @@ def gated(rejected: Column, matched: Column) -> Column:
 # --- names
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body uses it; an expression that stands in several places is worked out in each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without_role_label(name: Column) -> Column:
     """A name without a role after its last comma."""
     trimmed = F.trim(name)
@@ -97,49 +103,68 @@ def _phrase(keyword: str) -> str:
     return "(?:^| )" + " +".join(re.escape(w) + r"S?[,.;:!?]*" for w in words) + "(?= |$)"
 
 
+#: Any of the organisations' phrases, in one pattern.
+ANY_PHRASE = "(?:^| )(?:" + "|".join(_phrase(k).removeprefix("(?:^| )").removesuffix("(?= |$)") for k in V.ORGANISATION_WORDS) + ")(?= |$)"
+
+
 def not_human_reason(name: Column, role: Column) -> Column:
-    """Why a name is no person's; null for a person. Rules apply in order."""
-    trimmed = without_role_label(name)
-    upper, words = F.upper(trimmed), tokens(trimmed)
-    last = F.upper(F.regexp_replace(F.element_at(words, -1), r"[,.]+$", ""))
-    first = F.regexp_replace(F.get(words, F.lit(0)), r"[,.]+$", "")
-    count = F.size(words)
-    foreign = trimmed.rlike(r"[\p{L}&&[^A-Za-z]]")
-    reason = F.when(blank(name) | blank(trimmed), "EmptyOrNull")
-    reason = reason.when(foreign, F.when((F.length(trimmed) < 2) | (count > 6), "NonLatinName"))
-    reason = reason.when(F.length(trimmed) < 3, "TooShort").when(F.length(trimmed) > 100, "TooLong").when(count > 10, "TooManyWords")
-    reason = reason.when(one_of(upper, V.NOT_PERSONS), F.concat(F.lit("KnownNonHumanName:"), upper))
-    for prefix in V.ROLE_PREFIXES:
-        reason = reason.when(upper.startswith(prefix), f"RolePrefix:{prefix}")
-    reason = reason.when(last.isin(V.CORPORATE_SUFFIXES), F.concat(F.lit("CorporateSuffix:"), last))
-    reason = reason.when(trimmed.contains(" & "), "Ampersand")
-    for keyword in V.ORGANISATION_WORDS:
-        reason = reason.when(upper.rlike(_phrase(keyword)), f"OrgKeywords:{keyword}")
-    reason = reason.when(one_of(first, V.COMPANIES), F.concat(F.lit("PharmaBlocklist:"), first))
-    investigator = F.coalesce(one_of(F.trim(role), V.INVESTIGATOR_ROLES), F.lit(False))
-    return reason.when(~investigator & (count == 1) & (F.length(trimmed) > 20), "SingleLongWord")
+    """Why a name is no person's; null for a person. Rules apply in order.
+
+    The name is cleaned and split once for all rules. One pattern of all organisations' phrases tells whether any stands in it; only then are they
+    looked for one by one, for the first in the table's order.
+    """
+
+    def ruled(trimmed: Column, upper: Column, words: Column) -> Column:
+        last = F.upper(F.regexp_replace(F.get(words, F.size(words) - 1), r"[,.]+$", ""))
+        first = F.regexp_replace(F.get(words, F.lit(0)), r"[,.]+$", "")
+        count = F.size(words)
+        foreign = trimmed.rlike(r"[\p{L}&&[^A-Za-z]]")
+        reason = F.when(blank(name) | blank(trimmed), "EmptyOrNull")
+        reason = reason.when(foreign, F.when((F.length(trimmed) < 2) | (count > 6), "NonLatinName"))
+        reason = reason.when(F.length(trimmed) < 3, "TooShort").when(F.length(trimmed) > 100, "TooLong").when(count > 10, "TooManyWords")
+        reason = reason.when(one_of(upper, V.NOT_PERSONS), F.concat(F.lit("KnownNonHumanName:"), upper))
+        for prefix in V.ROLE_PREFIXES:
+            reason = reason.when(upper.startswith(prefix), f"RolePrefix:{prefix}")
+        reason = reason.when(last.isin(V.CORPORATE_SUFFIXES), F.concat(F.lit("CorporateSuffix:"), last))
+        reason = reason.when(trimmed.contains(" & "), "Ampersand")
+        phrases = F.lit(None).cast("string")
+        for keyword in reversed(V.ORGANISATION_WORDS):
+            phrases = F.when(upper.rlike(_phrase(keyword)), f"OrgKeywords:{keyword}").otherwise(phrases)
+        reason = reason.when(upper.rlike(ANY_PHRASE), phrases)
+        reason = reason.when(one_of(first, V.COMPANIES), F.concat(F.lit("PharmaBlocklist:"), first))
+        investigator = F.coalesce(one_of(F.trim(role), V.INVESTIGATOR_ROLES), F.lit(False))
+        return reason.when(~investigator & (count == 1) & (F.length(trimmed) > 20), "SingleLongWord")
+
+    return once(without_role_label(name), lambda t: once(F.struct(F.upper(t).alias("u"), tokens(t).alias("w")), lambda x: ruled(t, x["u"], x["w"])))
 
 
 def parsed_name(raw: Column) -> Column:
     """Struct (prefix, full_name, suffix): a title at the front, degrees at the end or in a list after a comma."""
     bare = lambda w: F.upper(F.regexp_replace(w, r"[,.]+$", ""))
-    words = tokens(F.coalesce(F.trim(raw), F.lit("")))
-    titled = F.coalesce(one_of(bare(F.get(words, F.lit(0))), V.TITLES), F.lit(False))
-    prefix = F.when(titled, F.get(words, F.lit(0)))
-    rest = F.when(titled, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    # words from the end on while they are degrees
-    degrees = F.aggregate(F.reverse(rest), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, w: F.struct(
-        (a["n"] + F.when(a["on"] & one_of(bare(w), V.DEGREES), 1).otherwise(0)).alias("n"), (a["on"] & one_of(bare(w), V.DEGREES)).alias("on")), lambda a: a["n"])
-    body = F.array_join(F.slice(rest, F.lit(1), F.size(rest) - degrees), " ")
-    ended = F.transform(F.slice(rest, F.size(rest) - degrees + 1, degrees), lambda w: F.regexp_replace(w, r",+$", ""))
-    # else a list after the last comma
-    whole = F.array_join(rest, " ")
-    listed = F.filter(F.transform(F.split(F.regexp_extract(whole, r"^.+, (.*)$", 1), ","), lambda w: F.trim(w)), lambda w: w != "")
-    all_degrees = whole.rlike(r"^.+, ") & F.forall(listed, lambda w: one_of(bare(w), V.DEGREES))
-    named = F.when(degrees > 0, body).when(all_degrees, F.trim(F.regexp_extract(whole, r"^(.+), ", 1))).otherwise(whole)
-    suffixes = F.when(degrees > 0, ended).when(all_degrees, F.reverse(F.transform(listed, lambda w: F.regexp_replace(w, r"[,.]+$", ""))))
-    suffix = F.when(F.size(suffixes) > 0, F.array_join(suffixes, ", "))
-    return F.struct(prefix.alias("prefix"), F.trim(F.regexp_replace(named, r",+$", "")).alias("full_name"), suffix.alias("suffix"))
+    is_degree = lambda w: F.coalesce(one_of(bare(w), V.DEGREES), F.lit(False))
+
+    def told(rest: Column, prefix: Column, n: Column, whole: Column, listed: Column) -> Column:
+        """From the words after a title, how many at their end are degrees, and the list after the last comma if all of it are degrees."""
+        body = F.array_join(F.slice(rest, F.lit(1), F.size(rest) - n), " ")
+        ended = F.transform(F.slice(rest, F.size(rest) - n + 1, n), lambda w: F.regexp_replace(w, r",+$", ""))
+        named = F.when(n > 0, body).when(listed.isNotNull(), F.trim(F.regexp_extract(whole, r"^(.+), ", 1))).otherwise(whole)
+        suffixes = F.when(n > 0, ended).when(listed.isNotNull(), F.reverse(F.transform(listed, lambda w: F.regexp_replace(w, r"[,.]+$", ""))))
+        suffix = once(suffixes, lambda found: F.when(F.size(found) > 0, F.array_join(found, ", ")))
+        return F.struct(prefix.alias("prefix"), F.trim(F.regexp_replace(named, r",+$", "")).alias("full_name"), suffix.alias("suffix"))
+
+    def of_rest(rest: Column, prefix: Column) -> Column:
+        flags = F.transform(F.reverse(rest), is_degree)
+        n = once(flags, lambda f: F.when(F.array_contains(f, False), F.array_position(f, F.lit(False)) - 1).otherwise(F.size(f)).cast("int"))
+        parts = lambda whole: F.filter(F.transform(F.split(F.regexp_extract(whole, r"^.+, (.*)$", 1), ","), lambda w: F.trim(w)), lambda w: w != "")
+        listed = lambda whole: once(parts(whole), lambda found: F.when(whole.rlike(r"^.+, ") & F.forall(found, is_degree), found))
+        return once(n, lambda k: once(F.array_join(rest, " "), lambda whole: once(listed(whole), lambda found: told(rest, prefix, k, whole, found))))
+
+    def of_words(words: Column) -> Column:
+        titled = F.coalesce(one_of(bare(F.get(words, F.lit(0))), V.TITLES), F.lit(False))
+        rest = lambda t: F.when(t, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+        return once(titled, lambda t: once(rest(t), lambda after: of_rest(after, F.when(t, F.get(words, F.lit(0))))))
+
+    return once(tokens(F.coalesce(F.trim(raw), F.lit(""))), of_words)
 
 
 def name_parts(full_name: Column) -> Column:

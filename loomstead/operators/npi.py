@@ -33,7 +33,6 @@ def specialties(text: Column, table: dict[str, list[str]]) -> Column:
 
 def profile(full_name: Column, orcid: Column, institution: Column, department: Column, city: Column, state: Column, categories: Column) -> Column:
     """Struct of a person's signals. The name is parsed once, as each use of it would repeat the whole expression."""
-    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
     def told(parsed: Column, parts: Column) -> Column:
         return F.struct(
@@ -41,7 +40,7 @@ def profile(full_name: Column, orcid: Column, institution: Column, department: C
             known(institution).alias("institution"), known(department).alias("department"), known(city).alias("city"), known(state).alias("state"), categories.alias("specialties"),
         )
 
-    return once(T.parsed_name(full_name), lambda parsed: once(name_parts(parsed["full_name"]), lambda parts: told(parsed, parts)))
+    return T.once(T.parsed_name(full_name), lambda parsed: T.once(name_parts(parsed["full_name"]), lambda parts: told(parsed, parts)))
 
 
 def same(a: Column, b: Column) -> Column:

@@ -16,15 +16,14 @@ def resolve(candidates: DataFrame, person: str = "person_id", number: str = "num
     less. Persons without candidates are not in the table, and have not been found.
     """
     active = ~F.col("deactivated")
-    summed = candidates.groupBy(person).agg(
+    top = F.max(F.when(active, F.col("score"))).over(Window.partitionBy(person))  # the aggregate reuses this partitioning
+    known = candidates.withColumn("_top", top).groupBy(person).agg(
         F.count_if(active).alias("n"),
         F.count_if(active & F.col("orcid_match")).alias("n_orcid"),
         F.max(F.when(active & F.col("orcid_match"), F.struct(F.col(number).alias("number"), "score"))).alias("orcid"),
         F.max(F.when(active, F.struct("score", F.col(number).alias("number"), "corroborated"))).alias("best"),
+        F.count_if(active & (F.col("score") >= F.col("_top") - S.TIE)).alias("ties"),
     )
-    near = candidates.where(active).join(summed.select(person, F.col("best.score").alias("top")), person).where(F.col("score") >= F.col("top") - S.TIE)
-    ties = near.groupBy(person).agg(F.count("*").alias("ties"))
-    known = summed.join(ties, person, "left")
     threshold = F.when(F.col("n") == 1, F.lit(S.ASSIGN_SINGLE_AT)).otherwise(S.ASSIGN_AT)
     wins = (F.col("ties") == 1) & (F.col("best.score") >= threshold) & ((F.col("n") == 1) | F.col("best.corroborated"))
     by_orcid = F.col("n_orcid") == 1

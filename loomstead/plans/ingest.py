@@ -9,7 +9,8 @@ from loomstead.operators import backfill as B
 from loomstead.operators import intervals as I
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
-from loomstead.plans.streams import drained, scratch
+from loomstead.plans.roles import scratch
+from loomstead.plans.streams import drained
 from loomstead.sources import paged
 
 # --- the paged scan

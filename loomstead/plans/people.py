@@ -179,7 +179,7 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     department = F.when(segment.isin("BUILDING", "MACHINERY"), F.col("own_type"))
     person = N.profile(full, F.col("c_custkey").cast("string"), F.col("own_brand"), department, F.col("own_city"), F.col("own_state"), N.specialties(F.col("own_type"), FIELDS))
     person = person.withField("suffix", F.when(segment != "FURNITURE", F.col("own_brand")))
-    profiles = persons.select("c_custkey", person.alias("person"))  # worked out once a person, before candidates multiply them
+    profiles = R.written(persons.select("c_custkey", person.alias("person")), "profiles")  # worked out once a person, before candidates multiply them
     joined = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(profiles, "c_custkey").join(found, "o_orderkey")
     address = lambda purpose, city, state: F.struct(F.lit(purpose).alias("purpose"), city.alias("city"), state.alias("state"))
     taxonomy = lambda desc, main, state: F.struct(desc.alias("desc"), F.lit(main).alias("main"), state.alias("state"))
@@ -192,7 +192,8 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.lit("17").alias("type"), F.col("l_partkey").cast("string").alias("identifier"))).alias("identifiers"),
     )
     both = joined.select(F.col("c_custkey").alias("person_id"), F.col("o_orderkey").alias("number"), "person", candidate.alias("candidate"))
-    return both.select("person_id", "number", *(c.alias(n) for n, c in N.match_features(F.col("person"), F.col("candidate"), FIELDS).items()))
+    features = both.select("person_id", "number", *(c.alias(n) for n, c in N.match_features(F.col("person"), F.col("candidate"), FIELDS).items()))
+    return R.written(features, "features")  # fourteen narrow columns, read by scores, models and resolution as often as they like
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT * FROM compared")

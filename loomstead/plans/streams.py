@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,19 +13,10 @@ from loomstead.operators.assembly import model_vector, stratified
 from loomstead.plans import roles as R
 from loomstead.plans.people import CERTAIN, MATCHES, candidates
 from loomstead.plans.registry import query
+from loomstead.plans.roles import scratch
 from loomstead.streaming.queue import duration_windows, queue_states
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where executors share one. Where the session names none: a temporary one in local mode, an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="loomstead-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Runs a stream over all that is there, and writes what each batch gives out to a folder by its number, so a batch that runs again replaces it."""
 

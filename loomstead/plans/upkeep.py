@@ -17,7 +17,7 @@ from loomstead.plans.cleaning import SIMILAR_SQL, neighbours
 from loomstead.plans.people import CANDIDATES_SQL, CERTAIN, MATCHES, RESOLVED_SQL, candidates, compared
 from loomstead.plans.registry import query
 from loomstead.plans.search import registry
-from loomstead.plans.streams import scratch
+from loomstead.plans.roles import scratch
 from loomstead.sources import files
 from loomstead.sources import registry as S
 
