@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import either
+from loomstead.operators import trigrams
 
 
 @dataclass
@@ -43,6 +44,8 @@ class Registry:
     descriptors: DataFrame | None = None
     places: DataFrame | None = None
     keywords: DataFrame | None = None
+    #: Postings of the studies' texts and keywords (study_id, gram), as trigrams.postings() gives them: with them, a keyword's search reads only candidates.
+    grams: DataFrame | None = None
 
 
 def filled(values: list[str] | None) -> list[str]:
@@ -67,7 +70,12 @@ def apply_filters(registry: Registry, criteria: Criteria, *, wildcards: bool = F
     if not criteria.include_removed and "removed_at" in found.columns:
         found = found.where(F.col("removed_at").isNull())
     if criteria.keyword and criteria.keyword.strip():
-        found = _by_keyword(found, registry.keywords if study_keywords else None, criteria.keyword.strip(), wildcards)
+        keyword, keywords = criteria.keyword.strip(), registry.keywords if study_keywords else None
+        if registry.grams is not None and not wildcards:
+            near = trigrams.candidates(registry.grams, "study_id", keyword)
+            found = found.join(near, "study_id", "left_semi")
+            keywords = keywords.join(near, "study_id", "left_semi") if keywords is not None else None
+        found = _by_keyword(found, keywords, keyword, wildcards)
     if statuses := filled(criteria.statuses):
         found = found.where(F.col("status").isin(statuses))
     if phases := filled(criteria.phases):

@@ -12,6 +12,7 @@ from loomstead.functions import text as T
 from loomstead.functions.dates import month_chunks
 from loomstead.operators import filters as L
 from loomstead.operators import hierarchy as H
+from loomstead.operators import trigrams as G
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
 from loomstead.sources.files import csv_lines
@@ -112,9 +113,10 @@ def geo_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     country = F.when(key % 3 == 0, F.col("r_name")).when(key % 3 == 1, "nowhere").otherwise(F.substring("r_name", 1, 4))
     rows = joined.select(key.alias("id"), country.alias("country"), F.when(key % 2 == 0, F.col("n_name")).otherwise("?").alias("state"))
     exact = nodes.groupBy(F.lower("name").alias("k")).agg(F.min("z").alias("z"))
-    left, right = F.lower("country"), F.lower("name")
-    inside = rows.select("country").distinct().join(nodes, F.contains(right, left) | F.contains(left, right)).groupBy("country").agg(F.min_by("z", "name").alias("inside"))
-    found = rows.join(exact.select(F.col("k").alias("ck"), F.col("z").alias("by_country")), left == F.col("ck"), "left")
+    countries, names = rows.select("country").distinct(), nodes.select("name").distinct()
+    within = G.holding(names, countries, "name", "name", "country").unionByName(G.holding(countries, names, "country", "country", "name").select(F.col("country").alias("term"), F.col("term").alias("name")))
+    inside = within.join(nodes, "name").groupBy(F.col("term").alias("country")).agg(F.min_by("z", "name").alias("inside"))
+    found = rows.join(exact.select(F.col("k").alias("ck"), F.col("z").alias("by_country")), F.lower("country") == F.col("ck"), "left")
     found = found.join(exact.select(F.col("k").alias("sk"), F.col("z").alias("by_state")), F.lower("state") == F.col("sk"), "left").join(inside, "country", "left")
     return found.select("id", F.coalesce("by_country", "by_state", "inside").alias("node"))
 

@@ -179,7 +179,8 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     department = F.when(segment.isin("BUILDING", "MACHINERY"), F.col("own_type"))
     person = N.profile(full, F.col("c_custkey").cast("string"), F.col("own_brand"), department, F.col("own_city"), F.col("own_state"), N.specialties(F.col("own_type"), FIELDS))
     person = person.withField("suffix", F.when(segment != "FURNITURE", F.col("own_brand")))
-    profiles = R.written(persons.select("c_custkey", person.alias("person")), "profiles")  # worked out once a person, before candidates multiply them
+    dealt = persons.repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # names take long to parse, and a small table is one task's
+    profiles = R.written(dealt.select("c_custkey", person.alias("person")), "profiles")  # worked out once a person, before candidates multiply them
     joined = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").join(profiles, "c_custkey").join(found, "o_orderkey")
     address = lambda purpose, city, state: F.struct(F.lit(purpose).alias("purpose"), city.alias("city"), state.alias("state"))
     taxonomy = lambda desc, main, state: F.struct(desc.alias("desc"), F.lit(main).alias("main"), state.alias("state"))

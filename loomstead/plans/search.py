@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstead.operators import trigrams as G
 from loomstead.operators.filters import Criteria, Registry, apply_filters, page
 from loomstead.operators.intervals import contained
 from loomstead.plans import roles as R
@@ -41,6 +42,33 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_filters(registry(spark, sf_dir), Criteria(keyword="77")).select(*SHOWN)
 
 
+def text_postings(spark: SparkSession, sf_dir: str, found: Registry) -> DataFrame:
+    """Postings of studies' titles, ids and keywords, kept as a table sorted by gram, so that a search reads few of its row groups."""
+    own = G.postings(found.studies.select("study_id", "title", F.col("study_id").cast("string").alias("id")), "study_id", "title", "id")
+    every = own.union(G.postings(found.keywords.distinct(), "study_id", "keyword")).repartitionByRange("gram", "study_id").sortWithinPartitions("gram")
+    return R.written(every, "grams")
+
+
+@query(f"""{R.WITH} SELECT study_id, title, status, start_date, enrollment FROM studies s
+  WHERE contains(lower(title), 'ecified study of 12') OR contains(CAST(study_id AS VARCHAR), 'ecified study of 12') OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = s.study_id AND contains(lower('flag ' || l_returnflag), 'ecified study of 12'))""")
+def keyword_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword's search by postings."""
+    found = registry(spark, sf_dir)
+    found.grams = text_postings(spark, sf_dir, found)
+    return apply_filters(found, Criteria(keyword="ecified study of 12")).select(*SHOWN)
+
+
+@query("""WITH t AS (SELECT DISTINCT unnest([p_brand, left(p_name, 3), p_type, left(p_brand, 1), right(p_name, 2), 'Absent ' || p_size]) AS term FROM part),
+  n AS (SELECT p_partkey AS id, upper(p_name) || ' ' || p_type || ' ' || p_brand AS name FROM part) SELECT term, count(*) AS n, min(id) AS first FROM t JOIN n ON contains(lower(name), lower(term)) GROUP BY 1""")
+def terms_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names hold each of many terms, of one letter and more, and the first that does."""
+    part = R.table(spark, sf_dir, "part")
+    cut = F.array(F.col("p_brand"), F.left("p_name", F.lit(3)), F.col("p_type"), F.left("p_brand", F.lit(1)), F.right("p_name", F.lit(2)), F.concat(F.lit("Absent "), F.col("p_size").cast("string")))
+    names = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.upper("p_name"), "p_type", "p_brand").alias("name"))
+    found = G.holding(names, part.select(F.explode(cut).alias("term")), "id", "name")
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 @query(f"{R.WITH} SELECT study_id, title, status, start_date, enrollment FROM studies WHERE title ILIKE '%low%of 1_2%' OR CAST(study_id AS VARCHAR) ILIKE '%low%of 1_2%'")
 def keyword_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_filters(registry(spark, sf_dir), Criteria(keyword="low%of 1_2"), wildcards=True, study_keywords=False, by_place=False).select(*SHOWN)
