@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomstead.operators.queue import MOST_RETRIES
+from loomstead.operators.queue import MOST_RETRIES, STUCK_BACKFILL_MINUTES, STUCK_MINUTES
 from loomstead.sources.registry import flatten_studies
 
 #: What an outcome makes of a status; a failure may end in "dead-letter" instead.
@@ -54,6 +55,121 @@ def queue_states(outcomes: DataFrame, most: int = MOST_RETRIES, lease: str | Non
     return outcomes.groupBy("id").applyInPandasWithState(update, "id long, status string, retry_count int", STATE, "update", timeout)
 
 
+# Minutes without progress after which work is taken back, and failures after which it is given up, by kind of work; None for any other.
+LEASE_MINUTES = {"studies.backfill": STUCK_BACKFILL_MINUTES, None: STUCK_MINUTES}
+GIVEN_UP_AT = {"publications.scrub": 3, None: MOST_RETRIES}
+
+
+@dataclass
+class Work:
+    """One event's state under a lease: since when nothing was heard of it, in milliseconds, and how often it was taken back."""
+
+    status: str = "pending"
+    retries: int = 0
+    since: int = 0
+    released: int = 0
+
+    def expire(self, now: int, lease: int) -> None:
+        """Takes work back whose lease is over before now."""
+        if self.status == "processing" and self.since + lease < now:
+            self.status, self.released = "pending", self.released + 1
+
+    def take(self, at: int, outcome: str, lease: int, most: int) -> None:
+        """One outcome at its time; "progress" renews the lease."""
+        self.expire(at, lease)
+        if outcome == "progress" and self.status == "processing":
+            self.since = at
+            return
+        before = self.status
+        self.status, self.retries = step(self.status, self.retries, outcome, most)
+        if before != "processing" and self.status == "processing":
+            self.since = at
+
+
+def by_kind(table: dict, kind: str | None) -> int:
+    return table.get(kind, table[None])
+
+
+def leased_states(outcomes: DataFrame, late: str = "0 seconds", leases: dict | None = None, given_up: dict | None = None) -> DataFrame:
+    """A stream of (id, status, retry_count, released) from a stream of (id, kind, outcome, at, seq): each event's state after each batch.
+
+    Leases run in event time: one is over once the watermark, the latest time seen less late, has passed it, or an outcome comes after it, whichever is
+    first; both give the same state, so how a stream is cut into batches changes nothing. leases (minutes) and given_up (failures) go by kind of work. Outcomes
+    that come later than late are dropped. A replayed batch begins with the state before it.
+    """
+    leases, given_up = leases or LEASE_MINUTES, given_up or GIVEN_UP_AT
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *told, kind = state.get if state.exists else (*astuple(Work()), None)
+        work = Work(*told)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["at", "seq"])
+            for row in rows.itertuples():
+                kind = row.kind
+                work.take(row.at.value // 1_000_000, row.outcome, by_kind(leases, kind) * 60_000, by_kind(given_up, kind))
+        lease, now = by_kind(leases, kind) * 60_000, state.getCurrentWatermarkMs()
+        work.expire(now, lease)
+        state.update((*astuple(work), kind))
+        if work.status == "processing":
+            state.setTimeoutTimestamp(max(work.since + lease, now + 1))
+        yield pd.DataFrame({"id": [key[0]], "status": [work.status], "retry_count": [work.retries], "released": [work.released]})
+
+    kind = outcomes.schema["id"].dataType.simpleString()
+    kept = "status string, retry_count int, since long, released int, kind string"
+    found = outcomes.withWatermark("at", late).groupBy("id")
+    return found.applyInPandasWithState(update, f"id {kind}, status string, retry_count int, released int", kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Milliseconds that a window of discoveries spans at most.
+WINDOW_MS = 24 * 3_600_000
+
+
+@dataclass
+class Cursor:
+    """A source's cursor, in milliseconds, and the window of discoveries that owns it until its work is done; seq tells the last command that counted."""
+
+    at: int | None = None
+    open_to: int | None = None
+    seq: int = -1
+
+    def take(self, seq: int, command: str, now: int, count: int) -> None:
+        """One command, if it is newer than the last.
+
+        "discover" looks from the cursor on for a day, or up to now where there is no cursor: if it finds studies, the window stays open and owns the
+        cursor; if none, the cursor moves to its end. While a window is open, discoveries change nothing. "done" closes it and moves the cursor; "failed"
+        leaves it open, to be tried again. The cursor never moves back.
+        """
+        if seq <= self.seq:
+            return
+        self.seq = seq
+        if command == "discover" and self.open_to is None:
+            end = now if self.at is None else max(self.at, min(self.at + WINDOW_MS, now))
+            if count > 0:
+                self.open_to = end
+            else:
+                self.at = end
+        elif command == "done" and self.open_to is not None:
+            self.at, self.open_to = self.open_to, None
+
+
+def cursors(commands: DataFrame) -> DataFrame:
+    """A stream of (source, cursor_ms, open_to_ms, seq) from a stream of (source, seq, command, at, found): the one owner of each source's cursor.
+
+    Cursor and open window are one state under one key, so no two batches can move it apart; commands that come again change nothing.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cursor = Cursor(*state.get) if state.exists else Cursor()
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            cursor.take(row.seq, row.command, row.at.value // 1_000_000, row.found)
+        state.update(astuple(cursor))
+        yield pd.DataFrame({"source": [key[0]], "cursor_ms": pd.array([cursor.at], "Int64"), "open_to_ms": pd.array([cursor.open_to], "Int64"), "seq": [cursor.seq]})
+
+    kind = commands.schema["source"].dataType.simpleString()
+    out, kept = f"source {kind}, cursor_ms long, open_to_ms long, seq long", "at long, open_to long, seq long"
+    return commands.groupBy("source").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
+
+
 def new_discoveries(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events without those whose source and window came already, while the watermark lasts."""
     return events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["source", "window"])
