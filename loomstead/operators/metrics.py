@@ -106,3 +106,44 @@ def progress(scrapes: DataFrame, source: str = "source", id_: str = "id", kind:
     after = scrapes.join(last, scrapes[source].eqNullSafe(F.col("_source"))).drop("_source").where(F.col(id_) >= F.col("discovery"))
     batch = F.col(kind) == "batch.completed"
     return after.groupBy(source, "discovery").agg(F.count_if(batch).alias("batches"), F.coalesce(F.sum(F.when(batch, F.col(records))), F.lit(0)).alias("records"))
+
+
+def cuts(df: DataFrame, reports: dict[str, list[str]], top: dict[str, int] | None = None, **measures: Column) -> DataFrame:
+    """(report, the columns of all reports, n and the measures): several groupings of one table in one pass, as grouping sets.
+
+    A report's row has nulls in the columns of the others. Of reports in top, only so many groups stay: those with the largest n, equal ones by their columns.
+    """
+    columns = list(dict.fromkeys(c for keys in reports.values() for c in keys))
+    found = df.groupingSets([[F.col(c) for c in keys] for keys in reports.values()], *columns).agg(
+        F.grouping_id(*columns).alias("_set"), F.count("*").alias("n"), *(m.alias(name) for name, m in measures.items())
+    )
+    number = lambda keys: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)  # noqa: E731  a bit for each column that is left out
+    if len({number(keys) for keys in reports.values()}) < len(reports):
+        raise ValueError("two reports have the same columns")
+    name = F.lit(None).cast("string")
+    for report, keys in reports.items():
+        name = F.when(F.col("_set") == number(keys), report).otherwise(name)
+    told = found.withColumn("report", name).select("report", *columns, "n", *measures)
+    if not top:
+        return told
+    limit = F.lit(None).cast("int")
+    for report, n in top.items():
+        limit = F.when(F.col("report") == report, n).otherwise(limit)
+    rank = F.row_number().over(Window.partitionBy("report").orderBy(F.desc("n"), *columns))
+    limited = told.where(F.col("report").isin(list(top))).withColumn("_rank", rank).where(F.col("_rank") <= max(top.values())).where(F.col("_rank") <= limit).drop("_rank")
+    return told.where(~F.col("report").isin(list(top))).unionByName(limited) if len(top) < len(reports) else limited
+
+
+def counted(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: how many rows meet each condition, in one pass; one that tells null is not met."""
+    return df.agg(*(F.count_if(c).alias(name) for name, c in conditions.items()))
+
+
+def runs(events: DataFrame, gap: str, source: str = "source", at: str = "at", **measures: Column) -> DataFrame:
+    """(source, started, ended, n, measures): runs of a source's events, each less than a gap after the one before. The same on tables and on streams.
+
+    A stream needs a watermark on at: a run is given out once it has passed the run's end and a gap, and late events within it join runs together.
+    """
+    window = F.session_window(at, gap)
+    found = events.groupBy(source, window).agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"), *(m.alias(name) for name, m in measures.items()))
+    return found.drop("session_window")

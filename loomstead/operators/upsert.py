@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -77,3 +78,27 @@ def append_log(rows: DataFrame, path: str, day: str | None = None) -> None:
     """Adds rows to a log; with the name of a day's column, in a folder a day, so that readers of few days read little."""
     writer = rows.write.mode("append")
     (writer.partitionBy(day) if day else writer).parquet(path)
+
+
+@dataclass(frozen=True)
+class Batch:
+    """What a batch became: the rows taken, those set apart with their reason, and how many of each were seen while they were written."""
+
+    taken: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def write_batch(rows: DataFrame, reason: Column, path: str, kinds: dict[str, Column] | None = None) -> Batch:
+    """Writes rows to a folder, those with a reason apart, in one pass; nothing is read or counted again.
+
+    reason says why a row is set apart, null for one that is taken; it becomes a column of rejected. counts holds n, taken and rejected, and those of
+    kinds, conditions on the rows and their reason (F.col("_reason")), all observed as the rows go by. Rows come as they are: copies and nulls too.
+    """
+    seen = Observation()
+    told = rows.withColumn("_reason", reason).withColumn("_rejected", F.col("_reason").isNotNull())
+    asked = {"n": F.lit(True), "taken": ~F.col("_rejected"), "rejected": F.col("_rejected")} | (kinds or {})
+    told.observe(seen, *(F.count_if(c).alias(name) for name, c in asked.items())).write.partitionBy("_rejected").parquet(path)
+    whole = rows.sparkSession.read.schema(told.schema).parquet(path)  # with the folders' column, so a reader of one side opens no file of the other
+    side = lambda apart: whole.where(F.col("_rejected") == apart).drop("_rejected")
+    return Batch(side(False).drop("_reason"), side(True).withColumnRenamed("_reason", "reason"), {k: v or 0 for k, v in seen.get.items()})

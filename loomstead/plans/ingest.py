@@ -1,16 +1,20 @@
-"""Ingestion: the paged scan, the coverage of a backfill, and its sweeps."""
+"""Ingestion: the paged scan, the coverage of a backfill and its sweeps, names judged as they come, runs and reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstead.functions import text as T
+from loomstead.functions import vocabulary as V
 from loomstead.operators import backfill as B
 from loomstead.operators import intervals as I
+from loomstead.operators import metrics as M
+from loomstead.operators import upsert as U
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
 from loomstead.plans.roles import scratch
-from loomstead.plans.streams import drained
+from loomstead.plans.streams import drained, sliced
 from loomstead.sources import paged
 
 # --- the paged scan
@@ -120,3 +124,141 @@ def sweep_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     step = B.sweep_step(*(F.col(c) for c in ("status", "waiting", "dead", "gap")), 1, F.col("forced"))
     return told.select("source", step.alias("s")).select("source", "s.*")
+
+
+# --- names checked as they are written
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join("'" + v.upper().replace("'", "''") + "'" for v in values)
+
+
+def any_of(text: str, patterns: list[str]) -> str:
+    return " OR ".join(f"regexp_matches({text}, '{p}')" for p in patterns)
+
+
+#: What a name gets before and after it by the place of its line, so that every rule meets names of every kind.
+DRESSED = {1: ("", " Inc."), 2: ("Contact ", ""), 3: ("", " & Sons"), 4: ("", " Research Institute"), 5: ("Pfizer ", ""), 6: ("", ", Study_Chair"), 7: ("", ", Sponsor")}
+
+SHAPES_SQL = "CASE i % 9 " + " ".join(f"WHEN {k} THEN '{a}' || w2 || '{b}'" for k, (a, b) in DRESSED.items()) + f" WHEN 8 THEN CASE WHEN i % 2 = 0 THEN '{V.NOT_PERSONS[0].lower()}' ELSE replace(w2, ' ', '') || w2[:1] END ELSE line END"
+
+NAMES_SQL = rf"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+  made AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN ' sub_investigator ' END AS role, {SHAPES_SQL} AS name FROM (SELECT *, array_to_string(list_filter(string_split(line, ' '), lambda x: trim(x) <> '')[1:2], ' ') AS w2 FROM lines)),
+  cut AS (SELECT *, trim(name) AS t0, upper(replace(trim(regexp_extract(trim(name), '(?s)^.+,([^,]*)$', 1)), '_', ' ')) AS label FROM made),
+  bare AS (SELECT *, CASE WHEN label IN ({quoted([*V.ROLE_PREFIXES, *(r for r in V.INVESTIGATOR_ROLES if "_" not in r)])}) THEN trim(regexp_extract(t0, '(?s)^(.+),[^,]*$', 1)) ELSE t0 END AS t FROM cut),
+  worded AS (SELECT *, upper(t) AS u, list_filter(string_split(t, ' '), lambda x: trim(x) <> '') AS w FROM bare),
+  judged AS (SELECT *, CASE WHEN regexp_full_match(coalesce(name, ''), '\s*') OR regexp_full_match(t, '\s*') THEN 'EmptyOrNull'
+      WHEN regexp_matches(t, '[^\P{{L}}A-Za-z]') THEN CASE WHEN length(t) < 2 OR len(w) > 6 THEN 'NonLatinName' END
+      WHEN length(t) < 3 THEN 'TooShort' WHEN length(t) > 100 THEN 'TooLong' WHEN len(w) > 10 THEN 'TooManyWords' WHEN u IN ({quoted(V.NOT_PERSONS)}) THEN 'KnownNonHumanName'
+      WHEN {" OR ".join(f"starts_with(u, '{p}')" for p in V.ROLE_PREFIXES)} THEN 'RolePrefix' WHEN upper(regexp_replace(w[-1], '[,.]+$', '')) IN ({quoted(V.CORPORATE_SUFFIXES)}) THEN 'CorporateSuffix'
+      WHEN contains(t, ' & ') THEN 'Ampersand' WHEN {any_of("u", ["(^| )" + " +".join(x.replace(".", "[.]") + "S?[,.;:!?]*" for x in k.split(" ")) + "( |$)" for k in V.ORGANISATION_WORDS])} THEN 'OrgKeywords'
+      WHEN upper(regexp_replace(w[1], '[,.]+$', '')) IN ({quoted(V.COMPANIES)}) THEN 'PharmaBlocklist'
+      WHEN len(w) = 1 AND length(t) > 20 AND NOT coalesce(upper(trim(role)) IN ({quoted(V.INVESTIGATOR_ROLES)}), false) THEN 'SingleLongWord' END AS kind FROM worded)"""
+
+#: Kinds of reasons in their order; fixed values.
+REASONS = "EmptyOrNull NonLatinName TooShort TooLong TooManyWords KnownNonHumanName RolePrefix CorporateSuffix Ampersand OrgKeywords PharmaBlocklist SingleLongWord".split()
+
+
+def name_batch(spark: SparkSession, sf_dir: str) -> U.Batch:
+    """Names made of the lines of all documents, judged as they are written."""
+    lines = R.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    two = lines.withColumn("w2", F.array_join(F.slice(T.tokens(F.col("line")), 1, 2), " "))
+    at = F.col("i") % 9
+    name = F.when(at == 8, F.when(F.col("i") % 2 == 0, V.NOT_PERSONS[0].lower()).otherwise(F.concat(F.replace("w2", F.lit(" "), F.lit("")), F.substring("w2", 1, 1))))
+    for k, (before, after) in DRESSED.items():
+        name = name.when(at == k, F.concat(F.lit(before), "w2", F.lit(after)))
+    names = two.select("doc_id", "i", F.when(F.col("i") % 5 == 0, " sub_investigator ").alias("role"), name.otherwise(F.col("line")).alias("name"))
+    kinds = {k: F.coalesce(F.startswith("_reason", F.lit(k)), F.lit(False)) for k in REASONS}
+    return U.write_batch(names, T.not_human_reason(F.col("name"), F.col("role")), R.scratch(spark, "names"), kinds)
+
+
+@query(f"WITH {NAMES_SQL} SELECT kind, count(*) AS n FROM judged WHERE kind IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM judged UNION ALL SELECT 'taken', count(*) FROM judged WHERE kind IS NULL")
+def name_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names were taken and how many set apart, by reason, as observed while they were written."""
+    counts = name_batch(spark, sf_dir).counts
+    rows = [("all", counts["n"]), ("taken", counts["taken"]), *((k, counts[k]) for k in REASONS if counts[k])]
+    return spark.createDataFrame(rows, "kind string, n long")
+
+
+@query(f"WITH {NAMES_SQL} SELECT doc_id, i, kind FROM judged WHERE kind IS NOT NULL")
+def name_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names set apart, with the kind of their reason."""
+    return name_batch(spark, sf_dir).rejected.select("doc_id", F.col("i").cast("long").alias("i"), F.substring_index("reason", ":", 1).alias("kind"))
+
+
+# --- runs and reports
+
+RUN_SQL = """e AS (SELECT user_id AS source, ts AS t, value FROM events WHERE event_type <> 'error'), m AS (SELECT *, t - lag(t) OVER (PARTITION BY source ORDER BY t) AS d FROM e),
+  r AS (SELECT *, sum(CASE WHEN d < INTERVAL 4 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM m),
+  runs AS (SELECT source, min(t) AS started, max(t) AS ended, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS records FROM r GROUP BY source, run)"""
+
+PLAIN = ["source", "n", "records"]
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = R.table(spark, sf_dir, "events").where("event_type <> 'error'")
+    return events.select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.col("value").cast("decimal(18,2)").alias("value"))
+
+
+def shown_runs(found: DataFrame) -> DataFrame:
+    return found.select(*PLAIN, *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")))
+
+
+@query(f"WITH {RUN_SQL} SELECT * FROM runs")
+def scrape_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each source: events less than four hours apart."""
+    return shown_runs(M.runs(run_events(spark, sf_dir), "4 hours", records=F.sum("value").cast("double")))
+
+
+@query(f"WITH {RUN_SQL} SELECT * FROM runs WHERE ended + INTERVAL 4 HOUR <= (SELECT max(t) - INTERVAL 1 HOUR FROM e)")
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream in four batches: runs that are over by the last watermark."""
+    path = scratch(spark, "runs")
+    events = sliced(spark, run_events(spark, sf_dir), "run-events").withWatermark("at", "1 hour")
+    drained(M.runs(events, "4 hours", records=F.sum("value").cast("double")), path)
+    return shown_runs(spark.read.parquet(f"{path}/out"))
+
+
+@query("""WITH l AS (SELECT l_returnflag AS source, l_linestatus AS category, p_brand AS prefix, l_orderkey AS study, l_discount >= 0.05 AS matched FROM lineitem JOIN part ON p_partkey = l_partkey),
+  c AS (SELECT 'source' AS report, source, NULL AS category, NULL AS prefix, NULL::BIGINT AS study, count(*) AS n, count(*) FILTER (matched) AS matched FROM l GROUP BY source
+    UNION ALL SELECT 'crosstab', source, category, NULL, NULL, count(*), count(*) FILTER (matched) FROM l GROUP BY source, category
+    UNION ALL (SELECT 'prefix', NULL, NULL, prefix, NULL, count(*) AS n, count(*) FILTER (matched) FROM l GROUP BY prefix ORDER BY n DESC, prefix LIMIT 20)
+    UNION ALL (SELECT 'study', NULL, NULL, NULL, study, count(*) AS n, count(*) FILTER (matched) FROM l GROUP BY study ORDER BY n DESC, study LIMIT 30))
+  SELECT *, round(matched / n, 6) AS match_rate FROM c""")
+def report_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match rates by source, sources by category, and the most frequent prefixes and studies, from one pass."""
+    parts = R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("prefix"))
+    lines = R.table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    named = lines.select(F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("category"), "prefix", F.col("l_orderkey").alias("study"), (F.col("l_discount") >= 0.05).alias("matched"))
+    reports = {"source": ["source"], "crosstab": ["source", "category"], "prefix": ["prefix"], "study": ["study"]}
+    found = M.cuts(named, reports, {"prefix": 20, "study": 30}, matched=F.count_if("matched"))
+    return found.withColumn("match_rate", F.round(F.col("matched") / F.col("n"), 6))
+
+
+PERSONS_SQL = """p AS (SELECT c_custkey, c_acctbal > 8000 AS fresh, c_mktsegment <> 'BUILDING' AS human, CASE WHEN c_acctbal > 0 THEN c_custkey END AS npi, CASE WHEN c_acctbal < -500 THEN 'not_found' WHEN c_acctbal < -200 THEN 'ambiguous' END AS result, c_acctbal > 9900 AS removed FROM customer)"""
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balance = F.col("c_acctbal")
+    return R.table(spark, sf_dir, "customer").select(
+        (balance > 8000).alias("fresh"), (F.col("c_mktsegment") != "BUILDING").alias("human"), F.when(balance > 0, F.col("c_custkey")).alias("npi"),
+        F.when(balance < -500, "not_found").when(balance < -200, "ambiguous").alias("result"), (balance > 9900).alias("removed"),
+    )
+
+
+@query(f"""WITH {PERSONS_SQL} SELECT count(*) AS everyone, count(*) FILTER (fresh) AS since, count(*) FILTER (NOT removed) AS active, count(*) FILTER (human) AS human, count(npi) AS with_number,
+  count(*) FILTER (result = 'not_found') AS not_found, count(*) FILTER (result = 'ambiguous') AS ambiguous, count(*) FILTER (npi IS NULL AND result IS NULL) AS not_attempted FROM p""")
+def person_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons by all that is counted of them, in one pass."""
+    c = F.col
+    return M.counted(
+        looked_up(spark, sf_dir), everyone=F.lit(True), since=c("fresh"), active=~c("removed"), human=c("human"), with_number=c("npi").isNotNull(),
+        not_found=c("result") == "not_found", ambiguous=c("result") == "ambiguous", not_attempted=c("npi").isNull() & c("result").isNull(),
+    )
+
+
+@query(f"WITH {PERSONS_SQL} SELECT coalesce(CASE WHEN npi IS NOT NULL THEN 'found' ELSE result END, 'pending') AS result, count(*) AS n FROM p WHERE human GROUP BY 1")
+def enrichment_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What looking persons up told, of humans only; those not looked up yet are pending."""
+    told = F.coalesce(F.when(F.col("npi").isNotNull(), "found").otherwise(F.col("result")), F.lit("pending"))
+    return looked_up(spark, sf_dir).where("human").groupBy(told.alias("result")).agg(F.count("*").alias("n"))
