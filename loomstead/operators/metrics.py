@@ -140,7 +140,7 @@ def counted(df: DataFrame, **conditions: Column) -> DataFrame:
 
 
 def runs(events: DataFrame, gap: str, source: str = "source", at: str = "at", **measures: Column) -> DataFrame:
-    """(source, started, ended, n, measures): runs of a source's events, each less than a gap after the one before. The same on tables and on streams.
+    """(source, started, ended, n, measures): runs of a source's events, each a gap after the one before at most. The same on tables and on streams.
 
     A stream needs a watermark on at: a run is given out once it has passed the run's end and a gap, and late events within it join runs together.
     """

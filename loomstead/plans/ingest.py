@@ -140,7 +140,7 @@ def any_of(text: str, patterns: list[str]) -> str:
 #: What a name gets before and after it by the place of its line, so that every rule meets names of every kind.
 DRESSED = {1: ("", " Inc."), 2: ("Contact ", ""), 3: ("", " & Sons"), 4: ("", " Research Institute"), 5: ("Pfizer ", ""), 6: ("", ", Study_Chair"), 7: ("", ", Sponsor")}
 
-SHAPES_SQL = "CASE i % 9 " + " ".join(f"WHEN {k} THEN '{a}' || w2 || '{b}'" for k, (a, b) in DRESSED.items()) + f" WHEN 8 THEN CASE WHEN i % 2 = 0 THEN '{V.NOT_PERSONS[0].lower()}' ELSE replace(w2, ' ', '') || w2[:1] END ELSE line END"
+SHAPES_SQL = "CASE i % 9 " + " ".join(f"WHEN {k} THEN '{a}' || w2 || '{b}'" for k, (a, b) in DRESSED.items()) + f" WHEN 8 THEN CASE WHEN i % 2 = 0 THEN '{V.NOT_PERSONS[0].lower()}' ELSE repeat(replace(w2, ' ', ''), 3) END ELSE CASE doc_id % 4 WHEN 0 THEN line[:2] WHEN 1 THEN '  ' ELSE line END END"
 
 NAMES_SQL = rf"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
   made AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN ' sub_investigator ' END AS role, {SHAPES_SQL} AS name FROM (SELECT *, array_to_string(list_filter(string_split(line, ' '), lambda x: trim(x) <> '')[1:2], ' ') AS w2 FROM lines)),
@@ -164,10 +164,11 @@ def name_batch(spark: SparkSession, sf_dir: str) -> U.Batch:
     lines = R.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     two = lines.withColumn("w2", F.array_join(F.slice(T.tokens(F.col("line")), 1, 2), " "))
     at = F.col("i") % 9
-    name = F.when(at == 8, F.when(F.col("i") % 2 == 0, V.NOT_PERSONS[0].lower()).otherwise(F.concat(F.replace("w2", F.lit(" "), F.lit("")), F.substring("w2", 1, 1))))
+    name = F.when(at == 8, F.when(F.col("i") % 2 == 0, V.NOT_PERSONS[0].lower()).otherwise(F.repeat(F.replace("w2", F.lit(" "), F.lit("")), 3)))
     for k, (before, after) in DRESSED.items():
         name = name.when(at == k, F.concat(F.lit(before), "w2", F.lit(after)))
-    names = two.select("doc_id", "i", F.when(F.col("i") % 5 == 0, " sub_investigator ").alias("role"), name.otherwise(F.col("line")).alias("name"))
+    plain = F.when(F.col("doc_id") % 4 == 0, F.substring("line", 1, 2)).when(F.col("doc_id") % 4 == 1, "  ").otherwise(F.col("line"))
+    names = two.select("doc_id", "i", F.when(F.col("i") % 5 == 0, " sub_investigator ").alias("role"), name.otherwise(plain).alias("name"))
     kinds = {k: F.coalesce(F.startswith("_reason", F.lit(k)), F.lit(False)) for k in REASONS}
     return U.write_batch(names, T.not_human_reason(F.col("name"), F.col("role")), R.scratch(spark, "names"), kinds)
 
@@ -189,7 +190,7 @@ def name_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- runs and reports
 
 RUN_SQL = """e AS (SELECT user_id AS source, ts AS t, value FROM events WHERE event_type <> 'error'), m AS (SELECT *, t - lag(t) OVER (PARTITION BY source ORDER BY t) AS d FROM e),
-  r AS (SELECT *, sum(CASE WHEN d < INTERVAL 4 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM m),
+  r AS (SELECT *, sum(CASE WHEN d <= INTERVAL 4 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM m),
   runs AS (SELECT source, min(t) AS started, max(t) AS ended, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS records FROM r GROUP BY source, run)"""
 
 PLAIN = ["source", "n", "records"]
@@ -206,7 +207,7 @@ def shown_runs(found: DataFrame) -> DataFrame:
 
 @query(f"WITH {RUN_SQL} SELECT * FROM runs")
 def scrape_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of each source: events less than four hours apart."""
+    """Runs of each source: events four hours apart at most."""
     return shown_runs(M.runs(run_events(spark, sf_dir), "4 hours", records=F.sum("value").cast("double")))
 
 
