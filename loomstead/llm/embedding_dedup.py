@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing: quantised random projections bucket normalised vectors in several tables.
 
-The projections in a table follow the number of vectors of a label, so that a bucket holds some dozens of strangers at any size, and the number of tables
-follows from the recall that is asked for. Rows of buckets are narrow: a vector goes as a sketch of the signs of its projections, and only sketches that
-differ in few enough bits are candidates. A bucket gives a spanning forest of its candidates; classes of candidates then get their vectors, once each,
+The projections in a table follow the number of vectors of a label and how far apart they lie, so that a bucket holds some dozens of strangers at any size,
+and the number of tables follows from the recall that is asked for. Rows of buckets are narrow: a vector goes as a sketch of the signs of its projections,
+seen from the mean of its label if that is large, and only sketches that differ in few enough bits are candidates: so vectors of a label that all point
+one way are no candidates for that. A bucket gives a spanning forest of its candidates; classes of candidates then get their vectors, once each,
 and exact cosines decide and count the links within them. Equal vectors of a label are one class and are hashed once.
 """
 
@@ -26,11 +27,23 @@ from loomstead.llm.groups import UnionFind, bundles, large_groups, small_pairs,
 WIDTH, STRANGERS, MISSED = 5.35, 32, 0.004
 
 #: Bits of a sketch, and the standard deviations beyond those expected at the threshold by which a candidate's may differ.
-SKETCH, SLACK = 128, 4.5
+SKETCH, SLACK = 256, 4.5
+
+#: The columns of a sketch's words.
+WORDS = [f"w{k}" for k in range(SKETCH // 64)]
+
+#: Means of labels that are broadcast, of some hundreds of components each.
+CENTRES = 10_000
 
 #: Members of a bucket or class in one task, about, and rows of a block of cosines.
 BUCKET, BLOCK = 2048, 512
 
+#: The smallest spread that projections follow: where vectors lie closer still, more tables would cost more than strangers do.
+LEAST_SPREAD = 0.25
+
+#: Vectors of a label from which on they are seen from their mean.
+CENTRED = 1024
+
 #: One in so many vectors, picked by hash, tells which buckets are hot and are split.
 HOT_SAMPLE = 16
 
@@ -51,19 +64,23 @@ def meets(distance: float, width: float) -> float:
     return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def plan(count: int, threshold: float) -> tuple[int, int, float]:
-    """Projections in a table, tables and the width of a step for a label of so many vectors."""
+def plan(count: int, threshold: float, spread: float = 1.0) -> tuple[int, int, float]:
+    """Projections in a table, tables and the width of a step for a label of so many vectors, whose mean cosine with each other is 1 - spread."""
     apart = math.sqrt(2 - 2 * min(threshold, 1.0))
     width = WIDTH * max(apart, 1e-3)
-    projections = max(1, math.ceil(math.log(max(count, 1) / STRANGERS) / -math.log(meets(math.sqrt(2), width))))
+    strangers = math.sqrt(2 * min(1.0, max(spread, LEAST_SPREAD)))
+    projections = max(1, math.ceil(math.log(max(count, 1) / STRANGERS) / -math.log(meets(strangers, width))))
     both = meets(apart, width) ** projections
     return projections, 1 if both == 1 else math.ceil(math.log(MISSED) / math.log(1 - both)), width
 
 
-def sketch_radius(threshold: float) -> int:
-    """The bits in which the sketches of two vectors at the threshold may differ."""
-    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return math.ceil(SKETCH * p + SLACK * math.sqrt(SKETCH * p * (1 - p)))
+def sketch_radius(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """The bits in which the sketches of two vectors at the threshold may differ, by their distances from where they are seen; -1 where none can be so near."""
+    apart = 2 - 2 * min(threshold, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        angle = np.nan_to_num((a * a + b * b - apart) / (2 * a * b), nan=-1.0, neginf=-1.0, posinf=1.0)
+    p = np.arccos(np.clip(angle, -1.0, 1.0)) / np.pi
+    return np.where(np.abs(a - b) > math.sqrt(apart) + 1e-5, -1, np.ceil(SKETCH * p + SLACK * np.sqrt(SKETCH * p * (1 - p))))
 
 
 @lru_cache(maxsize=2048)
@@ -87,7 +104,7 @@ def bucket_codes(unit: np.ndarray, projections: int, tables: int, width: float)
 
 
 def sketches(unit: np.ndarray) -> np.ndarray:
-    """The signs of SKETCH projections, as rows of 64-bit words."""
+    """The signs of SKETCH projections, as rows of 64-bit words; rows may have any length."""
     lines, _ = _projections(unit.shape[1], -1 % (1 << 32), SKETCH)
     return np.packbits(unit @ lines > 0, axis=1).view(np.uint64)
 
@@ -115,50 +132,79 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def means(classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(label, size, mean, spread): for labels with many vectors, by their length, the mean of these and one less its squared length."""
+    large = classes.join(broadcast_if_small(counts.where(F.col("of_label") >= CENTRED)), "label").select(F.xxhash64("label").alias("label"), "vector")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            for rows, unit in matrices(batch.column(1)):
+                names, which = np.unique(label[rows], return_inverse=True)
+                total = np.zeros((len(names), unit.shape[1]))
+                np.add.at(total, which, unit)
+                n, size = np.bincount(which), unit.shape[1]
+                each = lambda x: pa.array(np.repeat(x, size))
+                columns = [each(names), pa.array(np.full(total.size, size), pa.int32()), pa.array(np.tile(np.arange(size, dtype=np.int32), len(names))), pa.array(total.ravel()), each(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "size", "place", "total", "n"])
+
+    summed = large.mapInArrow(sums, "label long, size int, place int, total double, n long").groupBy("label", "size", "place").agg((F.sum("total") / F.sum("n")).alias("m"))
+    whole = summed.groupBy("label", "size").agg(F.sort_array(F.collect_list(F.struct("place", "m"))).alias("all"))
+    mean = F.transform("all", lambda x: x["m"])
+    return whole.select("label", "size", mean.alias("mean"), (1 - F.aggregate(mean, F.lit(0.0), lambda a, x: a + x * x)).alias("spread"))
+
+
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a spanning forest of the candidates in each bucket; classes: node long, label, vector array, with vectors of a label that differ."""
     counts = materialise(classes.groupBy("label").agg(F.count("*").alias("of_label")))
+    centres = materialise(means(classes, counts))  # a row for each thousand vectors at most
     sized = classes.join(broadcast_if_small(counts), "label").select("node", F.xxhash64("label").alias("label"), "of_label", "vector")
-    radius = sketch_radius(threshold)
+    seen = sized.withColumn("size", F.size("vector")).join(broadcast_if_small(centres, CENTRES), ["label", "size"], "left").select("node", "label", "of_label", F.coalesce("spread", F.lit(1.0)).alias("spread"), "vector", "mean")
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, HASHED):
                 batch = whole.slice(a, HASHED)
-                node, label, of_label = (batch.column(i).to_numpy() for i in range(3))
-                for rows, unit in matrices(batch.column(3)):
-                    signs = sketches(unit)
-                    for count in np.unique(of_label[rows]):
-                        at = np.flatnonzero(of_label[rows] == count)
-                        projections, tables, width = plan(int(count), threshold)
+                node, label, of_label, spread = (batch.column(i).to_numpy() for i in range(4))
+                for rows, unit in matrices(batch.column(4)):
+                    from_mean = unit.copy()
+                    for k, mean in enumerate(batch.column(5).take(pa.array(rows)).to_pylist()):
+                        if mean is not None:
+                            from_mean[k] -= mean
+                    signs, far = sketches(from_mean), np.linalg.norm(from_mean, axis=1).astype(np.float32)
+                    for count, wide in set(zip(of_label[rows].tolist(), spread[rows].tolist(), strict=True)):
+                        at = np.flatnonzero((of_label[rows] == count) & (spread[rows] == wide))
+                        projections, tables, width = plan(int(count), threshold, wide)
                         codes = bucket_codes(unit[at], projections, tables, width) ^ label[rows[at]].view(np.uint64)[:, None] ^ np.uint64(unit.shape[1])
                         repeat = lambda x: pa.array(np.repeat(x, tables))
                         words = [repeat(np.ascontiguousarray(signs[at, w]).view(np.int64)) for w in range(signs.shape[1])]
-                        yield pa.RecordBatch.from_arrays([repeat(node[rows[at]]), pa.array(codes.ravel().view(np.int64)), *words], ["node", "bucket", "low", "high"])
+                        yield pa.RecordBatch.from_arrays([repeat(node[rows[at]]), pa.array(codes.ravel().view(np.int64)), *words, repeat(far[at])], ["node", "bucket", *WORDS, "far"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bundle, starts in bundles(batches, ["bucket", "lo", "hi"]):
-            node, low, high = bundle["node"].to_numpy(), *(bundle[c].to_numpy().view(np.uint64) for c in ("low", "high"))
+            node, sketch = bundle["node"].to_numpy(), np.stack([bundle[c].to_numpy().view(np.uint64) for c in WORDS])
+            far = bundle["far"].to_numpy().astype(np.float64)
             n, classes = len(node), UnionFind(len(node))
-            apart = lambda i, j: np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j])
+            apart = lambda i, j: np.bitwise_count(sketch[:, i] ^ sketch[:, j]).sum(axis=0)
             for i, j in small_pairs(starts, n, SMALL):
-                near = apart(i, j) <= radius
+                near = apart(i, j) <= sketch_radius(far[i], far[j], threshold)
                 classes.join(i[near], j[near])
             roots = classes.roots().copy()
             for a, b in large_groups(starts, n, SMALL):
-                roots[a:b] = a + _reached(np.stack([low[a:b], high[a:b]]), radius)
+                roots[a:b] = a + _reached(sketch[:, a:b], far[a:b], threshold)
             linked = np.flatnonzero(roots != np.arange(n))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[roots[linked]])], ["a", "b"])
 
-    hashed = sized.mapInArrow(hash_, "node long, bucket long, low long, high long")
-    dealt = split_hot(hashed, "bucket", "node", BUCKET, HOT_SAMPLE)
-    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", "low", "high")
+    shape = f"node long, bucket long, {', '.join(f'{w} long' for w in WORDS)}, far float"
+    few = seen.where(F.pmod(F.xxhash64(F.lit("size"), "node"), F.lit(HOT_SAMPLE)) == 0)  # sampled before it is hashed, so that nothing is hashed twice
+    dealt = split_hot(seen.mapInArrow(hash_, shape), "bucket", "node", BUCKET, few.mapInArrow(hash_, shape), HOT_SAMPLE)
+    met = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "node", *WORDS, "far")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _reached(words: np.ndarray, radius: int) -> np.ndarray:
-    """For each sketch (a column of words), the first of those that it reaches in steps of radius bits at most.
+def _reached(words: np.ndarray, far: np.ndarray, threshold: float) -> np.ndarray:
+    """For each sketch (a column of words), the first of those that it reaches in steps of as few bits as two at the threshold may differ in.
 
     Each sketch is compared only with those not reached yet, so a group of near copies takes a few rounds and not all of its pairs.
     """
@@ -169,7 +215,7 @@ def _reached(words: np.ndarray, radius: int) -> np.ndarray:
         ahead = [first]
         while ahead and len(left):
             x = ahead.pop()
-            near = np.bitwise_count(words[:, left] ^ words[:, x, None]).sum(axis=0) <= radius
+            near = np.bitwise_count(words[:, left] ^ words[:, x, None]).sum(axis=0) <= sketch_radius(far[left], far[x], threshold)
             found, left = left[near], left[~near]
             roots[found] = first
             ahead += found.tolist()

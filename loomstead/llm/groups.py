@@ -15,16 +15,15 @@ from loomstead.llm.common import broadcast_if_small, materialise
 BUNDLE = 20_000
 
 
-def split_hot(members: DataFrame, key: str, item: str, limit: int, sample: int = 1) -> DataFrame:
+def split_hot(members: DataFrame, key: str, item: str, limit: int, sampled: DataFrame | None = None, sample: int = 1) -> DataFrame:
     """Adds columns lo, hi and part to members, so that the rows of one (key, lo, hi) can meet in one task.
 
     A group of more than limit members is dealt into parts by a hash of item, and each pair of parts becomes a group of its own, in which every
     pair of members with one in part lo and one in part hi, or both in the one part of lo = hi, is to be compared; so each pair of the whole group
-    is compared in just one task, and tasks hold twice the limit or so. A smaller group has lo = hi = part = 0. With a sample over one, sizes are
-    estimated from one in so many items, picked by hash; all members are dealt either way.
+    is compared in just one task, and tasks hold twice the limit or so. A smaller group has lo = hi = part = 0. With sampled, sizes are estimated from these
+    members, of which there is one for sample items; all members are dealt either way.
     """
-    counted = members.where(F.pmod(F.xxhash64(F.lit("size"), item), F.lit(sample)) == 0) if sample > 1 else members
-    counts = counted.groupBy(key).agg((F.count("*") * sample).alias("n")).where(F.col("n") > limit)
+    counts = (members if sampled is None else sampled).groupBy(key).agg((F.count("*") * sample).alias("n")).where(F.col("n") > limit)
     hot = broadcast_if_small(materialise(counts.select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))))
     part = F.pmod(F.xxhash64(F.lit("part"), item), F.col("parts")).cast("int")
     dealt = members.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -342,3 +343,34 @@ def test_passages_with_empty_lines(spark):
     df = spark.createDataFrame([(d, "\n".join(t)) for d, t in docs.items()], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: "\n".join(docs[1]), 2: f"{line('y')}\n{line('z')}"}
+
+
+def leaning(n, size, seed):
+    """Vectors of length one whose cosines with each other are about 0.7, with near copies of one in twenty at cosine 0.935 to 0.96."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = unit(np.sqrt(0.7) * unit(rng.standard_normal(size)) + np.sqrt(0.3) * unit(rng.standard_normal((n, size))))
+    head = rows[: n // 20]
+    aside = rng.standard_normal(head.shape)
+    aside = unit(aside - (aside * head).sum(axis=1, keepdims=True) * head)
+    cosine = rng.uniform(0.935, 0.96, (len(head), 1))
+    return np.vstack([rows, cosine * head + np.sqrt(1 - cosine**2) * aside])
+
+
+def test_a_label_that_leans_one_way_makes_no_class_of_strangers(spark, monkeypatch):
+    rows = leaning(3000, 96, 2)
+    df = spark.createDataFrame([(i, i, "x", [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, node long, label string, embedding array<double>")
+    near = rows @ rows.T
+    linked = {(i, j) for i, j in np.argwhere(np.triu(near, 1) >= 0.93).tolist()}
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    expected = Counter(x for p in linked for x in p)
+    assert sum(found.values()) >= 0.99 * 2 * len(linked) and all(found[i] <= expected[i] for i in found) and len(linked) >= 150
+
+    def largest():
+        classes = components.connected_components(embedding_dedup.candidate_links(df.withColumnRenamed("embedding", "vector"), 0.93))
+        return classes.groupBy("component").count().agg(F.max("count")).first()[0]
+
+    seen_from_mean = largest()
+    monkeypatch.setattr(embedding_dedup, "CENTRED", 10**9)
+    seen_from_zero = largest()
+    assert seen_from_mean < 100 < 1000 < seen_from_zero, (seen_from_mean, seen_from_zero)
