@@ -126,4 +126,5 @@ def test_reasons_in_their_order(spark):
     words = vocabulary.ORGANISATION_WORDS
     named = spark.createDataFrame([(i, f"Zed {w.title()}s, Qux") for i, w in enumerate(words)] + [(-1, f"{words[3]} {words[1]} Qux")], "i int, n string")
     found = {r.i: r.reason for r in named.select("i", text.not_human_reason(F.col("n"), F.lit(None).cast("string")).alias("reason")).collect()}
-    assert all(found[i] and found[i].startswith("OrgKeywords:") for i in range(len(words))) and found[-1] == f"OrgKeywords:{words[1]}"
+    assert {words[i] for i in range(len(words)) if not (found[i] or "").startswith("OrgKeywords:")} == {"& CO", "& ASSOCIATES"}  # an earlier rule has these
+    assert found[-1] == f"OrgKeywords:{words[1]}"
