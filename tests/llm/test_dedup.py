@@ -374,3 +374,30 @@ def test_a_label_that_leans_one_way_makes_no_class_of_strangers(spark, monkeypat
     monkeypatch.setattr(embedding_dedup, "CENTRED", 10**9)
     seen_from_zero = largest()
     assert seen_from_mean < 100 < 1000 < seen_from_zero, (seen_from_mean, seen_from_zero)
+
+
+def passages(lines, words, n, seed):
+    """n passages, each in two documents between other lines of nine words, three on either side; and the places of their lines in the second ones."""
+    pick = random.Random(seed)
+    line = lambda k: " ".join(f"w{pick.randrange(10**9)}" for _ in range(k))
+    docs = []
+    for i in range(n):
+        body = [line(words) for _ in range(lines)]
+        for side in (0, 1):
+            docs.append((2 * i + side, "\n".join([line(9) for _ in range(3)] + body + [line(9) for _ in range(3)])))
+    return docs
+
+
+#: The share of the lines of repeated passages that go, by lines, words in a line, and spacing; README gives these figures.
+SHARES = {(6, 5): {1: 1.0, 2: 0.36, 4: 0.1}, (2, 30): {1: 1.0, 2: 0.1, 4: 0.03}, (10, 12): {1: 1.0, 2: 0.75, 4: 0.35}}
+
+
+@pytest.mark.parametrize("spacing", [1, 2, 4])
+def test_what_a_spacing_costs(spark, spacing):
+    for (lines, words), shares in SHARES.items():
+        n = 200
+        docs = spark.createDataFrame(passages(lines, words, n, lines), "doc_id long, text string")
+        gone = line_dedup.dedup_lines(docs, spacing=spacing).where("doc_id % 2 = 1").agg(F.sum("n_removed_lines")).first()[0]
+        share = gone / (n * lines)
+        print(f"{lines} lines of {words} words, spacing {spacing}: {share:.2f}")
+        assert abs(share - shares[spacing]) <= (0 if spacing == 1 else 0.12), (lines, words, spacing, share)

@@ -504,3 +504,31 @@ def test_stages_keep_clashing_columns(spark):
         assert stage(spark, wide.limit(0), SMALL).count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, wide, SMALL).collect()
     assert {r.doc_id for r in pieces} == {r[0] for r in rows} | {None, 10**9, 10**9 + 1}
+
+
+def test_held_out_labels_of_urls(spark):
+    """Labels hidden from the tree, one in five, are told by it from the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    known = pages.select("page_id", host.alias("host"), path.alias("path"))
+    _, verdict = url_filter.match_rules(F.col("host"), F.col("path"), url_filter.RULES)
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
+    known = known.withColumns({"truth": verdict, "segments": segments, "hidden": F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0})
+    seen = [F.count_if((F.col("truth") == v) & ~F.col("hidden")).alias(c) for v, c in (("block", "blocked"), ("allow", "allowed"))]
+    told = url_filter.templates(known.groupBy("host", "segments").agg(*seen, F.count("*").alias("urls")))
+    hidden = known.where("hidden and truth is not null").join(told, ["host", "segments"]).select("host", "truth", F.col("template_verdict").alias("said")).collect()
+    bad = sum(r.truth == "block" for r in hidden)
+    right = sum(r.truth == r.said == "block" for r in hidden)
+    wrong = sum(r.truth == "allow" and r.said == "block" for r in hidden)
+    print(f"hidden {len(hidden)}, blocked {bad}, found {right}, wrongly blocked {wrong}")
+    by_host = Counter((r.host.rsplit(".", 1)[-1], r.truth, r.said) for r in hidden)
+    print(sorted(by_host.items()))
+    assert bad > 30 and len(hidden) - bad > 30 and right >= 0.9 * bad and wrong <= 0.02 * (len(hidden) - bad)
+
+
+def test_urls_without_rows_and_very_long(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(pages).count() == 0
+    urls = ["http://a.net/" + "x" * 200_000, "http://a.net/" + "y/" * 300 + "z?q", "http://" + "h" * 100_000, "http://b.net/es/" + "1" * 50_000]
+    got = judged(spark, urls)
+    assert got[0].path == "/" + "x" * 200_000 and got[1].path == "/" + "y/" * 300 + "z" and len(got[2].host) == 100_000 and got[3].verdict == "block"
