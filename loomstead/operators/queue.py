@@ -67,8 +67,8 @@ def in_flight(processed: Column, total: Column, claimed_at: Column, now: Column)
 
 
 def next_window_end(last: Column, now: Column) -> Column:
-    """The end of the next incremental window: a day on at most; now if there was none."""
-    return F.coalesce(F.least(last + F.expr("interval 24 hours"), now), now)
+    """The end of the next incremental window: a day on at most; now if there was none. A last one after now is an error."""
+    return F.when(last > now, F.raise_error(F.lit("the current time cannot come before the last one")).cast("timestamp_ntz")).otherwise(F.coalesce(F.least(last + F.expr("interval 24 hours"), now), now))
 
 
 def advanced(cursor: Column, seen: Column) -> Column:

@@ -77,11 +77,28 @@ def keyword_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{R.WITH} SELECT study_id, status FROM studies s WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = s.study_id AND l_linestatus IN ('O'))
   AND EXISTS (SELECT 1 FROM conditions c JOIN descriptors d USING (descriptor_id) WHERE c.study_id = s.study_id AND d.name IN (SELECT p_name FROM part WHERE p_partkey <= 20))""")
 def semi_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = registry(spark, sf_dir)
-    found = apply_filters(tables, Criteria(phases=["PHASE_O"]))
-    names = R.table(spark, sf_dir, "part").where("p_partkey <= 20").select(F.col("p_name").alias("name"))
-    wanted = tables.descriptors.join(names, "name", "left_semi")
-    return found.join(tables.conditions.join(wanted, "descriptor_id", "left_semi"), "study_id", "left_semi").select("study_id", "status")
+    names = [r.p_name for r in R.table(spark, sf_dir, "part").where("p_partkey <= 20").select("p_name").distinct().collect()]  # what a user picks, twenty at most
+    return apply_filters(registry(spark, sf_dir), Criteria(phases=["PHASE_O"], conditions=names)).select("study_id", "status")
+
+
+@query(f"""{R.WITH} SELECT study_id, status, o_totalprice > 300000 AS removed FROM studies JOIN orders ON o_orderkey = study_id WHERE status = 'COMPLETED' AND o_totalprice <= 300000""")
+def removed_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed studies without those removed."""
+    return with_removed(spark, sf_dir, Criteria(statuses=["COMPLETED"]))
+
+
+@query(f"""{R.WITH} SELECT study_id, status, o_totalprice > 300000 AS removed FROM studies JOIN orders ON o_orderkey = study_id WHERE status = 'COMPLETED'""")
+def removed_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed studies, those removed too."""
+    return with_removed(spark, sf_dir, Criteria(statuses=["COMPLETED"], include_removed=True))
+
+
+def with_removed(spark: SparkSession, sf_dir: str, criteria: Criteria) -> DataFrame:
+    """A search over studies of which the dearest were removed on the day after their start."""
+    found = registry(spark, sf_dir)
+    prices = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("study_id"), "o_totalprice")
+    found.studies = found.studies.join(prices, "study_id").withColumn("removed_at", F.when(F.col("o_totalprice") > 300000, F.date_add("start_date", 1)))
+    return apply_filters(found, criteria).select("study_id", "status", F.col("removed_at").isNotNull().alias("removed"))
 
 
 @query(f"""{R.WITH} SELECT study_id, status FROM studies s WHERE EXISTS (SELECT 1 FROM conditions c JOIN descriptors d USING (descriptor_id)

@@ -70,6 +70,32 @@ def utilisation(raw: DataFrame, year: int) -> DataFrame:
     )
 
 
+#: Rows that a look-up of a provider's use gives at most, and those that its first record is taken of; of services; of providers by name and by organisation.
+# Fixed values.
+MOST_YEARS, FIRST_OF, MOST_SERVICES, MOST_BY_NAME, MOST_BY_ORGANISATION = 20, 5, 200, 20, 5
+
+
+def first_rows(found: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """The first rows of each key by an order; those without a key, or with a blank one, were not looked up. Spark cuts groups before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return found.where(~blank(F.col(key))).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def searched(pages: DataFrame, most: int, state: str | None = None) -> DataFrame:
+    """Pages with the results that a search gives: the first so many, of those with an address in a state if one is asked for."""
+    results = F.coalesce("results", F.array().cast(pages.schema["results"].dataType))
+    if state and state.strip():
+        results = F.filter(results, lambda r: F.exists(r["addresses"], lambda a: F.upper(a["state"]) == state.strip().upper()))
+    return pages.withColumn("results", F.slice(results, 1, most))
+
+
+def organisations(pages: DataFrame, state: str | None = None) -> DataFrame:
+    """(query, number, organisation, city, state) of searches by an organisation's name, in a state or anywhere; its practice address before others."""
+    cut = searched(pages, MOST_BY_ORGANISATION, state).select("query", F.explode("results").alias("r"))
+    address = F.coalesce(F.get(F.filter("r.addresses", lambda a: a["address_purpose"] == "LOCATION"), F.lit(0)), F.get("r.addresses", F.lit(0)))
+    return cut.select("query", F.col("r.number").alias("number"), F.col("r.basic.organization_name").alias("organisation"), address["city"].alias("city"), address["state"].alias("state"))
+
+
 def payments(pages: dict[str, DataFrame]) -> DataFrame:
     """Payments of several families, each with its type."""
     parts = [
