@@ -32,6 +32,12 @@ def incremental(payload: Column) -> Column:
     return F.when((count >= 0) & (only | (first <= last)), F.struct(count.alias("count"), first.alias("from"), last.alias("to")))
 
 
+def written(count: Column, first: Column, last: Column) -> Column:
+    """The payload of an incremental event, as incremental() reads it: times in UTC, and one that isn't there written as null."""
+    at = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.to_json(F.struct(count.alias("count"), at(first).alias("from"), at(last).alias("to")), {"ignoreNullFields": "false"})
+
+
 def number(value: Column) -> Column:
     """A number given as such or as text."""
     return value.cast("string").try_cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,24 @@ def match_features(person: Column, candidate: Column, table: dict[str, list[str]
         "orcid_match": F.coalesce(ours, F.lit(False)),
         "deactivated": F.coalesce(F.upper(candidate["status"]) == "D", F.lit(False)),
     }
+
+
+def stored_candidate(row: Column) -> Column:
+    """A candidate as match_features() takes it, from what was stored of one.
+
+    row: struct of full_name ("first last" as it was stored; one word is a last name), middle, credential, organisation, city, state, specialty, license,
+    license_state, status, and other_names and identifiers in JSON. An address is there if a city or a state is, and a specialty if any of its parts is; what
+    isn't valid JSON counts as missing.
+    """
+    words = F.filter(F.split(F.coalesce(row["full_name"], F.lit("")), r"\s+"), lambda w: w != "")
+    there = lambda *fields: reduce(lambda a, b: a | b, (known(row[f]).isNotNull() for f in fields))
+    address = F.struct(F.lit("LOCATION").alias("purpose"), row["city"].alias("city"), row["state"].alias("state"))
+    taxonomy = F.struct(row["specialty"].alias("desc"), F.lit(True).alias("main"), row["license_state"].alias("state"))
+    several = lambda value, shape: F.from_json(known(value), f"array<struct<{shape}>>")
+    others = F.transform(several(row["other_names"], "last_name: string, organization_name: string"), lambda o: F.struct(o["last_name"].alias("last"), o["organization_name"].alias("organisation")))
+    ids = F.transform(several(row["identifiers"], "identifier_type: string, identifier: string"), lambda i: F.struct(i["identifier_type"].alias("type"), i["identifier"].alias("identifier")))
+    return F.struct(
+        row["status"].alias("status"), F.when(F.size(words) > 1, F.get(words, F.lit(0))).alias("first"), F.get(words, F.size(words) - 1).alias("last"), row["middle"].alias("middle"),
+        row["credential"].alias("credential"), row["organisation"].alias("organisation"), others.alias("other_names"), F.when(there("city", "state"), F.array(address)).alias("addresses"),
+        F.when(there("specialty", "license", "license_state"), F.array(taxonomy)).alias("taxonomies"), ids.alias("identifiers"),
+    )

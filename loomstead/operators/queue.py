@@ -146,3 +146,21 @@ def source_states(commands: DataFrame) -> DataFrame:
     return commands.groupBy("source").agg(
         status.alias("status"), last(F.col("error"), set_error).alias("error"), last(F.col("value"), is_("schedule")).alias("next_run"), manual.alias("manual_mode")
     )
+
+
+def requeued(subjects: DataFrame, events: DataFrame, event_type: str, now: Column, subject: str = "subject") -> DataFrame:
+    """events with a pending one of a type, made now, for each distinct subject that has none but dead ones of that type; columns not told are null."""
+    held = events.where((F.col("event_type") == event_type) & (F.col("status") != "dead-letter")).select(F.col("data").alias("_data"))
+    open_ = subjects.select(F.col(subject).cast("string").alias("_data")).where(F.col("_data").isNotNull()).distinct().join(held, "_data", "left_anti")
+    told = {"event_type": F.lit(event_type), "data": F.col("_data"), "status": F.lit("pending"), "created_at": now, "updated_at": now}
+    return events.unionByName(open_.select(*(told[c].cast(events.schema[c].dataType).alias(c) for c in told if c in events.columns)), allowMissingColumns=True)
+
+
+def looked_up_again(persons: DataFrame, candidates: DataFrame, events: DataFrame, event_type: str, now: Column, person: str = "person_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persons, candidates, events) after those humans whose look-up ended ambiguous start anew: no result and no candidates, and each has an event."""
+    again = F.coalesce((F.col("result") == "ambiguous") & F.col("human"), F.lit(False))
+    found = persons.where(again).select(F.col(person).alias("_again")).distinct()
+    told = {"event_type": F.lit(event_type), "data": F.col("_again").cast("string"), "status": F.lit("pending"), "created_at": now, "updated_at": now}
+    more = found.select(*(told[c].cast(events.schema[c].dataType).alias(c) for c in told if c in events.columns))
+    cleared = persons.withColumn("result", F.when(~again, F.col("result")))
+    return cleared, candidates.join(found, candidates[person] == found["_again"], "left_anti"), events.unionByName(more, allowMissingColumns=True)

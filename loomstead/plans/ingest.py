@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstead.functions import payloads as P
 from loomstead.functions import text as T
 from loomstead.functions import vocabulary as V
 from loomstead.operators import backfill as B
 from loomstead.operators import intervals as I
 from loomstead.operators import metrics as M
+from loomstead.operators import queue as Q
 from loomstead.operators import upsert as U
 from loomstead.plans import roles as R
 from loomstead.plans.registry import query
@@ -263,3 +265,46 @@ def enrichment_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What looking persons up told, of humans only; those not looked up yet are pending."""
     told = F.coalesce(F.when(F.col("npi").isNotNull(), "found").otherwise(F.col("result")), F.lit("pending"))
     return looked_up(spark, sf_dir).where("human").groupBy(told.alias("result")).agg(F.count("*").alias("n"))
+
+
+# --- work that comes again
+
+AGAIN_SQL = """ev AS (SELECT 'investigator.discovered' AS event_type, CAST(l_suppkey AS VARCHAR) AS data, CASE WHEN l_discount < 0.05 THEN 'dead-letter' ELSE 'completed' END AS status FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1
+    UNION ALL SELECT 'other', CAST(s_suppkey AS VARCHAR), 'pending' FROM supplier)"""
+
+
+def work_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = R.table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_linenumber = 1")
+    status = F.when(F.col("l_discount") < 0.05, "dead-letter").otherwise("completed")
+    own = lines.select(F.lit("investigator.discovered").alias("event_type"), F.col("l_suppkey").cast("string").alias("data"), status.alias("status"))
+    return own.unionByName(R.table(spark, sf_dir, "supplier").select(F.lit("other").alias("event_type"), F.col("s_suppkey").cast("string").alias("data"), F.lit("pending").alias("status")))
+
+
+@query(f"""WITH {AGAIN_SQL} SELECT event_type, status, count(*) AS n FROM (SELECT * FROM ev UNION ALL SELECT 'investigator.discovered', CAST(s_suppkey AS VARCHAR), 'pending' FROM supplier
+  WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT data FROM ev WHERE event_type = 'investigator.discovered' AND status <> 'dead-letter')) GROUP BY 1, 2""")
+def requeued_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after each person without a live event of a type got one, by type and status."""
+    after = Q.requeued(R.table(spark, sf_dir, "supplier"), work_events(spark, sf_dir), "investigator.discovered", F.lit(R.AS_OF), "s_suppkey")
+    return after.groupBy("event_type", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PERSONS_SQL.replace("c_custkey,", "c_custkey AS id,", 1)} SELECT (SELECT count(*) FROM p WHERE result = 'ambiguous' AND NOT human) AS ambiguous, (SELECT count(*) FROM orders JOIN p ON id = o_custkey WHERE NOT coalesce(result = 'ambiguous' AND human, false)) AS candidates,
+  (SELECT count(*) FROM p WHERE result = 'ambiguous' AND human) AS queued""")
+def ambiguous_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons that stay ambiguous, candidates that are left, and look-ups queued after ambiguous ones start anew; orders stand for candidates."""
+    persons = R.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("person_id"), F.when(F.col("c_acctbal") < -500, "not_found").when(F.col("c_acctbal") < -200, "ambiguous").alias("result"), (F.col("c_mktsegment") != "BUILDING").alias("human")
+    )
+    stored = R.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person_id"))
+    none = work_events(spark, sf_dir).limit(0)
+    cleared, left, queued = Q.looked_up_again(persons, stored, none, "investigator.enrichment", F.lit(R.AS_OF))
+    counts = [cleared.where("result = 'ambiguous'").agg(F.count("*").alias("ambiguous")), left.agg(F.count("*").alias("candidates")), queued.agg(F.count("*").alias("queued"))]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # a row each
+
+
+@query("SELECT user_id, CAST('{\"count\":' || count(*) || ',\"from\":\"' || strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') || '\",\"to\":\"' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') || '\"}' AS VARCHAR) AS payload, count(*) AS n FROM events GROUP BY 1")
+def window_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of discoveries, and the counts that are read from them again."""
+    found = R.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    told = found.select("user_id", P.written(F.col("n"), F.col("a"), F.col("b")).alias("payload"))
+    return told.select("user_id", "payload", P.incremental(F.col("payload"))["count"].alias("n"))

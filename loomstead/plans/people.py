@@ -163,9 +163,9 @@ scored AS (SELECT *, coalesce(state, false) OR coalesce(specialty, false) OR cit
   / (40 + CASE WHEN middle_name IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN state IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN specialty IS NOT NULL THEN 15 ELSE 0 END + 5) END AS score FROM candidates)"""
 
 
-def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compared(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
     """(person_id, number and the match features) of each candidate: customers named as the part of their number stand for persons, and the part and
-    supplier of an order's first line for what a registry says of a candidate."""
+    supplier of an order's first line for what a registry says of a candidate; with stored, for what was kept of it in flat columns and JSON."""
     t = lambda name: R.table(spark, sf_dir, name)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     place = lambda side, key: F.broadcast(places.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(f"{side}_state"), F.col("r_name").alias(f"{side}_city")))  # noqa: E731  nations are few
@@ -192,6 +192,14 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(taxonomy(F.lit("promo"), False, F.lit("-")), taxonomy(F.col("found_type"), True, F.col("found_state"))).alias("taxonomies"),
         F.array(F.struct(F.lit("17").alias("type"), F.col("l_partkey").cast("string").alias("identifier"))).alias("identifiers"),
     )
+    if stored:
+        json = lambda **fields: F.to_json(F.array(F.struct(*(c.alias(n) for n, c in fields.items()))))
+        candidate = N.stored_candidate(F.struct(
+            F.concat_ws(" ", word("found", 0), word("found", 1)).alias("full_name"), F.col("found_type").alias("middle"), F.col("found_brand").alias("credential"), F.col("found_brand").alias("organisation"),
+            F.col("found_city").alias("city"), F.col("found_state").alias("state"), F.col("found_type").alias("specialty"), F.lit(None).cast("string").alias("license"), F.col("found_state").alias("license_state"),
+            F.when(F.col("o_orderstatus") == "P", "D").otherwise("A").alias("status"), json(last_name=word("found", 0), organization_name=F.col("found_brand")).alias("other_names"),
+            json(identifier_type=F.lit("17"), identifier=F.col("l_partkey").cast("string")).alias("identifiers"),
+        ))
     both = joined.select(F.col("c_custkey").alias("person_id"), F.col("o_orderkey").alias("number"), "person", candidate.alias("candidate"))
     features = both.select("person_id", "number", *(c.alias(n) for n, c in N.match_features(F.col("person"), F.col("candidate"), FIELDS).items()))
     return R.written(features, "features")  # fourteen narrow columns, read by scores, models and resolution as often as they like
@@ -203,6 +211,12 @@ def npi_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir)
 
 
+@query(f"WITH {CANDIDATES_SQL} SELECT * FROM compared")
+def npi_stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of candidates that were stored and are rebuilt from their rows."""
+    return compared(spark, sf_dir, stored=True)
+
+
 #: Columns of match features by the names that a stored model knows them by.
 MATCHES = {
     "middle_name_match": "middle_name", "credential_match": "credential", "state_match": "state", "city_match": "city", "org_match": "organisation", "other_name_match": "other_name",
