@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -117,7 +117,9 @@ def npi_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = VectorAssembler(inputCols=list(vector), outputCol="raw").transform(filled)
     train = frame.where("not held_out")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(scaler.transform(train))
+    fitted, path = LogisticRegression(maxIter=20, regParam=0.01).fit(scaler.transform(train)), scratch(spark, "model")
+    fitted.save(path)
+    model = LogisticRegressionModel.load(path)  # without its training summary, which drags a session along that can't be sent once it has observed a batch
     told = model.transform(scaler.transform(frame.where("held_out")))
     auc = BinaryClassificationEvaluator().evaluate(told)
     sure = vector_to_array("probability")[1] >= 0.6
