@@ -66,9 +66,11 @@ def in_flight(processed: Column, total: Column, claimed_at: Column, now: Column)
     return [percent.alias("percent"), rate.alias("rate_per_min"), left.alias("minutes_left")]
 
 
-def next_window_end(last: Column, now: Column) -> Column:
-    """The end of the next incremental window: a day on at most; now if there was none. A last one after now is an error."""
-    return F.when(last > now, F.raise_error(F.lit("the current time cannot come before the last one")).cast("timestamp_ntz")).otherwise(F.coalesce(F.least(last + F.expr("interval 24 hours"), now), now))
+def next_window_end(last: Column, now: Column, strict: bool = False) -> Column:
+    """The end of the next incremental window: a day on at most; now if there was none. With strict, a last one after now is an error, else it ends now."""
+    end = F.coalesce(F.least(last + F.expr("interval 24 hours"), now), now)
+    wrong = F.raise_error(F.lit("the current time cannot come before the last one")).cast("timestamp_ntz")
+    return F.when(last > now, wrong).otherwise(end) if strict else end
 
 
 def advanced(cursor: Column, seen: Column) -> Column:

@@ -9,8 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomstead.functions import text, vocabulary
-from loomstead.operators import documents, metrics, upsert
+from loomstead.functions import payloads, text, vocabulary
+from loomstead.operators import documents, metrics, npi, queue, upsert
 from loomstead.plans.streams import sliced
 
 
@@ -128,3 +128,40 @@ def test_reasons_in_their_order(spark):
     found = {r.i: r.reason for r in named.select("i", text.not_human_reason(F.col("n"), F.lit(None).cast("string")).alias("reason")).collect()}
     assert {words[i] for i in range(len(words)) if not (found[i] or "").startswith("OrgKeywords:")} == {"& CO", "& ASSOCIATES"}  # an earlier rule has these
     assert found[-1] == f"OrgKeywords:{words[1]}"
+
+
+def test_the_next_window(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ'2024-01-01 00:00', TIMESTAMP_NTZ'2024-01-03 00:00'), (2, TIMESTAMP_NTZ'2024-01-02 12:00', TIMESTAMP_NTZ'2024-01-03 00:00'), (3, NULL, TIMESTAMP_NTZ'2024-01-03 00:00') AS t(i, a, b)")
+    ends = [r.e.day for r in df.orderBy("i").select(queue.next_window_end(F.col("a"), F.col("b"), strict=True).alias("e")).collect()]
+    assert ends == [2, 3, 3]
+    with pytest.raises(Exception, match="cannot come before"):
+        df.select(queue.next_window_end(F.col("b"), F.col("a"), strict=True)).collect()
+
+
+def test_payloads_are_read_as_they_were_written(spark):
+    df = spark.createDataFrame([(3, dt.datetime(2024, 1, 1, 2, 3), dt.datetime(2024, 1, 2)), (0, None, None)], "n long, a timestamp, b timestamp")
+    got = df.select(payloads.written(F.col("n"), F.col("a"), F.col("b")).alias("p")).select("p", payloads.incremental(F.col("p")).alias("r")).collect()
+    assert got[0].p == '{"count":3,"from":"2024-01-01T02:03:00Z","to":"2024-01-02T00:00:00Z"}' and got[1].p == '{"count":0,"from":null,"to":null}'
+    assert got[0].r["count"] == 3 and got[0].r["from"] == dt.datetime(2024, 1, 1, 2, 3) and got[1].r["count"] == 0 and got[1].r["from"] is None
+
+
+def test_candidates_from_stored_rows(spark):
+    names = "full_name middle credential organisation city state specialty license license_state status other_names identifiers".split()
+    rows = [
+        ("Jane van Doe", "Q", "MD", "Acme", "Rome", None, None, "L1", " ", "D", '[{"last_name":"Roe","organization_name":null}]', '[{"identifier_type":"17","identifier":"x"}]'),
+        ("Doe", None, None, None, " ", None, " ", None, None, None, "not json", None), (None,) * 12,
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    one, two, none = (r.c for r in df.select(npi.stored_candidate(F.struct(*names)).alias("c")).collect())
+    assert (one["first"], one["last"], one.middle, one.status) == ("Jane", "Doe", "Q", "D") and [tuple(a) for a in one.addresses] == [("LOCATION", "Rome", None)]
+    assert [tuple(t) for t in one.taxonomies] == [(None, True, " ")] and [tuple(o) for o in one.other_names] == [("Roe", None)] and [tuple(i) for i in one.identifiers] == [("17", "x")]
+    assert (two["first"], two["last"], two.addresses, two.taxonomies) == (None, "Doe", None, None) and not two.other_names
+    assert none["last"] is None and none.identifiers is None
+
+
+def test_work_is_queued_again_once(spark):
+    events = spark.createDataFrame([("a", "1", "completed"), ("a", "2", "dead-letter"), ("b", "3", "pending")], "event_type string, data string, status string")
+    subjects = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "subject long")
+    after = queue.requeued(subjects, events, "a", F.lit("2024-01-01"))
+    assert sorted(map(tuple, after.collect())) == [("a", "1", "completed"), ("a", "2", "dead-letter"), ("a", "2", "pending"), ("a", "3", "pending"), ("b", "3", "pending")]
+    assert queue.requeued(subjects, after, "a", F.lit("2024-01-01")).count() == after.count()
