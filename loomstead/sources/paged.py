@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -214,7 +215,7 @@ class PagedWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = located(self.path)
         system.create_dir(folder, recursive=True)
-        pages, held = [], []
+        pages, held, task = [], [], TaskContext.get().partitionId()
 
         def flush(n: int) -> None:
             name = f"page-{self.run}-{uuid.uuid4().hex}.json"
@@ -222,7 +223,7 @@ class PagedWriter(DataSourceArrowWriter):
                 file.write(('{"studies":[' + ",".join(held[:n]) + "]}").encode())
             days = [updated_of(json.loads(s)) for s in held[:n]]
             dated = [d.isoformat() for d in days if d]
-            pages.append({"file": name, "count": n, "first": min(dated, default=None), "last": max(dated, default=None), "undated": n - len(dated)})
+            pages.append({"file": name, "count": n, "first": min(dated, default=None), "last": max(dated, default=None), "undated": n - len(dated), "written": [task, len(pages)]})
             del held[:n]
 
         for batch in iterator:
@@ -235,7 +236,7 @@ class PagedWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = located(self.path)
-        pages = sorted((p for m in messages if m for p in m.pages), key=lambda p: (p["first"] or "9999", p["last"] or "9999", p["file"]))
+        pages = sorted((p for m in messages if m for p in m.pages), key=lambda p: (p["first"] or "9999", p["last"] or "9999", p["written"]))  # pages of one day stay as they were written
         number = max(commits(self.path), default=-1) + 1
         hidden = posixpath.join(folder, f"_commit-{self.run}")
         with system.open_output_stream(hidden) as file:

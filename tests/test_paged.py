@@ -119,3 +119,12 @@ def test_pages_without_a_commit_do_not_count(spark, tmp_path):
     assert paged.read_window(spark, path).count() == 26 and len(paged.commits(path)) == 2
     with pytest.raises(Exception, match="only ever added"):
         studies(spark, []).selectExpr("1 AS commit", "1 AS page", "1 AS place", "updated", "study").write.format(paged.FORMAT).option("path", path).mode("overwrite").save()
+
+
+def test_pages_of_one_day_keep_the_order_of_keys(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    rows = [(i, dt.date(2024, 1, 1 + i % 2)) for i in range(120)]
+    paged.write_pages(studies(spark, rows[::-1]), path, 3)
+    found = paged.first_updated(spark, path, 100)
+    got = [r[0] for r in found.select(F.get_json_object("study", "$.protocolSection.identificationModule.nctId").cast("long")).collect()]
+    assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))][:100]
