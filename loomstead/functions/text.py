@@ -243,8 +243,9 @@ def non_english(value: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A number with six decimals at most and no zeros at its end."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value.cast("double")), "0+$", ""), r"\.$", "")
+    """A number with six decimals at most and no zeros at its end; zero has no sign."""
+    unsigned = F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"^-(?=0\.0+$)", "")
+    return F.regexp_replace(F.regexp_replace(unsigned, "0+$", ""), r"\.$", "")
 
 
 def quoted(value: Column) -> Column:

@@ -151,3 +151,7 @@ def test_in_flight(spark):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
     row = spark.range(1).select(*queue.in_flight(F.lit(50), F.lit(200), at("2024-01-01 00:00:00"), at("2024-01-01 00:10:00"))).first()
     assert tuple(row) == (25.0, 5.0, 30.0)
+
+
+def test_zero_has_no_sign(spark):
+    assert [one(spark, text.number_text(F.lit(x))) for x in (-0.0, -0.0000001, 0.0, -0.5, -100.0)] == ["0", "0", "0", "-0.5", "-100"]
