@@ -432,7 +432,7 @@ def vocabulary_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(concept("p_brand", "N", "p_type", "p_name"), concept("p_name", "Y", "p_name")).alias("Concept")).alias("ConceptList"),
     )
     path = scratch(spark, "vocabulary")
-    records.write.format("xml").options(rowTag="DescriptorRecord", rootTag="DescriptorRecordSet").save(path)
+    S.write_vocabulary(records, path)
     found = S.vocabulary_records(spark, path)
     return found.select("cui", "name", F.array_join("tree_numbers", "|").alias("numbers"), F.array_join("synonyms", "|").alias("synonyms"))
 

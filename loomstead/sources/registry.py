@@ -192,6 +192,15 @@ def page_terms(studies: DataFrame) -> DataFrame:
     return studies.select(F.explode(every).alias("term")).where(~blank(F.col("term"))).select(F.regexp_replace("term", r"^\s+|\s+$", "").alias("term")).distinct()
 
 
+#: Descriptors of a file of the vocabulary: a reader can't split a file in XML, so this bounds what one task reads.
+RECORDS_A_FILE = 20_000
+
+
+def write_vocabulary(records: DataFrame, path: str, most: int = RECORDS_A_FILE) -> None:
+    """Descriptors (DescriptorUI and the other fields of a record) as files of XML, each with so many at most, by tasks that share them evenly."""
+    records.repartition("DescriptorUI").write.format("xml").options(rowTag="DescriptorRecord", rootTag="DescriptorRecordSet", maxRecordsPerFile=most).save(path)
+
+
 def vocabulary_records(spark: SparkSession, path: str) -> DataFrame:
     """(cui, name, tree_numbers, synonyms) from a vocabulary in XML, one element DescriptorRecord a descriptor."""
     return record_rows(spark.read.schema(schemas.DESCRIPTOR_RECORD).option("rowTag", "DescriptorRecord").format("xml").load(path))

@@ -165,3 +165,14 @@ def test_work_is_queued_again_once(spark):
     after = queue.requeued(subjects, events, "a", F.lit("2024-01-01"))
     assert sorted(map(tuple, after.collect())) == [("a", "1", "completed"), ("a", "2", "dead-letter"), ("a", "2", "pending"), ("a", "3", "pending"), ("b", "3", "pending")]
     assert queue.requeued(subjects, after, "a", F.lit("2024-01-01")).count() == after.count()
+
+
+def test_a_vocabulary_is_written_as_files_of_bounded_size(spark, tmp_path):
+    from loomstead.sources import registry
+
+    path = str(tmp_path / "vocabulary")
+    records = spark.range(1000).coalesce(1).select(F.concat(F.lit("D"), F.col("id").cast("string")).alias("DescriptorUI"), F.struct(F.lit("n").alias("String")).alias("DescriptorName"))
+    registry.write_vocabulary(records, path, 50)
+    found = registry.vocabulary_records(spark, path)
+    assert found.select("cui").distinct().count() == found.count() == 1000
+    assert len(found.inputFiles()) >= 20
