@@ -27,10 +27,10 @@ def term_grams(term: Column) -> Column:
     return F.when(short >= LENGTH, grams(term)).when(short == 2, grams(term, 2)).when(short == 1, grams(term, 1)).otherwise(F.array().cast("array<string>"))
 
 
-def postings(texts: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, gram): the grams of one, two and three letters of each row's texts; to be kept as a table, sorted by gram."""
+def postings(texts: DataFrame, key: str, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, those of keep, gram): the grams of one, two and three letters of each row's texts; to be kept as a table, sorted by gram."""
     every = [grams(F.col(c).cast("string"), n) for c in columns for n in (1, 2, LENGTH)]
-    return texts.select(key, F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
+    return texts.select(key, *keep, F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
 
 
 def candidates(index: DataFrame, key: str, keyword: str) -> DataFrame:
@@ -42,15 +42,29 @@ def candidates(index: DataFrame, key: str, keyword: str) -> DataFrame:
     return held.where(F.col("n") == len(wanted)).select(key)
 
 
-def holding(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "text", term: str = "term") -> DataFrame:
-    """(term, key) for each distinct term and each key of whose texts one holds it, in any case. Null and empty terms are held by none."""
+#: Distinct terms up to which they are broadcast, and texts stay where they are.
+FEW_TERMS = 10_000
+
+
+def holding(texts: DataFrame, terms: DataFrame, key: str = "key", text: str = "text", term: str = "term", few: int = FEW_TERMS) -> DataFrame:
+    """(term, key) for each distinct term and each key of whose texts one holds it, in any case. Null and empty terms are held by none.
+
+    Up to few terms are counted and broadcast; more of them meet the postings in shuffles. Texts and postings are never broadcast: explode() hides their
+    size from Spark's estimates.
+    """
     asked = terms.select(F.lower(F.col(term)).alias("low"), F.col(term).alias("term")).where(F.length("low") > 0).distinct()
+    shared = asked.count() <= few
+    side = F.broadcast if shared else lambda df: df.hint("merge")
     of_terms = asked.select("low").distinct().select("low", F.explode(term_grams(F.col("low"))).alias("gram"))
-    rows = texts.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("held")).where(F.col("held").isNotNull())
-    known = postings(rows, "key", "held").join(of_terms.select("gram").distinct(), "gram", "left_semi")
+    rows = texts.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("held")).where(F.col("held").isNotNull()).repartition("key")  # grams take more work than a small file's few tasks
+    known = postings(rows, "key", "held").join(side(of_terms.select("gram").distinct()), "gram", "left_semi")
     counts = known.groupBy("gram").agg(F.count("*").alias("n"))
     order = Window.partitionBy("low").orderBy("n", "gram")
-    rarest = of_terms.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    near = rarest.where("n > 0").select("low", "gram").join(known, "gram").select("low", "key").distinct()
-    found = near.join(rows, "key").where(F.contains("held", F.col("low"))).select("low", "key").distinct()
-    return found.join(asked, "low").select("term", F.col("key").alias(key))
+    rarest = of_terms.join(side(counts), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    near = side(rarest.where("n > 0").select("low", "gram"))
+    if shared:
+        found = postings(rows, "key", "held", keep=("held",)).join(near, "gram")
+    else:
+        found = known.join(near, "gram").select("low", "key").distinct().join(rows.hint("merge"), "key")
+    found = found.where(F.contains("held", F.col("low"))).select("low", "key").distinct()
+    return found.join(side(asked), "low").select("term", F.col("key").alias(key))

@@ -38,3 +38,14 @@ def test_places_are_found_without_a_nested_loop(spark):
 
     plan = QUERIES["geo_fallback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_texts_are_never_broadcast(spark):
+    pick = random.Random(3)
+    texts = spark.createDataFrame([(i, "".join(pick.choices("abcAB ", k=8))) for i in range(100)] + [(3, "abc"), (900, None)], "id long, t string")
+    terms = spark.createDataFrame([("".join(pick.choices("abcAB ", k=pick.randint(1, 4))),) for _ in range(60)] + [(None,), ("",)], "w string")
+    few, many = (trigrams.holding(texts, terms, "id", "t", "w", few=n) for n in (100, 0))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) != []
+
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
