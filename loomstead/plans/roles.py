@@ -69,8 +69,9 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def role() -> Column:
-    return F.when(F.col("l_returnflag") == "R", "PRINCIPAL_INVESTIGATOR").when(F.col("l_returnflag") == "A", "SUB_INVESTIGATOR").otherwise("STUDY_DIRECTOR")
+def role(flag: Column | None = None) -> Column:
+    flag = F.col("l_returnflag") if flag is None else flag
+    return F.when(flag == "R", "PRINCIPAL_INVESTIGATOR").when(flag == "A", "SUB_INVESTIGATOR").otherwise("STUDY_DIRECTOR")
 
 
 def investigators(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,13 @@ def test_a_vocabulary_is_written_as_files_of_bounded_size(spark, tmp_path):
     found = registry.vocabulary_records(spark, path)
     assert found.select("cui").distinct().count() == found.count() == 1000
     assert len(found.inputFiles()) >= 20
+
+
+def test_facts_tell_of_several_children(spark):
+    studies = spark.createDataFrame([(1, "NCT1"), (2, "NCT2")], "study_id long, nctId string")
+    facts = spark.createDataFrame([(1, "b", True), (1, "a", False), (1, "a", False), (1, None, True), (9, "c", True), (None, "d", True)], "study_id long, word string, cited boolean")
+    told = {"keywords": lambda x: x["word"], "references": lambda x: F.when(x["cited"], documents.child("references", pmid=x["word"]))}
+    found = documents.study_documents(studies, {}, "study_id", facts, told)
+    got = {r.study_id: json.loads(r.d) for r in found.select("study_id", F.to_json("document", {"ignoreNullFields": "false"}).alias("d")).collect()}
+    assert set(got) == {1, 2} and got[2]["keywords"] == got[2]["references"] == got[1]["phases"] == []
+    assert got[1]["keywords"] == ["a", "b"] and [r["pmid"] for r in got[1]["references"]] == [None, "b"]
