@@ -11,10 +11,14 @@ from loomstead.plans.registry import query
 from loomstead.sources import registry as S
 
 
+#: Pages of a file.
+PAGES_A_FILE = 500_000
+
+
 def reread(rows: DataFrame, schema: str, name: str) -> DataFrame:
-    """Rows as JSON, a page a line, read with a declared schema."""
+    """Rows as JSON, a page a line, in compressed files of bounded size (a reader can't split them), read with a declared schema."""
     path = R.scratch(rows.sparkSession, name)
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.options(compression="gzip", maxRecordsPerFile=PAGES_A_FILE).text(path)
     return rows.sparkSession.read.schema(schema).json(path)
 
 
@@ -92,13 +96,14 @@ def payment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = R.table(spark, sf_dir, "lineitem")
 
     def pages(kind: str, which: str, day: str) -> DataFrame:
-        row = F.struct(
-            text("l_suppkey").alias("covered_recipient_npi"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("total_amount_of_payment_usdollars"), F.date_format("l_shipdate", day).alias("date_of_payment"),
-            F.concat(F.lit("payor "), text("l_partkey")).alias("applicable_manufacturer_or_applicable_gpo_making_payment_name"), F.year("l_shipdate").cast("string").alias("program_year"),
-            F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("record_id"),
+        row = lambda x: F.struct(
+            x["l_suppkey"].cast("string").alias("covered_recipient_npi"), x["l_extendedprice"].cast("decimal(18,2)").cast("string").alias("total_amount_of_payment_usdollars"), F.date_format(x["l_shipdate"], day).alias("date_of_payment"),
+            F.concat(F.lit("payor "), x["l_partkey"].cast("string")).alias("applicable_manufacturer_or_applicable_gpo_making_payment_name"), F.year(x["l_shipdate"]).cast("string").alias("program_year"),
+            F.concat_ws("-", text("l_orderkey"), x["l_linenumber"].cast("string")).alias("record_id"),
         )
-        grouped = lines.where(which).groupBy("l_orderkey").agg(F.collect_list(row).alias("results"))  # an order's payments are a page
-        return reread(grouped.select("results"), schemas.PAYMENTS, kind)
+        line = F.struct("l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+        grouped = lines.where(which).repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))  # an order's payments are a page; bare lines are shuffled, not texts
+        return reread(grouped.select(F.transform("lines", row).alias("results")), schemas.PAYMENTS, kind)
 
     found = S.payments({"research": pages("research", "l_returnflag = 'R'", "MM/dd/yyyy"), "general": pages("general", "l_returnflag <> 'R'", "yyyy-MM-dd'T'HH:mm:ss.SSS")})
     return found.select("npi", "payment_type", F.col("amount").cast("double").alias("amount"), F.to_date("paid_at").alias("paid_on"), "payor", "data_year", "record_id")

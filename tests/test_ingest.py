@@ -186,3 +186,12 @@ def test_facts_tell_of_several_children(spark):
     got = {r.study_id: json.loads(r.d) for r in found.select("study_id", F.to_json("document", {"ignoreNullFields": "false"}).alias("d")).collect()}
     assert set(got) == {1, 2} and got[2]["keywords"] == got[2]["references"] == got[1]["phases"] == []
     assert got[1]["keywords"] == ["a", "b"] and [r["pmid"] for r in got[1]["references"]] == [None, "b"]
+
+
+def test_pages_written_to_be_read_again_are_compressed_and_bounded(spark, monkeypatch):
+    from loomstead.plans import lookups
+
+    monkeypatch.setattr(lookups, "PAGES_A_FILE", 30)
+    found = lookups.reread(spark.range(100).coalesce(1).select(F.col("id").alias("n")), "n long", "few")
+    assert sorted(r.n for r in found.collect()) == list(range(100))
+    assert len(found.inputFiles()) == 4 and all(f.endswith(".gz") for f in found.inputFiles())
