@@ -56,7 +56,7 @@ def sliced(spark: SparkSession, events: DataFrame, name: str, n: int = 4) -> Dat
     step = ((last - first) / n) if first else None
     for k in range(n if first else 0):
         upto = F.col("at") <= F.lit(last) if k == n - 1 else F.col("at") < F.lit(first + (k + 1) * step)
-        events.where((F.col("at") >= F.lit(first + k * step)) & upto).coalesce(1).write.mode("append").parquet(path)
+        events.where((F.col("at") >= F.lit(first + k * step)) & upto).repartition(1).write.mode("append").parquet(path)
     if not first:
         events.write.parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -44,12 +44,12 @@ def queue_states(outcomes: DataFrame, most: int = MOST_RETRIES, lease: str | Non
         if state.hasTimedOut:
             status, retries = step(status, retries, "released", most)
         else:
-            for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-                status, retries = step(status, retries, row.outcome, most)
+            for _, outcome in in_order(frames, ["seq"], "outcome"):
+                status, retries = step(status, retries, outcome, most)
         state.update((status, retries))
         if lease and status == "processing":
             state.setTimeoutDuration(int(lease))
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "retry_count": [retries]})
+        yield one_row(key[0], status, retries, names=("id", "status", "retry_count"))
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if lease else GroupStateTimeout.NoTimeout
     return outcomes.groupBy("id").applyInPandasWithState(update, "id long, status string, retry_count int", STATE, "update", timeout)
@@ -86,6 +86,18 @@ class Work:
             self.since = at
 
 
+def in_order(frames: Iterator[pd.DataFrame], order: list[str], *others: str) -> list[tuple]:
+    """The rows of one key's frames as plain values, sorted by the columns of order; "at" in microseconds. Sorting a frame takes milliseconds for each key."""
+    plain = lambda c: (c.to_numpy().astype("datetime64[us]").astype("int64") if c.name == "at" else c).tolist()
+    rows = [row for f in frames for row in zip(*(plain(f[c]) for c in (*order, *others)), strict=True)]
+    return sorted(rows, key=lambda row: row[: len(order)])
+
+
+def one_row(*values, names: tuple[str, ...]) -> pd.DataFrame:
+    """A row given out for a key, as one block of objects; Spark casts them to the declared types."""
+    return pd.DataFrame([values], columns=names, dtype=object)
+
+
 def by_kind(table: dict, kind: str | None) -> int:
     return table.get(kind, table[None])
 
@@ -103,16 +115,14 @@ def leased_states(outcomes: DataFrame, late: str = "0 seconds", leases: dict | N
         *told, kind = state.get if state.exists else (*astuple(Work()), None)
         work = Work(*told)
         if not state.hasTimedOut:
-            rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-            for row in rows.itertuples():
-                kind = row.kind
-                work.take(row.at.value // 1_000_000, row.outcome, by_kind(leases, kind) * 60_000, by_kind(given_up, kind))
+            for at, _, kind, outcome in in_order(frames, ["at", "seq"], "kind", "outcome"):
+                work.take(at // 1000, outcome, by_kind(leases, kind) * 60_000, by_kind(given_up, kind))
         lease, now = by_kind(leases, kind) * 60_000, state.getCurrentWatermarkMs()
         work.expire(now, lease)
         state.update((*astuple(work), kind))
         if work.status == "processing":
             state.setTimeoutTimestamp(max(work.since + lease, now + 1))
-        yield pd.DataFrame({"id": [key[0]], "status": [work.status], "retry_count": [work.retries], "released": [work.released]})
+        yield one_row(key[0], work.status, work.retries, work.released, names=("id", "status", "retry_count", "released"))
 
     kind = outcomes.schema["id"].dataType.simpleString()
     kept = "status string, retry_count int, since long, released int, kind string"
@@ -160,10 +170,10 @@ def cursors(commands: DataFrame) -> DataFrame:
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cursor = Cursor(*state.get) if state.exists else Cursor()
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            cursor.take(row.seq, row.command, row.at.value // 1_000_000, row.found)
+        for seq, command, at, found in in_order(frames, ["seq"], "command", "at", "found"):
+            cursor.take(seq, command, at // 1000, found)
         state.update(astuple(cursor))
-        yield pd.DataFrame({"source": [key[0]], "cursor_ms": pd.array([cursor.at], "Int64"), "open_to_ms": pd.array([cursor.open_to], "Int64"), "seq": [cursor.seq]})
+        yield one_row(key[0], cursor.at, cursor.open_to, cursor.seq, names=("source", "cursor_ms", "open_to_ms", "seq"))
 
     kind = commands.schema["source"].dataType.simpleString()
     out, kept = f"source {kind}, cursor_ms long, open_to_ms long, seq long", "at long, open_to long, seq long"

@@ -140,3 +140,12 @@ def test_a_cursor_waits_for_its_window():
     assert (c.at, c.open_to) == (1000 + day, None)  # nothing found: a day on
     c.take(5, "discover", 500, 0)
     assert c.at == 1000 + day  # a clock that goes back moves nothing back
+
+
+def test_rows_of_a_key_come_in_order_as_plain_values():
+    import pandas as pd
+
+    a = pd.DataFrame({"at": pd.to_datetime(["2024-01-01 00:00:00.000002", "1969-12-31 23:59:59.999999"]), "seq": [5, 7], "outcome": ["x", None]})
+    b = pd.DataFrame({"at": pd.to_datetime(["2024-01-01 00:00:00.000002"]), "seq": [4], "outcome": ["y"]})
+    rows = streams.in_order(iter([a, b]), ["at", "seq"], "outcome")
+    assert rows == [(-1, 7, None), (1_704_067_200_000_002, 4, "y"), (1_704_067_200_000_002, 5, "x")] and type(rows[0][0]) is int
