@@ -224,9 +224,13 @@ def institution_ok(value: Column) -> Column:
 
 def specialties(value: Column) -> Column:
     """The specialties that a text tells of, in the order of the table; none for a blank text."""
-    lower = F.lower(F.coalesce(value, F.lit("")))
-    found = [F.when(either([lower.contains(k) for k in keys]), F.lit(name)) for name, keys in V.SPECIALTIES.items()]
-    return F.array_compact(F.array(*found))
+    tells = lambda low: F.array_compact(F.array(*(F.when(either([low.contains(k) for k in shortest(keys)]), F.lit(name)) for name, keys in V.SPECIALTIES.items())))
+    return F.get(F.transform(F.array(F.lower(F.coalesce(value, F.lit("")))), tells), F.lit(0))  # a lambda's variable, so a text is lowered once
+
+
+def shortest(keys: list[str]) -> list[str]:
+    """Keys without those that hold another: a text with these has the other too."""
+    return [k for k in keys if not any(o != k and o in k for o in keys)]
 
 
 #: Letters of scripts that count as not English: Han, Cyrillic, Arabic, Greek, Thai, Hebrew.

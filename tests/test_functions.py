@@ -155,3 +155,11 @@ def test_in_flight(spark):
 
 def test_zero_has_no_sign(spark):
     assert [one(spark, text.number_text(F.lit(x))) for x in (-0.0, -0.0000001, 0.0, -0.5, -100.0)] == ["0", "0", "0", "-0.5", "-100"]
+
+
+def test_a_text_is_lowered_once_for_all_specialties(spark):
+    df = spark.createDataFrame([("Heart FAILURE in a child", ["cardiology", "pediatrics"]), (" ", []), (None, []), ("Neurological", ["neurology", "urology"])], "t string, e array<string>")
+    found = df.select("e", text.specialties(F.col("t")).alias("s"))
+    assert all(set(r.e) <= set(r.s) and bool(r.e) == bool(r.s) for r in found.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert text.shortest(["heart", "heart failure", "cardio", "art"]) == ["cardio", "art"]
