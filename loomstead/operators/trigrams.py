@@ -6,9 +6,14 @@ gram. Case never counts. Joins are on grams and keys; none compares each text wi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.functions.text import either
+
 #: Letters of a gram.
 LENGTH = 3
 
@@ -33,13 +38,40 @@ def postings(texts: DataFrame, key: str, *columns: str, keep: tuple[str, ...] =
     return texts.select(key, *keep, F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
 
 
+#: Ends every stored text, so that its last letters begin a gram of three letters too: terms of one or two letters are looked up as beginnings of grams.
+END = "\0" * (LENGTH - 1)
+
+#: Keys in a part of a stored index, about; a task sorts one part at a time.
+PART_KEYS = 100_000
+
+
+def stored_postings(texts: DataFrame, key: str, text: str, parts: int) -> DataFrame:
+    """(key, gram): a stored index of texts, any number a key, in so many parts; only grams of three letters, those of END among them.
+
+    Texts are dealt by key before they are cut, and each part is sorted by itself, so postings are never shuffled. A search reads few pages of each part,
+    and finds all postings of a key in one.
+    """
+    low = texts.where(F.length(text) > 0).select(key, F.concat(F.lower(text), F.lit(END)).alias("low")).repartition(parts, key)  # lowered once a text, not once a gram
+    cut = F.transform(F.sequence(F.lit(1), F.length("low") - (LENGTH - 1)), lambda i: F.substr("low", i, F.lit(LENGTH)))
+    return low.select(key, F.explode(F.array_distinct(cut)).alias("gram")).sortWithinPartitions("gram")
+
+
+#: Grams whose presence one number tells, and those that a scan takes as single values: a longer isin() reaches it as one wide range.
+BITS, PUSHED = 62, 10
+
+
 def candidates(index: DataFrame, key: str, keyword: str) -> DataFrame:
-    """(key): rows that have all grams of a keyword, which those that hold it are among. index is of postings(), stored; its scan takes the grams as a filter."""
+    """(key): rows that have all grams of a keyword, which those that hold it are among. index is of postings() or stored_postings(), stored; its scan takes the grams as a filter."""
     low = keyword.lower()
-    size = min(LENGTH, len(low))
-    wanted = sorted({low[i : i + size] for i in range(len(low) - size + 1)})
-    held = index.where(F.col("gram").isin(wanted)).groupBy(key).agg(F.count_distinct("gram").alias("n"))
-    return held.where(F.col("n") == len(wanted)).select(key)
+    if len(low) < LENGTH:
+        return index.where(F.startswith("gram", F.lit(low))).select(key).distinct()
+    wanted = sorted({low[i : i + LENGTH] for i in range(len(low) - LENGTH + 1)})
+    held = index.where(either([F.col("gram").isin(wanted[n : n + PUSHED]) for n in range(0, len(wanted), PUSHED)]))
+    sets = {f"s{n}": wanted[n : n + BITS] for n in range(0, len(wanted), BITS)}
+    place = lambda some: F.array_position(F.array(*map(F.lit, some)), F.col("gram"))  # noqa: E731  from 1; 0 for none
+    bit = lambda some: F.when(F.col("gram").isin(some), F.call_function("shiftleft", F.lit(1).cast("long"), (place(some) - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
+    found = held.groupBy(key).agg(*(F.bit_or(bit(some)).alias(name) for name, some in sets.items()))
+    return found.where(reduce(and_, (F.col(name) == (1 << len(some)) - 1 for name, some in sets.items()))).select(key)
 
 
 #: Distinct terms up to which they are broadcast, and texts stay where they are.

@@ -43,10 +43,10 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_postings(spark: SparkSession, sf_dir: str, found: Registry) -> DataFrame:
-    """Postings of studies' titles, ids and keywords, kept as a table sorted by gram, so that a search reads few of its row groups."""
-    own = G.postings(found.studies.select("study_id", "title", F.col("study_id").cast("string").alias("id")), "study_id", "title", "id")
-    every = own.union(G.postings(found.keywords.distinct(), "study_id", "keyword")).repartitionByRange("gram", "study_id").sortWithinPartitions("gram")
-    return R.written(every, "grams")
+    """Postings of studies' titles, ids and keywords, kept as a table in parts sorted by gram, so that a search reads few of its pages."""
+    texts = found.studies.select("study_id", F.explode(F.array("title", F.col("study_id").cast("string"))).alias("text")).union(found.keywords.distinct())
+    parts = max(spark.sparkContext.defaultParallelism, -(-found.studies.count() // G.PART_KEYS))
+    return R.written(G.stored_postings(texts, "study_id", "text", parts), "grams")
 
 
 @query(f"""{R.WITH} SELECT study_id, title, status, start_date, enrollment FROM studies s

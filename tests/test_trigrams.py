@@ -49,3 +49,32 @@ def test_texts_are_never_broadcast(spark):
 
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_stored_index_is_built_without_shuffling_postings(spark, monkeypatch):
+    from loomstead.plans import search
+
+    found = search.registry(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(trigrams, "PART_KEYS", 20)
+    index = search.text_postings(spark, "/root/testdata/sf0.001", found)
+    parts = -(-found.studies.count() // 20)
+    assert len(index.inputFiles()) == parts > spark.sparkContext.defaultParallelism  # as many as the studies need, whatever the session's setting
+    assert index.where("length(gram) <> 3").isEmpty()
+    per_file = index.selectExpr("input_file_name() AS f", "study_id").distinct().groupBy("study_id").count()
+    assert per_file.where("count > 1").isEmpty()  # all postings of a study lie in one part
+    built = trigrams.stored_postings(found.keywords, "study_id", "keyword", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in built and built.index("Generate") < built.index("Exchange")  # cut after the shuffle
+    found.grams = index
+    long = "5-LOW study of 1 " * 5 + "x"
+    for word in ("1", "12", "W ST", "ecified study of 12", "low study of 1", "flag", "g r", "zq", long):
+        got, plain = (filters.apply_filters(r, filters.Criteria(keyword=word)) for r in (found, search.registry(spark, "/root/testdata/sf0.001")))
+        assert sorted(r.study_id for r in got.collect()) == sorted(r.study_id for r in plain.collect()), word
+
+
+def test_a_search_reads_single_grams_and_tests_all_of_them(spark):
+    term = "".join(chr(0x4E00 + i) for i in range(150))  # 148 grams, more than one number tells
+    rows = [(1, term), (2, term[:-1]), (3, term[1:]), (4, term[:100]), (4, term[98:]), (5, None), (6, "")]
+    index = trigrams.stored_postings(spark.createDataFrame(rows, "id long, t string"), "id", "t", 2)
+    assert sorted(r.id for r in trigrams.candidates(index, "id", term).collect()) == [1, 4]
+    assert sorted(r.id for r in trigrams.candidates(index, "id", term[-1]).collect()) == [1, 3, 4]
+    assert "InSet" not in str(trigrams.candidates(index, "id", term[:20])._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1])
