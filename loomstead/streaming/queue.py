@@ -162,22 +162,33 @@ class Cursor:
             self.at, self.open_to = self.open_to, None
 
 
-def cursors(commands: DataFrame) -> DataFrame:
+#: Buckets of sources: Spark's worker takes milliseconds for each key of a batch, so a bucket is the key. Fixed, as it is part of the stored state.
+BUCKETS = 4_096
+
+
+def cursors(commands: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A stream of (source, cursor_ms, open_to_ms, seq) from a stream of (source, seq, command, at, found): the one owner of each source's cursor.
 
-    Cursor and open window are one state under one key, so no two batches can move it apart; commands that come again change nothing.
+    Cursor and open window of a source lie in the state of its bucket and nowhere else, so no two batches can move them apart; commands that come again
+    change nothing. Sources without commands in a batch are not given out.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cursor = Cursor(*state.get) if state.exists else Cursor()
-        for seq, command, at, found in in_order(frames, ["seq"], "command", "at", "found"):
-            cursor.take(seq, command, at // 1000, found)
-        state.update(astuple(cursor))
-        yield one_row(key[0], cursor.at, cursor.open_to, cursor.seq, names=("source", "cursor_ms", "open_to_ms", "seq"))
+        held = {source: Cursor(*told) for source, *told in zip(*state.get, strict=True)} if state.exists else {}
+        touched = {}
+        for seq, source, command, at, found in in_order(frames, ["seq"], "source", "command", "at", "found"):
+            source = None if source != source else source  # a null among numbers
+            touched[source] = held.setdefault(source, Cursor())
+            touched[source].take(seq, command, at // 1000, found)
+        state.update(tuple(map(list, zip(*((source, *astuple(cursor)) for source, cursor in held.items()), strict=True))))
+        out = [(source, cursor.at, cursor.open_to, cursor.seq) for source, cursor in touched.items()]
+        yield pd.DataFrame(out, columns=("source", "cursor_ms", "open_to_ms", "seq"), dtype=object)
 
     kind = commands.schema["source"].dataType.simpleString()
-    out, kept = f"source {kind}, cursor_ms long, open_to_ms long, seq long", "at long, open_to long, seq long"
-    return commands.groupBy("source").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
+    out, kept = f"source {kind}, cursor_ms long, open_to_ms long, seq long", f"source array<{kind}>, at array<long>, open_to array<long>, seq array<long>"
+    bucket = F.when(F.col("source").isNotNull(), F.pmod(F.xxhash64("source"), F.lit(buckets))).otherwise(-1)  # nulls apart: they would turn whole numbers beside them into floats
+    rows = commands.select("source", "seq", "command", "at", F.coalesce("found", F.lit(0)).alias("found"), bucket.alias("bucket"))
+    return rows.groupBy("bucket").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def new_discoveries(events: DataFrame, late: str = "1 hour") -> DataFrame:

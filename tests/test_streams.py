@@ -126,6 +126,20 @@ def test_a_cursor_has_one_owner_over_batches_that_fail(spark, tmp_path):
     assert last(spark, str(tmp_path), "source", "cursor_ms", "open_to_ms", "seq") == owned(rows)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sources_of_one_bucket_keep_their_own_cursors(spark, tmp_path, kind):
+    """Few groups go through Python however many sources there are; null sources and counts and huge ids stay what they are."""
+    name = (lambda i: None if i == 3 else 2**60 + i) if kind == "long" else (lambda i: None if i == 3 else f"s{i}")
+    rows = [(name(source), *rest) for source, *rest in ((i % 37, *r[1:]) for i, r in enumerate(commands(600, 2)))]
+    schema, folder = COMMANDS.replace("source long", f"source {kind}"), str(tmp_path / "in")
+    for k in range(3):
+        part = rows[200 * k : 200 * k + 200] if k < 2 else rows[400:500]  # some sources come in few batches
+        spark.createDataFrame([(*r[:4], None if r[1] % 5 == 0 and r[4] == 0 else r[4]) for r in part], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = streams.cursors(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), 4)
+    run(stream, str(tmp_path))
+    assert last(spark, str(tmp_path), "source", "cursor_ms", "open_to_ms", "seq") == owned(rows[:500])
+
+
 def test_a_cursor_waits_for_its_window():
     day, c = streams.WINDOW_MS, streams.Cursor()
     c.take(0, "discover", 1000, 5)
