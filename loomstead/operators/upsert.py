@@ -54,6 +54,20 @@ def write_swapped(df: DataFrame, path: str, partitions: list[str] | None = None)
     writer.parquet(path)
 
 
+#: Parents in a part that a task merges, about.
+PART_KEYS = 100_000
+
+
+def dealt(tables: dict[str, DataFrame], key: str, parent: str = "studies") -> dict[str, DataFrame]:
+    """The tables dealt by key into parts of about PART_KEYS parents: what is merged by key after that moves no more, and a task's sorts stay as large as
+    they are however many parents there are. Left to itself, Spark makes parts of as many compressed bytes, and rows of keys and numbers grow tenfold when
+    they are sorted.
+    """
+    rows = tables[parent]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_KEYS))
+    return {name: table.repartition(parts, key) for name, table in tables.items()}
+
+
 def merge_batch(stored: dict[str, DataFrame], batch: dict[str, DataFrame], key: str, seen_at: Column | None = None, parent: str = "studies", rejects: str = "rejected") -> dict[str, DataFrame]:
     """All tables after a batch: the parent's rows merged, their children replaced where the batch gives that table, and new rejects added once.
 

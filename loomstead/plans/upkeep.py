@@ -460,8 +460,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT study_id, coalesce(CASE WHEN new THEN status END, CASE WHEN old THEN 'OLD' END) AS status, new AS seen, (SELECT count(*) FROM lineitem WHERE l_orderkey = study_id AND (new OR l_linenumber <= 2)) AS children FROM sides""")
 def batch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies of before 1996 with two lines each, after a batch of those from 1995 on with all lines."""
-    studies = R.studies(spark, sf_dir)
-    lines = R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("study_id"), "l_linenumber")
+    studies, lines = R.studies(spark, sf_dir), R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("study_id"), "l_linenumber")
+    studies, lines = U.dealt({"studies": studies, "lines": lines}, "study_id").values()
     old, new = studies.where("start_date < date'1996-01-01'"), studies.where("start_date >= date'1995-01-01'")
     stored = {"studies": old.select("study_id", F.lit("OLD").alias("status"), F.lit(None).cast("date").alias("last_seen")), "lines": lines.where("l_linenumber <= 2").join(old, "study_id", "left_semi")}
     after = U.merge_batch(stored, {"studies": new.select("study_id", "status"), "lines": lines.join(new, "study_id", "left_semi")}, "study_id", F.lit(R.AS_OF).cast("date"))

@@ -344,3 +344,17 @@ def test_batches_leave_other_tables(spark, tmp_path):
     files.write_artefacts(stored["lines"], {"features": ["k"]}, str(tmp_path / "model"))
     frame, schema = files.read_artefacts(spark, str(tmp_path / "model"))
     assert frame.count() == 2 and schema == {"features": ["k"]}
+
+
+def test_a_batch_is_merged_in_parts_of_bounded_size(spark, monkeypatch):
+    from loomstead.plans import QUERIES
+
+    monkeypatch.setattr(upsert, "PART_KEYS", 100)
+    tables = {"studies": spark.range(1050).withColumnRenamed("id", "k"), "lines": spark.range(30).selectExpr("id % 7 AS k", "id AS n")}
+    for name, table in upsert.dealt(tables, "k").items():
+        assert table.rdd.getNumPartitions() == 11 and sorted(table.collect()) == sorted(tables[name].collect())
+    found = QUERIES["batch_upsert"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and all(", 15), REPARTITION_BY_NUM" in line for line in dealt)  # 1,500 studies, whatever the session's number of shuffle partitions
+    assert found.groupBy("study_id").count().where("count > 1").isEmpty() and found.count() == 1500
